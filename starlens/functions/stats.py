@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starlens.joins import lookup_join
+
 _ACCURACY = 100_000
 _MARGIN = 5.0 / _ACCURACY
 
@@ -45,3 +47,45 @@ def exact_median(df: DataFrame, value: str) -> DataFrame:
             "median"
         )
     )
+
+
+_CUTS = 255
+
+
+def global_rank(df: DataFrame, value: str, name: str, dense: bool = False) -> DataFrame:
+    """Adds the rank of ``value`` (largest first) over the whole table as bigint column ``name``.
+
+    Copies of a value are counted first, so a value shared by many rows is one row from there on.
+    Distinct values are cut into ranges at approximate quantiles; each range is ranked by its own
+    task and shifted by the size of the ranges above it (at most 256 numbers).
+    """
+    values = df.groupBy(value).agg(F.count(F.lit(1)).alias("__copies"))
+    if dense:
+        values = values.withColumn("__copies", F.lit(1).cast("bigint"))
+    shares = [i / (_CUTS + 1) for i in range(1, _CUTS + 1)]
+    cuts = values.agg(
+        F.percentile_approx(F.col(value).cast("double"), shares, F.lit(10_000)).alias("c")
+    ).scalar()
+    ranged = values.withColumn("__c", cuts).withColumn(
+        "__range", F.size(F.filter("__c", lambda c: c > F.col(value).cast("double")))
+    )
+    ranged = ranged.drop("__c")
+    sizes = ranged.groupBy("__range").agg(F.sum("__copies").alias("n"))
+    above = sizes.agg(F.map_from_entries(F.collect_list(F.struct("__range", "n"))).alias("m")).scalar()
+    inside = Window.partitionBy("__range").orderBy(F.desc(value))
+    before = F.sum("__copies").over(
+        inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ) - F.col("__copies")
+    ranked = ranged.withColumn("__m", above).select(
+        F.col(value),
+        (
+            before
+            + 1
+            + F.aggregate(
+                F.map_entries(F.map_filter("__m", lambda k, _: k < F.col("__range"))),
+                F.lit(0).cast("bigint"),
+                lambda acc, e: acc + e["value"],
+            )
+        ).alias(name),
+    )
+    return lookup_join(df, ranked, value)
