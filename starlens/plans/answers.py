@@ -1,3 +1,265 @@
-from starlens.plans.book import Book
+"""I*, J1, J4: answer texts, batch answering, result comparison."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import functions as F
+
+from starlens.functions import questions as qs
+from starlens.functions import render
+from starlens.functions.vectors import HashingEncoder, embed
+from starlens.operators import aggregates as agg
+from starlens.operators import evaluate as ev
+from starlens.operators import graph as gr
+from starlens.operators import patterns as pat
+from starlens.operators import search
+from starlens.operators.answers import AGGREGATION_NOTE, NO_MENTION, answer_batch
+from starlens.plans.book import Book, with_star
+from starlens.plans.graph import dims
+from starlens.plans.log import QUESTIONS, question_log
+from starlens.plans.questions import _any
+from starlens.plans.vectors import _TOP5, DIMS, HASHED, PAIRS
+from starlens.sources.retail import denormalize
 
 book = Book()
+V = "total_sales_value"
+
+
+@book.query(
+    "i1_semantic_lines",
+    f"""WITH {PAIRS}, {_TOP5},
+    lines AS (SELECT query_id, rank, '- vec_id: ' || vec_id || ', label: ' || (SELECT label FROM v WHERE v.vec_id = top.vec_id)
+                || ' (relevance: ' || format('{{:.3f}}', score) || ')' AS line FROM top WHERE rank <= 5)
+    SELECT query_id, 'Most relevant items:' || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS answer
+    FROM lines GROUP BY query_id""",
+)
+def i1(r):
+    vectors = r.table("embeddings")
+    nodes = vectors.select(
+        "vec_id",
+        "embedding",
+        F.concat(F.lit("vec_id: "), "vec_id", F.lit(", label: "), "label").alias("node_text"),
+    )
+    ranked = search.batch_semantic_search(nodes, vectors, 5, key="vec_id", query_key="vec_id")
+    lines = render.semantic_lines(ranked, nodes, key="vec_id")
+    return render.semantic_answers(vectors.select(F.col("vec_id").alias("query_id")), lines)
+
+
+_TOP_ITEMS = """, top AS (
+      SELECT item_id, item_name, sum(total_sales_value) AS revenue, sum(units_sold) / count(*) AS mean_units, count(*) AS n,
+             row_number() OVER (ORDER BY sum(total_sales_value) DESC, item_id) AS position
+      FROM sales JOIN items USING (item_id) GROUP BY item_id, item_name ORDER BY position LIMIT 10)"""
+
+
+def _top_items(r):
+    fact = r.sales("item_id", "units_sold", V)
+    per_item = fact.groupBy("item_id").agg(
+        F.sum(V).alias("revenue"), F.avg("units_sold").alias("mean_units"), F.count(F.lit(1)).alias("n")
+    )
+    best = per_item.join(r.items().select("item_id", "item_name"), "item_id")
+    numbered = pat.preview(best, [F.desc("revenue"), F.asc("item_id")], 10).drop("more")
+    return numbered.select("position", "item_id", "item_name", "revenue", "mean_units", "n")
+
+
+_FLOAT = "regexp_replace(format('{{:,.6f}}', {0}), '(\\.\\d+?)0+$', '\\1')"
+
+
+@book.star(
+    "i2_result_lines",
+    f"""{_TOP_ITEMS}
+    SELECT position, position || '. item_id: ' || format('{{:,}}', item_id) || ', item_name: ' || item_name || ', revenue: $'
+      || format('{{:,.2f}}', revenue) || ', mean_units: ' || {_FLOAT.format('mean_units')} || ', n: ' || format('{{:,}}', n) AS line
+    FROM top""",
+)
+def i2(r):
+    return render.result_lines(_top_items(r))
+
+
+@book.star(
+    "i2_empty_result",
+    "SELECT CASE WHEN count(*) = 0 THEN 'No results found for: Items above a billion' END AS answer FROM "
+    "(SELECT item_id FROM sales GROUP BY item_id HAVING sum(total_sales_value) > 1e9)",
+)
+def i2_empty(r):
+    rich = _top_items(r).filter("revenue > 1e9")
+    return render.result_answer(rich, "Items above a billion")
+
+
+@book.star(
+    "i3_bought_lines",
+    """
+    , a AS (SELECT DISTINCT customer_id FROM sales JOIN items USING (item_id) WHERE item_name LIKE '%red plate%'
+            AND year(sale_date) = 2000 AND quarter(sale_date) = 4),
+    b AS (SELECT DISTINCT customer_id FROM sales JOIN items USING (item_id) WHERE item_name LIKE '%small widget%'
+          AND year(sale_date) = 2000 AND quarter(sale_date) = 4),
+    w AS (SELECT c.*, row_number() OVER (ORDER BY customer_id) AS p FROM customers c
+          WHERE customer_id IN (SELECT customer_id FROM a))
+    SELECT 'Customers who bought ''red plate'' in Q4 2000:' || chr(10) || 'Found ' || (SELECT count(*) FROM a) || ' customers:' || chr(10)
+      || string_agg(p || '. ' || customer_name || ' (ID: ' || customer_id || ') - ' || customer_segment, chr(10) ORDER BY p)
+      || chr(10) || '... and ' || ((SELECT count(*) FROM w) - 10) || ' more customers' AS answer FROM w WHERE p <= 10
+    UNION ALL
+    SELECT 'Customers who bought both ''red plate'' AND ''small widget'' in Q4 2000:' || chr(10)
+      || CASE WHEN (SELECT count(*) FROM a JOIN b USING (customer_id)) = 0 THEN 'none' ELSE
+      'Found ' || (SELECT count(*) FROM a JOIN b USING (customer_id)) || ' customers:' || chr(10)
+      || (SELECT string_agg(p || '. ' || customer_name || ' (ID: ' || customer_id || ') - ' || customer_segment, chr(10) ORDER BY p)
+          FROM (SELECT *, row_number() OVER (ORDER BY customer_id) AS p FROM customers
+                WHERE customer_id IN (SELECT customer_id FROM a JOIN b USING (customer_id))) WHERE p <= 10) END
+    UNION ALL SELECT 'Product ''purple plate'' not found'""",
+)
+def i3(r):
+    fact, when = r.sales("item_id", "customer_id", "sale_date"), dict(year=2000, quarter=4)
+    parts = []
+    for a, b in (("red plate", None), ("red plate", "small widget"), ("purple plate", None)):
+        summary = pat.relation_summary(fact, r.items(), a, b, **when)
+        if b is None:
+            who = pat.customers_who_bought(fact, r.items(), r.customers(), a, **when)
+        else:
+            who = pat.customers_who_bought_both(fact, r.items(), r.customers(), a, b, **when)
+        first = pat.preview(who, "customer_id")
+        parts.append(render.bought_lines(summary, first, contact="customer_segment", **when))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@book.star(
+    "i4_top_lines",
+    """
+    , t AS (SELECT item_name, sum(units_sold) AS u, count(*) AS n, row_number() OVER (ORDER BY sum(units_sold) DESC, item_id) AS p
+            FROM sales JOIN items USING (item_id) WHERE year(sale_date) = 2000 AND month(sale_date) = 12
+            GROUP BY item_id, item_name)
+    SELECT 'Top 5 item details in December 2000 by units_sold:' || chr(10) || string_agg(
+      p || '. ' || item_name || ' - ' || format('{:,.0f}', u) || ' units (' || n || ' transactions)', chr(10) ORDER BY p) AS answer
+    FROM t WHERE p <= 5""",
+)
+def i4(r):
+    fact = r.sales("item_id", "sale_date", "units_sold")
+    best = agg.top_n_with_count(fact, r.items(), "item_id", "item_name", "units_sold", year=2000, month=12)
+    numbered = pat.preview(best, [F.desc("units_sold"), F.asc("item_id")], 5)
+    return render.top_answer(numbered, "item_name", "units_sold", "units_sold", "item_details", 5, 2000, 12)
+
+
+@book.star(
+    "i4_top_lines_revenue",
+    """
+    , t AS (SELECT location_name, sum(total_sales_value) AS v, count(*) AS n,
+              row_number() OVER (ORDER BY sum(total_sales_value) DESC, location_id) AS p
+            FROM sales JOIN locations USING (location_id) GROUP BY location_id, location_name)
+    SELECT p AS position, p || '. ' || location_name || ' - $' || format('{:,.2f}', v) || ' (' || n || ' transactions)' AS line
+    FROM t WHERE p <= 5""",
+)
+def i4_revenue(r):
+    best = agg.top_n_with_count(r.sales("location_id", V), r.locations(), "location_id", "location_name", V)
+    numbered = pat.preview(best, [F.desc(V), F.asc("location_id")], 5)
+    return render.top_lines(numbered, "location_name", V, V)
+
+
+def search_nodes(r):
+    """Node texts and vectors of the whole graph, commas between attributes."""
+    nodes = gr.build_nodes(dims(r), sep=", ").select("node_id", "node_text")
+    return embed(nodes, "node_text", partial(HashingEncoder, DIMS), element="double")
+
+
+_QUOTED = """list_transform(regexp_extract_all(question, '("[^"]+"|(?:^|\\s)''[^'']+'')', 1),
+    lambda m: regexp_replace(regexp_replace(m, '^\\s*["'']', ''), '["'']$', ''))"""
+_IDS = "regexp_extract_all(question, '(?i)\\b([a-z]-\\d+)\\b', 1)"
+_NOTE = AGGREGATION_NOTE.replace("\n", "' || chr(10) || '")
+
+
+@book.query(
+    "j1_answer_batch",
+    with_star(f"""
+    , {QUESTIONS},
+    asked AS (SELECT question, CASE WHEN {_any(qs.AGGREGATION_WORDS)} THEN 'aggregation'
+                WHEN {_any(qs.PATTERN_PHRASES)} THEN 'pattern' ELSE 'semantic' END AS route
+              FROM (SELECT DISTINCT question FROM questions)),
+    node_texts AS (
+      SELECT 'item_details_' || item_id AS node_id, 'item_id: ' || item_id || ', item_name: ' || item_name
+        || ', item_description: ' || item_description AS text FROM items
+      UNION ALL SELECT 'supplier_details_' || s_suppkey, 'supplier_id: ' || s_suppkey || ', supplier_name: ' || s_name
+        || ', supplier_nation: ' || s_nationkey FROM supplier
+      UNION ALL SELECT 'customer_details_' || customer_id, 'customer_id: ' || customer_id || ', customer_name: ' || customer_name
+        || ', customer_segment: ' || customer_segment || ', customer_nation: ' || customer_nation FROM customers),
+    texts AS (SELECT 'n' || node_id AS id, text FROM node_texts
+              UNION ALL SELECT 'q' || question, question FROM asked WHERE route <> 'pattern'),
+    {HASHED},
+    dots AS (SELECT q.id AS qid, n.id AS nid, sum(q.value * n.value) AS s FROM vectors q JOIN vectors n ON q.dim = n.dim
+             WHERE q.id[1] = 'q' AND n.id[1] = 'n' GROUP BY ALL),
+    scored AS (SELECT a.question, t.node_id, t.text, round(coalesce(s, 0), 6) AS score
+               FROM asked a, node_texts t LEFT JOIN dots ON qid = 'q' || a.question AND nid = 'n' || t.node_id
+               WHERE a.route <> 'pattern'),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, node_id) AS rank FROM scored
+               QUALIFY rank <= 5),
+    semantic AS (SELECT question, 'Most relevant items:' || chr(10) || string_agg('- ' || text || ' (relevance: '
+                   || format('{{:.3f}}', score) || ')', chr(10) ORDER BY rank) AS answer FROM ranked GROUP BY question),
+    mentions AS (SELECT question, CASE WHEN len({_QUOTED}) > 0 THEN {_QUOTED} ELSE {_IDS} END AS ms FROM asked WHERE route = 'pattern'),
+    each AS (SELECT DISTINCT question, unnest(ms) AS mention FROM mentions),
+    wanted AS (SELECT DISTINCT lower(mention) AS m FROM each),
+    first AS (SELECT m, min(item_id) AS item_id FROM wanted JOIN items ON contains(lower(item_name), m)
+                OR lower(CAST(item_id AS VARCHAR)) = m GROUP BY m),
+    bought AS (SELECT DISTINCT item_id, customer_id FROM sales WHERE item_id IN (SELECT item_id FROM first)),
+    buyers AS (SELECT DISTINCT question, customer_id FROM each JOIN first ON lower(mention) = m JOIN bought USING (item_id)),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY customer_id) AS p,
+                   count(*) OVER (PARTITION BY question) AS n FROM buyers),
+    listed AS (SELECT question, max(n) AS n, string_agg(p || '. ' || customer_name || ' (ID: ' || customer_id || ')', chr(10) ORDER BY p) AS body
+               FROM numbered JOIN customers USING (customer_id) WHERE p <= 10 GROUP BY question),
+    relations AS (
+      SELECT question, CASE WHEN len(ms) = 0 THEN '{NO_MENTION}'
+        WHEN NOT EXISTS (SELECT 1 FROM each e JOIN first ON lower(e.mention) = m WHERE e.question = mentions.question)
+          THEN 'Product ''' || ms[1] || ''' not found'
+        WHEN n IS NULL THEN 'No customers found who bought ''' || ms[1] || ''''
+        ELSE 'Customers who bought ''' || ms[1] || ''':' || chr(10) || 'Found ' || n || ' customers:' || chr(10) || body
+          || CASE WHEN n > 10 THEN chr(10) || '... and ' || (n - 10) || ' more customers' ELSE '' END END AS answer
+      FROM mentions LEFT JOIN listed USING (question)),
+    answers AS (
+      SELECT question, route, CASE WHEN route = 'aggregation' THEN '{_NOTE}' ELSE '' END || answer AS answer
+      FROM asked JOIN semantic USING (question)
+      UNION ALL SELECT question, route, answer FROM asked JOIN relations USING (question))
+    SELECT question_id, route, answer FROM questions JOIN answers USING (question)"""),
+)
+def j1(r):
+    return answer_batch(
+        question_log(r).select("question_id", "question"),
+        search_nodes(r),
+        r.sales("item_id", "customer_id"),
+        r.items(),
+        r.customers(),
+        partial(HashingEncoder, DIMS),
+        element="double",
+    )
+
+
+@book.star(
+    "j4_result_diff",
+    """
+    , id AS (SELECT customer_id, round(sum(total_sales_value), 2) AS v, count(*) AS n FROM sales GROUP BY 1),
+    e AS (SELECT customer_name, v FROM id JOIN customers USING (customer_id)),
+    w AS (SELECT customer_name, round(sum(total_sales_value), 2) AS v FROM sales JOIN items USING (item_id)
+          JOIN customers USING (customer_id) WHERE item_name <> 'red plate' GROUP BY 1),
+    d AS (SELECT *, 'a' AS only_in FROM (SELECT * FROM e EXCEPT ALL SELECT * FROM w)
+          UNION ALL SELECT *, 'b' FROM (SELECT * FROM w EXCEPT ALL SELECT * FROM e))
+    SELECT customer_name, v, only_in, count(*) AS copies FROM d GROUP BY ALL""",
+)
+def j4(r):
+    by_id = agg.top_n(r.sales("customer_id", V), r.customers(), "customer_id", "customer_name", V, n=None)
+    fact = r.sales("item_id", "customer_id", V)
+    wide = denormalize(fact, [(r.items(), "item_id", "item_id"), (r.customers(), "customer_id", "customer_id")])
+    by_name = agg.top_n_denormalized(wide.filter("item_name <> 'red plate'"), "customer_name", V, n=None)
+    a = by_id.select("customer_name", F.round(V, 2).alias("v"))
+    b = by_name.select("customer_name", F.round(V, 2).alias("v"))
+    return ev.result_diff(a, b)
+
+
+@book.star(
+    "j4_same_result_two_ways",
+    "SELECT CAST(0 AS BIGINT) AS differing_rows, count(DISTINCT customer_id) AS compared FROM sales",
+)
+def j4_same(r):
+    by_id = agg.top_n(r.sales("customer_id", V), r.customers(), "customer_id", "customer_name", V, n=None)
+    fact = r.sales("item_id", "customer_id", V)
+    wide = denormalize(fact, [(r.items(), "item_id", "item_id"), (r.customers(), "customer_id", "customer_id")])
+    by_name = agg.top_n_denormalized(wide, "customer_name", V, n=None)
+    a = by_id.select("customer_name", F.round(V, 2).alias("v"))
+    b = by_name.select("customer_name", F.round(V, 2).alias("v"))
+    return ev.result_diff(a, b).agg(F.count(F.lit(1)).alias("differing_rows")).select(
+        "differing_rows", a.agg(F.count(F.lit(1))).scalar().alias("compared")
+    )
