@@ -8,8 +8,9 @@ it; ``strict=True`` asks for the repaired rule.
 from __future__ import annotations
 
 import datetime as dt
-import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,13 +81,10 @@ def _text(question: str | Column) -> Column:
     return F.col(question) if isinstance(question, str) else question
 
 
-def alternation(words: Sequence[str]) -> str:
-    return "|".join(re.escape(w).replace(r"\ ", " ").replace(r"\-", "-") for w in words)
-
-
 def mentions_any(lowered: Column, words: Sequence[str]) -> Column:
-    """Substring test against a word list."""
-    return lowered.rlike(alternation(words))
+    """Substring test against a word list; a word that contains another listed word adds nothing."""
+    needed = [w for w in words if not any(v != w and v in w for v in words)]
+    return reduce(or_, [lowered.contains(w) for w in needed])
 
 
 def first_of(lowered: Column, mapping: Mapping[str, str]) -> Column:
@@ -166,12 +164,12 @@ def is_pattern(question: str | Column) -> Column:
 def route(question: str | Column, config: StarConfig = RETAIL) -> Column:
     """Pattern, then simple aggregation, then complex aggregation, else semantic."""
     q = _text(question)
+    ranked = mentions_any(F.lower(q), AGGREGATION_WORDS)
     hard = is_complex(q)
-    simple = ~hard & is_aggregation(q) & measure(q).isNotNull() & entity_type(q, config).isNotNull()
     return (
         F.when(is_pattern(q), F.lit("pattern"))
-        .when(simple, F.lit("simple"))
-        .when(is_aggregation(q), F.lit("complex"))
+        .when(ranked & measure(q).isNotNull() & entity_type(q, config).isNotNull() & ~hard, F.lit("simple"))
+        .when(ranked | hard, F.lit("complex"))
         .otherwise(F.lit("semantic"))
     )
 

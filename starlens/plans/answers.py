@@ -104,7 +104,9 @@ def i2_empty(r):
       'Found ' || (SELECT count(*) FROM a JOIN b USING (customer_id)) || ' customers:' || chr(10)
       || (SELECT string_agg(p || '. ' || customer_name || ' (ID: ' || customer_id || ') - ' || customer_segment, chr(10) ORDER BY p)
           FROM (SELECT *, row_number() OVER (ORDER BY customer_id) AS p FROM customers
-                WHERE customer_id IN (SELECT customer_id FROM a JOIN b USING (customer_id))) WHERE p <= 10) END
+                WHERE customer_id IN (SELECT customer_id FROM a JOIN b USING (customer_id))) WHERE p <= 10)
+      || CASE WHEN (SELECT count(*) FROM a JOIN b USING (customer_id)) > 10 THEN chr(10) || '... and '
+         || ((SELECT count(*) FROM a JOIN b USING (customer_id)) - 10) || ' more customers' ELSE '' END END
     UNION ALL SELECT 'Product ''purple plate'' not found'""",
 )
 def i3(r):
