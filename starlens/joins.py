@@ -50,3 +50,14 @@ def lookup_join(
     salted = big.withColumn(_SALT, F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
     copies = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, _SALT], how).drop(_SALT)
+
+
+def spread(df: DataFrame, limit: int = 4 * BROADCAST_BYTES) -> DataFrame:
+    """Deal out a small input to all cores before work that is heavy per row.
+
+    Only inputs under ``limit`` are moved: they may come as a single file split.  Larger ones have
+    at least as many splits as that and stay where they are read.
+    """
+    if not fits_broadcast(df, limit):
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

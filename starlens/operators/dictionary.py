@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starlens.joins import spread
+
 
 DICTIONARY_SCHEMA = T.StructType(
     [
@@ -74,7 +76,7 @@ def sample_values(tables: Mapping[str, DataFrame], k: int = 3) -> DataFrame:
     parts = []
     for table, df in tables.items():
         fields = [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-        texts = df.select(*[as_text(f).alias(f.name) for f in fields])
+        texts = spread(df).select(*[as_text(f).alias(f.name) for f in fields])
         names = [f.name for f in fields]
 
         def smallest(batches, names=names):

@@ -46,15 +46,8 @@ def build_nodes(
     return out
 
 
-def build_edges(
-    fact: DataFrame, mapping: Mapping[str, str], dims: Mapping[str, DataFrame] | None = None
-) -> DataFrame:
-    """For each fact row one edge per pair of its foreign keys, in mapping order.
-
-    ``mapping`` is foreign-key column -> dimension table; columns the fact lacks are skipped and a
-    null key links nothing.  With ``dims`` (table -> dimension keyed by its first column) an edge
-    needs both ends to exist.  Parallel edges are kept and carry the fact's columns.
-    """
+def _endpoints(fact: DataFrame, mapping: Mapping[str, str], dims: Mapping[str, DataFrame] | None):
+    """The fact with existence flags joined on, the foreign keys it has, and their conditions."""
     used = {fk: table for fk, table in mapping.items() if fk in fact.columns}
     rows = fact
     exists = {fk: F.col(fk).isNotNull() for fk in used}
@@ -65,6 +58,19 @@ def build_edges(
             known = members.select(F.col(members.columns[0]).alias(fk)).distinct()
             rows = lookup_join(rows, known.withColumn(flag, F.lit(True)), fk, "left")
             exists[fk] = F.coalesce(F.col(flag), F.lit(False))
+    return rows, used, exists
+
+
+def build_edges(
+    fact: DataFrame, mapping: Mapping[str, str], dims: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
+    """For each fact row one edge per pair of its foreign keys, in mapping order.
+
+    ``mapping`` is foreign-key column -> dimension table; columns the fact lacks are skipped and a
+    null key links nothing.  With ``dims`` (table -> dimension keyed by its first column) an edge
+    needs both ends to exist.  Parallel edges are kept and carry the fact's columns.
+    """
+    rows, used, exists = _endpoints(fact, mapping, dims)
     pairs = [
         F.when(
             exists[a] & exists[b],
@@ -82,18 +88,72 @@ def build_edges(
     )
 
 
+def linked_pairs(
+    fact: DataFrame, mapping: Mapping[str, str], dims: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
+    """The edges of :func:`build_edges` counted per (src_id, dst_id), without writing them out.
+
+    Sales are counted per pair of raw keys, map-side first; ids are spelled out afterwards, once
+    per pair.  Neighbourhood and degree questions need no more than this.
+    """
+    rows, used, exists = _endpoints(fact, mapping, dims)
+    kinds = {fact.schema[fk].dataType.simpleString() for fk in used}
+    kind = kinds.pop() if len(kinds) == 1 else "string"
+    combos = list(combinations(used, 2))
+    ends = [
+        F.when(
+            exists[a] & exists[b],
+            F.struct(F.lit(i).alias("pair"), F.col(a).cast(kind).alias("a"), F.col(b).cast(kind).alias("b")),
+        )
+        for i, (a, b) in enumerate(combos)
+    ]
+    counted = (
+        rows.select(F.inline(F.array_compact(F.array(*ends)))).groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("edges"))
+    )
+
+    def named(side: int) -> Column:
+        return F.get(F.array(*[F.lit(used[c[side]]) for c in combos]), F.col("pair"))
+
+    named_pairs = counted.select(
+        F.concat(named(0), F.lit("_"), F.col("a").cast("string")).alias("src_id"),
+        F.concat(named(1), F.lit("_"), F.col("b").cast("string")).alias("dst_id"),
+        named(0).alias("src_table"),
+        named(1).alias("dst_table"),
+        "edges",
+    )
+    linked = [frozenset((used[a], used[b])) for a, b in combos]
+    if len(set(linked)) == len(linked):
+        return named_pairs
+    # Two foreign keys lead to one table: the same pair of nodes can come from several columns.
+    return named_pairs.groupBy("src_id", "dst_id", "src_table", "dst_table").agg(F.sum("edges").alias("edges"))
+
+
 def node_attributes(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """The nodes whose ``node_id`` is in ``ids``."""
     return nodes.join(ids.select("node_id").distinct(), "node_id", "left_semi")
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """Distinct undirected neighbour pairs (node_id, neighbor_id), both directions."""
-    both = F.array(
-        F.struct(F.col("src_id").alias("node_id"), F.col("dst_id").alias("neighbor_id")),
-        F.struct(F.col("dst_id").alias("node_id"), F.col("src_id").alias("neighbor_id")),
+def _both_ways(pairs: DataFrame, *extra: str) -> DataFrame:
+    ends = F.array(
+        F.struct(F.col("src_id").alias("node_id"), F.col("dst_id").alias("neighbor_id"), *extra),
+        F.struct(F.col("dst_id").alias("node_id"), F.col("src_id").alias("neighbor_id"), *extra),
     )
-    return edges.select(F.inline(both)).distinct()
+    return pairs.select(F.inline(ends))
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """Distinct undirected neighbour pairs (node_id, neighbor_id) of any edge table."""
+    return _both_ways(edges).distinct()
+
+
+def adjacency_of(
+    fact: DataFrame, mapping: Mapping[str, str], dims: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
+    """The same pairs straight from the fact, deduplicated on raw keys."""
+    pairs = linked_pairs(fact, mapping, dims)
+    tables = [t for fk, t in mapping.items() if fk in fact.columns]
+    both = _both_ways(pairs)
+    return both if len(set(tables)) == len(tables) else both.distinct()
 
 
 def neighbors(adj: DataFrame, ids: DataFrame) -> DataFrame:
@@ -187,17 +247,10 @@ def graph_statistics(
     )
 
 
-def degree(edges: DataFrame) -> DataFrame:
-    """Relationships and distinct neighbours of each node.
+def degree(pairs: DataFrame) -> DataFrame:
+    """Relationships and distinct neighbours of each node, from :func:`linked_pairs`.
 
-    Parallel edges are counted per pair first, so a hub adds one row per neighbour, not per sale.
+    Parallel edges were counted per pair, so a hub adds one row per neighbour, not per sale.
     """
-    pairs = edges.groupBy("src_id", "dst_id").agg(F.count(F.lit(1)).alias("n"))
-    ends = F.array(
-        F.struct(F.col("src_id").alias("node_id"), F.col("dst_id").alias("other"), "n"),
-        F.struct(F.col("dst_id").alias("node_id"), F.col("src_id").alias("other"), "n"),
-    )
-    both = pairs.select(F.inline(ends)).groupBy("node_id", "other").agg(F.sum("n").alias("n"))
-    return both.groupBy("node_id").agg(
-        F.sum("n").alias("degree"), F.count(F.lit(1)).alias("neighbors")
-    )
+    both = _both_ways(pairs, "edges").groupBy("node_id", "neighbor_id").agg(F.sum("edges").alias("edges"))
+    return both.groupBy("node_id").agg(F.sum("edges").alias("degree"), F.count(F.lit(1)).alias("neighbors"))

@@ -7,6 +7,7 @@ import inspect
 from pyspark.sql import functions as F
 
 from starlens.functions.text import stringify_attributes
+from starlens.joins import spread
 from starlens.operators import aggregates as agg
 from starlens.operators import graph as gr
 from starlens.operators.patterns import preview
@@ -33,7 +34,11 @@ def nodes(r):
 
 
 def edges(r, *columns):
-    return gr.build_edges(r.sales(*MAPPING, *columns), MAPPING)
+    return gr.build_edges(spread(r.sales(*MAPPING, *columns)), MAPPING)
+
+
+def adjacency(r):
+    return gr.adjacency_of(r.sales(*MAPPING), MAPPING)
 
 
 GRAPH = """suppliers AS (
@@ -151,12 +156,17 @@ def b6(r):
 @book.query("b7_neighbors", with_graph("SELECT node_id, neighbor_id FROM adj WHERE node_id LIKE 'supplier%'"))
 def b7(r):
     suppliers = nodes(r).filter("node_table = 'supplier_details'")
-    return gr.neighbors(gr.adjacency(edges(r)), suppliers)
+    return gr.neighbors(adjacency(r), suppliers)
+
+
+@book.query("b7_adjacency_of_edges", with_graph("SELECT node_id, neighbor_id FROM adj"))
+def b7_edges(r):
+    return gr.adjacency(edges(r))
 
 
 @book.query("b8_expand_context", with_graph("SELECT node_id, hop FROM ball"))
 def b8(r):
-    return gr.expand_context(gr.adjacency(edges(r)), seed(r), 2)
+    return gr.expand_context(adjacency(r), seed(r), 2)
 
 
 @book.query(
@@ -168,7 +178,7 @@ def b8(r):
 )
 def b9(r):
     links = edges(r)
-    return gr.subgraph_size(links, gr.expand_context(gr.adjacency(links), seed(r), 1))
+    return gr.subgraph_size(links, gr.expand_context(adjacency(r), seed(r), 1))
 
 
 @book.query(
@@ -179,7 +189,7 @@ def b9(r):
     FROM nodes WHERE node_id IN (SELECT node_id FROM ball) ORDER BY node_id LIMIT 10"""),
 )
 def b9_texts(r):
-    context = gr.expand_context(gr.adjacency(edges(r)), seed(r), 2)
+    context = gr.expand_context(adjacency(r), seed(r), 2)
     return preview(gr.node_attributes(nodes(r), context).select("node_id", "node_text"), "node_id")
 
 
@@ -195,7 +205,7 @@ def b9_texts(r):
 )
 def b10(r):
     links = edges(r, "units_sold", "total_sales_value")
-    context = gr.expand_context(gr.adjacency(links), seed(r), 2)
+    context = gr.expand_context(adjacency(r), seed(r), 2)
     facts = gr.subgraph_facts(
         gr.induced_subgraph(links, context),
         "item_details",
@@ -249,4 +259,4 @@ def b11_counts(r):
     SELECT node_id, degree, neighbors FROM d JOIN k USING (node_id)"""),
 )
 def b12(r):
-    return gr.degree(edges(r))
+    return gr.degree(gr.linked_pairs(r.sales(*MAPPING), MAPPING))

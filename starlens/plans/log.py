@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import functions as F
 
+from starlens.joins import spread
+
 ORDER_QUESTIONS = (
     ("Top {n} customers by sales in {month} {year}", "simple"),
     ("What are the top {n} items by revenue in {month} {year}?", "simple"),
@@ -122,7 +124,7 @@ _ITEM_SQL = {"name": "p_name", "kind": "p_type", "key": "CAST(p_partkey AS VARCH
 
 def question_log(r):
     """question_id, question, expected route."""
-    orders = r.table("orders").select(
+    orders = spread(r.table("orders")).select(
         F.concat(F.lit("o-"), F.col("o_orderkey").cast("string")).alias("question_id"),
         _spark_choice(F.col("o_orderkey"), ORDER_QUESTIONS, lambda t: _spark_text(t[0], _order_fields())).alias("question"),
         _spark_choice(F.col("o_orderkey"), ORDER_QUESTIONS, lambda t: F.lit(t[1])).alias("expected"),
