@@ -6,3 +6,10 @@ Sub-packages
     operators  DataFrame operators built from them
     plans      named queries over the shipped tables, each beside its SQL twin
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel inside the task, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,9 +80,15 @@ def _text(question: str | Column) -> Column:
 
 
 def mentions_any(lowered: Column, words: Sequence[str]) -> Column:
-    """Substring test against a word list; a word that contains another listed word adds nothing."""
+    """Substring test against a word list.
+
+    A word that contains another listed word adds nothing and is left out.  The list stays one
+    constant array, so the compiled projection does not grow with it, and the outer ``exists``
+    evaluates the text once.
+    """
     needed = [w for w in words if not any(v != w and v in w for v in words)]
-    return reduce(or_, [lowered.contains(w) for w in needed])
+    listed = F.array(*[F.lit(w) for w in needed])
+    return F.exists(F.array(lowered), lambda q: F.exists(listed, lambda w: q.contains(w)))
 
 
 def first_of(lowered: Column, mapping: Mapping[str, str]) -> Column:

@@ -22,8 +22,8 @@ _SALT = "__salt"
 def estimated_bytes(df: DataFrame) -> int | None:
     """Optimizer size estimate (file sizes scaled by the plan), or ``None`` if not available."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except AttributeError:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:  # a remote session has no plan to ask; take the shuffled way
         return None
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from starlens.functions.stats import exact_median, global_rank
 from starlens.joins import lookup_join
+from starlens.session import cut_lineage
 
 VALUE = "total_sales_value"
 UNITS = "units_sold"
@@ -239,37 +240,12 @@ def avg_basket_value(
     return _top(means, F.desc("avg_order_value"), [customer], n)
 
 
-def bought_together(
-    sales: DataFrame,
-    min_support: int,
-    basket: str = "order_id",
-    item: str = "item_id",
-    regular: int = 200,
-) -> DataFrame:
-    """Item pairs that share at least ``min_support`` baskets, with confidence and lift.
-
-    Items below the support are dropped first (no pair of theirs can reach it).  Baskets of at most
-    ``regular`` items are paired inside the basket.  Larger baskets are never paired inside: pairs
-    known from regular baskets are looked up in them, and for pairs that live in large baskets alone
-    the items are grouped by the set of large baskets they are in, sets are compared, and only item
-    pairs whose sets share enough baskets are written.  The result is exact for any basket size.
-    """
-    rows = sales.select(F.col(basket).alias("basket"), F.col(item).alias("item")).distinct()
-    support = rows.groupBy("item").agg(F.count(F.lit(1)).alias("support"))
-    baskets = rows.select("basket").distinct().agg(F.count(F.lit(1))).scalar()
-    frequent = support.filter(F.col("support") >= min_support)
-    kept = rows.join(frequent.select("item"), "item", "left_semi")
-    large = (
-        kept.groupBy("basket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > regular).select("basket")
-    )
-
+def _pairs_in(rows: DataFrame) -> DataFrame:
+    """Item pairs of bounded baskets, counted: (item_a, item_b, support)."""
     lists = (
-        kept.join(large, "basket", "left_anti")
-        .groupBy("basket")
-        .agg(F.sort_array(F.collect_list("item")).alias("its"))
-        .filter(F.size("its") > 1)
+        rows.groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("its")).filter(F.size("its") > 1)
     )
-    pairs_inside = F.flatten(
+    inside = F.flatten(
         F.transform(
             "its",
             lambda x, i: F.transform(
@@ -278,30 +254,28 @@ def bought_together(
             ),
         )
     )
-    known = (
-        lists.select(F.inline(pairs_inside)).groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("regular"))
-    )
+    return lists.select(F.inline(inside)).groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("support"))
+
 
+def _with_large_baskets(kept: DataFrame, large: DataFrame, min_support: int) -> DataFrame:
+    """Pairs with their support when some baskets are too large to be paired inside."""
+    known = _pairs_in(kept.join(large, "basket", "left_anti"))
     in_large = kept.join(large, "basket", "left_semi")
     per_item = in_large.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    reach = known.join(
-        per_item.select(F.col("item").alias("item_a"), F.col("n").alias("n_a")), "item_a", "left"
-    ).join(per_item.select(F.col("item").alias("item_b"), F.col("n").alias("n_b")), "item_b", "left")
-    extra = F.coalesce(F.least("n_a", "n_b"), F.lit(0))
-    # least() skips nulls: a pair gains from large baskets only when both items are in some.
-    extra = F.when(F.col("n_a").isNull() | F.col("n_b").isNull(), F.lit(0)).otherwise(extra)
-    open_pairs = reach.filter((extra > 0) & (F.col("regular") + extra >= min_support))
+    open_pairs = (
+        known.join(per_item.select(F.col("item").alias("item_a"), F.col("n").alias("n_a")), "item_a")
+        .join(per_item.select(F.col("item").alias("item_b"), F.col("n").alias("n_b")), "item_b")
+        .filter(F.col("support") + F.least("n_a", "n_b") >= min_support)
+    )
     looked_up = (
         open_pairs.select("item_a", "item_b")
         .join(in_large.select(F.col("item").alias("item_a"), "basket"), "item_a")
         .join(in_large.select(F.col("item").alias("item_b"), "basket"), ["item_b", "basket"], "left_semi")
         .groupBy("item_a", "item_b")
-        .agg(F.count(F.lit(1)).alias("large"))
+        .agg(F.count(F.lit(1)).alias("more"))
     )
-    counted = (
-        known.join(looked_up, ["item_a", "item_b"], "left")
-        .select("item_a", "item_b", (F.col("regular") + F.coalesce("large", F.lit(0))).alias("support"))
-        .filter(F.col("support") >= min_support)
+    counted = known.join(looked_up, ["item_a", "item_b"], "left").select(
+        "item_a", "item_b", (F.col("support") + F.coalesce("more", F.lit(0))).alias("support")
     )
 
     # Pairs of large baskets only: compare basket sets, then write the qualifying item pairs.
@@ -310,8 +284,7 @@ def bought_together(
         .groupBy("item")
         .agg(F.sort_array(F.collect_list("basket")).alias("held"))
     )
-    sets = members.select("held").distinct()
-    cells = sets.select("held", F.explode("held").alias("basket"))
+    cells = members.select("held").distinct().select("held", F.explode("held").alias("basket"))
     overlap = (
         cells.select(F.col("held").alias("held_a"), "basket")
         .join(cells.select(F.col("held").alias("held_b"), "basket"), "basket")
@@ -328,11 +301,39 @@ def bought_together(
         .select("item_a", "item_b", "support")
         .join(known.select("item_a", "item_b"), ["item_a", "item_b"], "left_anti")
     )
+    return counted.unionByName(large_only)
+
 
+def bought_together(
+    sales: DataFrame,
+    min_support: int,
+    basket: str = "order_id",
+    item: str = "item_id",
+    regular: int = 200,
+) -> DataFrame:
+    """Item pairs that share at least ``min_support`` baskets, with confidence and lift.
+
+    Items below the support are dropped first (no pair of theirs can reach it) and the rest is
+    checkpointed, since several steps read it.  Baskets of at most ``regular`` items are paired
+    inside the basket.  Larger baskets are never paired inside: pairs known from regular baskets are
+    looked up in them, and for pairs that live in large baskets alone the items are grouped by the
+    set of large baskets they are in, sets are compared, and only item pairs whose sets share enough
+    baskets are written.  The result is exact for any basket size.
+    """
+    rows = sales.select(F.col(basket).alias("basket"), F.col(item).alias("item")).distinct()
+    support = rows.groupBy("item").agg(F.count(F.lit(1)).alias("support"))
+    frequent = support.filter(F.col("support") >= min_support)
+    baskets = rows.select("basket").distinct().agg(F.count(F.lit(1))).scalar()
+    kept = cut_lineage(rows.join(frequent, "item"))
+    sizes = kept.groupBy("basket").agg(F.count(F.lit(1)).alias("n"))
+    large = cut_lineage(sizes.filter(F.col("n") > regular).select("basket"))
+    thin = kept.select("basket", "item")
+    pairs = _pairs_in(thin) if large.isEmpty() else _with_large_baskets(thin, large, min_support)
+    per_item = kept.select("item", "support").distinct()
     out = (
-        counted.unionByName(large_only)
-        .join(support.select(F.col("item").alias("item_a"), F.col("support").alias("support_a")), "item_a")
-        .join(support.select(F.col("item").alias("item_b"), F.col("support").alias("support_b")), "item_b")
+        pairs.filter(F.col("support") >= min_support)
+        .join(per_item.select(F.col("item").alias("item_a"), F.col("support").alias("support_a")), "item_a")
+        .join(per_item.select(F.col("item").alias("item_b"), F.col("support").alias("support_b")), "item_b")
     )
     return out.select(
         "item_a",

@@ -12,6 +12,7 @@ from starlens.functions.render import buyer_line, semantic_answers, semantic_lin
 from starlens.functions.vectors import HashingEncoder, embed_queries
 from starlens.joins import lookup_join
 from starlens.operators.search import batch_semantic_search
+from starlens.session import cut_lineage
 
 AGGREGATION_NOTE = (
     "This looks like an aggregation question; run it as a star aggregation for exact figures.\n"
@@ -127,8 +128,9 @@ def answer_batch(
     ``nodes`` has node_id, node_text and embedding.  Each distinct question text is answered once.
     """
     log = questions.select("question_id", "question", F.sha2("question", 256).alias("query_id"))
-    texts = (
-        log.groupBy("query_id").agg(F.first("question").alias("question")).withColumn("route", deployed_route("question"))
+    # Every branch below starts from the distinct texts: they are worked out and written once.
+    texts = cut_lineage(
+        log.groupBy("query_id").agg(F.min("question").alias("question")).withColumn("route", deployed_route("question"))
     )
     searched = texts.filter("route <> 'pattern'")
     queries = embed_queries(searched, "question", encoder, element=element)

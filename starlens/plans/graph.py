@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import inspect
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from starlens.functions.text import stringify_attributes
-from starlens.joins import spread
 from starlens.operators import aggregates as agg
 from starlens.operators import graph as gr
 from starlens.operators.patterns import preview
@@ -34,7 +34,7 @@ def nodes(r):
 
 
 def edges(r, *columns):
-    return gr.build_edges(spread(r.sales(*MAPPING, *columns)), MAPPING)
+    return gr.build_edges(replace(r, deal=True).sales(*MAPPING, *columns), MAPPING)
 
 
 def adjacency(r):

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starlens.joins import lookup_join
+from starlens.joins import lookup_join, spread
 from starlens.sources.tables import load_table
 
 SALES_COLUMNS = (
@@ -34,10 +34,14 @@ _FROM_ORDERS = {"customer_id": "o_custkey", "sale_date": "o_orderdate"}
 
 @dataclass(frozen=True)
 class Retail:
-    """Loader of the fact and its dimensions from one folder of parquet tables."""
+    """Loader of the fact and its dimensions from one folder of parquet tables.
+
+    ``deal`` spreads a small fact over all cores, for work that is heavy per row.
+    """
 
     spark: SparkSession
     root: str
+    deal: bool = False
 
     def table(self, name: str) -> DataFrame:
         return load_table(self.spark, name, self.root)
@@ -59,6 +63,8 @@ class Retail:
         if "location_id" in wanted:
             needed.add("supplier_id")
         df = fact.select(*[F.col(_FROM_LINES[c]).alias(c) for c in _FROM_LINES if c in needed])
+        if self.deal:
+            df = spread(df)
         if orders:
             # Two table-sized sides: one shuffle each; adaptive execution splits hot orders.
             head = self.table("orders").select(
