@@ -3,8 +3,9 @@
 * The lookup is broadcast only while the optimizer's size estimate stays under a fixed bound.
 * Beyond the bound the join is shuffled on (key, salt): every lookup row is copied once per salt
   and each large-side row takes a salt from a hash of its content, so one key that holds a third of
-  all rows spreads over ``salts`` tasks.  A content hash gives the same salt when a lost task reruns.
-* The table-sized join of two facts is left to adaptive execution, which splits hot partitions.
+  all rows spreads over several tasks.  A content hash gives the same salt when a lost task reruns.
+* The number of salts falls as the lookup grows, so that its copies stay within a fixed volume.
+  Without salts, as in the join of two table-sized sides, adaptive execution splits hot partitions.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 16
+COPIED_BYTES = 64 * 1024 * 1024 * 1024
 _SALT = "__salt"
 
 
@@ -32,18 +34,28 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return size is not None and size <= limit
 
 
+def salts_for(size: int | None, most: int = SALTS) -> int:
+    """Copies of a lookup of ``size`` bytes; one when more than one would exceed the volume."""
+    if size is None:
+        return most
+    return max(1, min(most, COPIED_BYTES // max(size, 1)))
+
+
 def lookup_join(
     big: DataFrame,
     lookup: DataFrame,
     on: str | Sequence[str],
     how: str = "inner",
     limit: int = BROADCAST_BYTES,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join ``big`` with ``lookup`` on equally named columns (inner, left, left_semi, left_anti)."""
     keys = [on] if isinstance(on, str) else list(on)
-    if fits_broadcast(lookup, limit):
+    size = estimated_bytes(lookup)
+    if size is not None and size <= limit:
         return big.join(F.broadcast(lookup), keys, how)
+    if salts is None:
+        salts = salts_for(size)
     others = [c for c in big.columns if c not in keys]
     if not others or salts < 2:
         return big.join(lookup, keys, how)

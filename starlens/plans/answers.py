@@ -86,27 +86,38 @@ def i2_empty(r):
     return render.result_answer(rich, "Items above a billion")
 
 
+_WHEN = "in Q4 2000"
+
+
+def _buyers_text(found: str, title: str, nobody: str) -> str:
+    """SQL of one answer: title and either the first ten buyers of the table ``found`` or ``nobody``."""
+    return f"""
+    SELECT '{title} {_WHEN}:' || chr(10) || CASE WHEN (SELECT count(*) FROM {found}) = 0 THEN {nobody} ELSE
+      'Found ' || (SELECT count(*) FROM {found}) || ' customers:' || chr(10)
+      || (SELECT string_agg(p || '. ' || customer_name || ' (ID: ' || customer_id || ') - ' || customer_segment, chr(10) ORDER BY p)
+          FROM (SELECT *, row_number() OVER (ORDER BY customer_id) AS p FROM customers
+                WHERE customer_id IN (SELECT customer_id FROM {found})) WHERE p <= 10)
+      || CASE WHEN (SELECT count(*) FROM {found}) > 10 THEN chr(10) || '... and '
+         || ((SELECT count(*) FROM {found}) - 10) || ' more customers' ELSE '' END END AS answer"""
+
+
 @book.star(
     "i3_bought_lines",
-    """
+    f"""
     , a AS (SELECT DISTINCT customer_id FROM sales JOIN items USING (item_id) WHERE item_name LIKE '%red plate%'
             AND year(sale_date) = 2000 AND quarter(sale_date) = 4),
     b AS (SELECT DISTINCT customer_id FROM sales JOIN items USING (item_id) WHERE item_name LIKE '%small widget%'
           AND year(sale_date) = 2000 AND quarter(sale_date) = 4),
-    w AS (SELECT c.*, row_number() OVER (ORDER BY customer_id) AS p FROM customers c
-          WHERE customer_id IN (SELECT customer_id FROM a))
-    SELECT 'Customers who bought ''red plate'' in Q4 2000:' || chr(10) || 'Found ' || (SELECT count(*) FROM a) || ' customers:' || chr(10)
-      || string_agg(p || '. ' || customer_name || ' (ID: ' || customer_id || ') - ' || customer_segment, chr(10) ORDER BY p)
-      || chr(10) || '... and ' || ((SELECT count(*) FROM w) - 10) || ' more customers' AS answer FROM w WHERE p <= 10
+    ab AS (SELECT customer_id FROM a JOIN b USING (customer_id))
+    {_buyers_text('a', "Customers who bought ''red plate''", f"'No customers found who purchased this product {_WHEN}.'")}
     UNION ALL
-    SELECT 'Customers who bought both ''red plate'' AND ''small widget'' in Q4 2000:' || chr(10)
-      || CASE WHEN (SELECT count(*) FROM a JOIN b USING (customer_id)) = 0 THEN 'none' ELSE
-      'Found ' || (SELECT count(*) FROM a JOIN b USING (customer_id)) || ' customers:' || chr(10)
-      || (SELECT string_agg(p || '. ' || customer_name || ' (ID: ' || customer_id || ') - ' || customer_segment, chr(10) ORDER BY p)
-          FROM (SELECT *, row_number() OVER (ORDER BY customer_id) AS p FROM customers
-                WHERE customer_id IN (SELECT customer_id FROM a JOIN b USING (customer_id))) WHERE p <= 10)
-      || CASE WHEN (SELECT count(*) FROM a JOIN b USING (customer_id)) > 10 THEN chr(10) || '... and '
-         || ((SELECT count(*) FROM a JOIN b USING (customer_id)) - 10) || ' more customers' ELSE '' END END
+    {_buyers_text(
+        'ab',
+        "Customers who bought both ''red plate'' AND ''small widget''",
+        f"""'No customers found who purchased both products {_WHEN}.' || chr(10) || 'Note:' || chr(10)
+        || '  • ' || (SELECT count(*) FROM a) || ' customers bought ''red plate'' {_WHEN}' || chr(10)
+        || '  • ' || (SELECT count(*) FROM b) || ' customers bought ''small widget'' {_WHEN}'""",
+    )}
     UNION ALL SELECT 'Product ''purple plate'' not found'""",
 )
 def i3(r):

@@ -110,3 +110,11 @@ def test_approximate_buyers(spark):
     sales = spark.range(5000).select((F.col("id") % 700).alias("customer_id"), (F.col("id") % 2).alias("item_id"))
     assert distinct_buyers(sales).first()[0] == 700
     assert abs(distinct_buyers(sales, approx=True).first()[0] - 700) < 70
+
+
+def test_salts_shrink_with_the_lookup():
+    from starlens.joins import COPIED_BYTES, SALTS, salts_for
+
+    assert salts_for(None) == SALTS and salts_for(1 << 20) == SALTS
+    assert salts_for(COPIED_BYTES // 4) == 4
+    assert salts_for(COPIED_BYTES * 100) == 1
