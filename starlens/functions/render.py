@@ -70,7 +70,7 @@ def semantic_lines(ranked: DataFrame, nodes: DataFrame, key: str = "node_id", te
     Only nodes that were hit take part in the join, each once, so a popular node costs one row.
     """
     hit = nodes.select(key, text).join(ranked.select(key).distinct(), key, "left_semi")
-    shown = lookup_join(ranked.select("query_id", key, "score", "rank"), hit, key)
+    shown = lookup_join(ranked.select("query_id", key, "score", "rank"), hit, key, salts=4)
     score = F.format_number(F.col("score").cast("double"), 3)
     return shown.select(
         "query_id",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starlens.joins import lookup_join
+from starlens.joins import SALTS, lookup_join
 
 _ACCURACY = 100_000
 _MARGIN = 5.0 / _ACCURACY
@@ -88,4 +88,4 @@ def global_rank(df: DataFrame, value: str, name: str, dense: bool = False) -> Da
             )
         ).alias(name),
     )
-    return lookup_join(df, ranked, value)
+    return lookup_join(df, ranked, value, salts=SALTS)

@@ -49,7 +49,12 @@ def lookup_join(
     limit: int = BROADCAST_BYTES,
     salts: int | None = None,
 ) -> DataFrame:
-    """Join ``big`` with ``lookup`` on equally named columns (inner, left, left_semi, left_anti)."""
+    """Join ``big`` with ``lookup`` on equally named columns (inner, left, left_semi, left_anti).
+
+    ``salts`` fixes the number of copies beyond the broadcast bound.  Callers whose lookup is a narrow
+    set of keys pass ``SALTS``: estimates of derived sets are often far too high, and copies of keys
+    are cheap beside the rows they meet.
+    """
     keys = [on] if isinstance(on, str) else list(on)
     size = estimated_bytes(lookup)
     if size is not None and size <= limit:

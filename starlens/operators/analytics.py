@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starlens.functions.stats import exact_median, global_rank
-from starlens.joins import lookup_join
+from starlens.joins import SALTS, lookup_join
 from starlens.session import cut_lineage
 
 VALUE = "total_sales_value"
@@ -101,7 +101,7 @@ def buyers_in_n_locations(
 def sold_everywhere(sales: DataFrame, dim: DataFrame, location: str, item: str = "item_id") -> DataFrame:
     """Items sold in every member of a dimension (relational division)."""
     members = dim.select(location).distinct()
-    pairs = lookup_join(sales.select(item, location).distinct(), members, location, "left_semi")
+    pairs = lookup_join(sales.select(item, location).distinct(), members, location, "left_semi", salts=SALTS)
     covered = pairs.groupBy(item).agg(F.count(location).alias("locations"))
     return covered.filter(F.col("locations") == members.agg(F.count(F.lit(1))).scalar())
 

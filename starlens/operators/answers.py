@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from starlens.functions.questions import deployed_route, product_mentions
 from starlens.functions.render import buyer_line, semantic_answers, semantic_lines
 from starlens.functions.vectors import HashingEncoder, embed_queries
-from starlens.joins import lookup_join
+from starlens.joins import SALTS, lookup_join
 from starlens.operators.search import batch_semantic_search
 from starlens.session import cut_lineage
 
@@ -40,7 +40,7 @@ def resolve_mentions(mentions: DataFrame, items: DataFrame, key: str = "item_id"
     )
     pieces = names.withColumn("n", lengths).select(F.explode(F.array_distinct(cut)).alias("m"), "first_item")
     ids = items.select(F.lower(F.col(key).cast("string")).alias("m"), F.col(key).alias("first_item"))
-    hits = lookup_join(pieces.unionByName(ids), wanted, "m", "left_semi")
+    hits = lookup_join(pieces.unionByName(ids), wanted, "m", "left_semi", salts=SALTS)
     first = hits.groupBy("m").agg(F.min("first_item").alias("first_item"))
     return wanted.join(first, "m", "left").select(F.col("m").alias("mention"), "first_item")
 
@@ -48,7 +48,7 @@ def resolve_mentions(mentions: DataFrame, items: DataFrame, key: str = "item_id"
 def buyers_per_set(sets: DataFrame, sales: DataFrame, customers: DataFrame, n: int, contact: str | None) -> DataFrame:
     """Per set of items (set_id, item_id): number of distinct buyers and the lines of the first ``n``."""
     wanted = sets.select("item_id").distinct()
-    pairs = lookup_join(sales.select("item_id", "customer_id"), wanted, "item_id", "left_semi").distinct()
+    pairs = lookup_join(sales.select("item_id", "customer_id"), wanted, "item_id", "left_semi", salts=SALTS).distinct()
     buyers = pairs.join(sets, "item_id").select("set_id", "customer_id").distinct()
     counts = buyers.groupBy("set_id").agg(F.count(F.lit(1)).alias("buyers"))
     order = Window.partitionBy("set_id").orderBy("customer_id")
@@ -142,4 +142,6 @@ def answer_batch(
     answered = texts.select("query_id", "route").join(bodies, "query_id").select(
         "query_id", "route", F.concat(note, "answer").alias("answer")
     )
-    return lookup_join(log.select("question_id", "query_id"), answered, "query_id").select("question_id", "route", "answer")
+    return lookup_join(log.select("question_id", "query_id"), answered, "query_id", salts=4).select(
+        "question_id", "route", "answer"
+    )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starlens.functions.text import describe_row
-from starlens.joins import lookup_join
+from starlens.joins import SALTS, lookup_join
 from starlens.session import cut_lineage
 
 HIDDEN = ("node_id", "node_table", "node_key", "node_text")
@@ -56,7 +56,7 @@ def _endpoints(fact: DataFrame, mapping: Mapping[str, str], dims: Mapping[str, D
             members = dims[table]
             flag = f"__has_{i}"
             known = members.select(F.col(members.columns[0]).alias(fk)).distinct()
-            rows = lookup_join(rows, known.withColumn(flag, F.lit(True)), fk, "left")
+            rows = lookup_join(rows, known.withColumn(flag, F.lit(True)), fk, "left", salts=SALTS)
             exists[fk] = F.coalesce(F.col(flag), F.lit(False))
     return rows, used, exists
 
@@ -158,7 +158,7 @@ def adjacency_of(
 
 def neighbors(adj: DataFrame, ids: DataFrame) -> DataFrame:
     """Neighbour pairs of the given nodes."""
-    return lookup_join(adj, ids.select("node_id").distinct(), "node_id", "left_semi")
+    return lookup_join(adj, ids.select("node_id").distinct(), "node_id", "left_semi", salts=SALTS)
 
 
 def expand_context(adj: DataFrame, seeds: DataFrame, max_hops: int = 2) -> DataFrame:
@@ -184,9 +184,11 @@ def expand_context(adj: DataFrame, seeds: DataFrame, max_hops: int = 2) -> DataF
 def induced_subgraph(edges: DataFrame, node_set: DataFrame) -> DataFrame:
     """The edges with both ends in ``node_set``."""
     inside = node_set.select("node_id").distinct()
-    by_source = lookup_join(edges, inside.withColumnRenamed("node_id", "src_id"), "src_id", "left_semi")
+    by_source = lookup_join(
+        edges, inside.withColumnRenamed("node_id", "src_id"), "src_id", "left_semi", salts=SALTS
+    )
     return lookup_join(
-        by_source, inside.withColumnRenamed("node_id", "dst_id"), "dst_id", "left_semi"
+        by_source, inside.withColumnRenamed("node_id", "dst_id"), "dst_id", "left_semi", salts=SALTS
     ).select(*edges.columns)
 
 

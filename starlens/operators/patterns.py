@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starlens.functions.dates import date_predicate
-from starlens.joins import lookup_join
+from starlens.joins import SALTS, lookup_join
 
 
 def product_condition(
@@ -44,7 +44,9 @@ def buyer_ids(
     sales: DataFrame, matched: DataFrame, key: str = "item_id", customer: str = "customer_id"
 ) -> DataFrame:
     """Distinct customers with at least one sale of a matched item."""
-    hits = lookup_join(sales.select(key, customer), matched.select(key).distinct(), key, "left_semi")
+    hits = lookup_join(
+        sales.select(key, customer), matched.select(key).distinct(), key, "left_semi", salts=SALTS
+    )
     return hits.select(customer).distinct()
 
 
@@ -82,7 +84,7 @@ def _flagged(items: DataFrame, a: str, b: str, case_sensitive: bool) -> DataFram
 def pair_profile(sales: DataFrame, items: DataFrame, a: str, b: str, case_sensitive: bool = False) -> DataFrame:
     """Per customer with a hit: bought a, bought b, and whether two different items can serve."""
     hits = lookup_join(
-        sales.select("item_id", "customer_id"), _flagged(items, a, b, case_sensitive), "item_id"
+        sales.select("item_id", "customer_id"), _flagged(items, a, b, case_sensitive), "item_id", salts=SALTS
     )
     id_a, id_b = F.when(F.col("is_a"), F.col("item_id")), F.when(F.col("is_b"), F.col("item_id"))
     folded = hits.groupBy("customer_id").agg(

@@ -33,12 +33,16 @@ def nodes(r):
     return gr.build_nodes(dims(r))
 
 
+def fact(r, *columns):
+    return replace(r, deal=True).sales(*MAPPING, *columns)
+
+
 def edges(r, *columns):
-    return gr.build_edges(replace(r, deal=True).sales(*MAPPING, *columns), MAPPING)
+    return gr.build_edges(fact(r, *columns), MAPPING)
 
 
 def adjacency(r):
-    return gr.adjacency_of(r.sales(*MAPPING), MAPPING)
+    return gr.adjacency_of(fact(r), MAPPING)
 
 
 GRAPH = """suppliers AS (
@@ -117,7 +121,7 @@ def b2_types(r):
 )
 def b3(r):
     members = {**dims(r), "customer_details": r.customers().filter("customer_segment = 'BUILDING'")}
-    out = gr.build_edges(r.sales(*MAPPING, "units_sold"), MAPPING, members)
+    out = gr.build_edges(fact(r, "units_sold"), MAPPING, members)
     return out.groupBy("src_table", "dst_table").agg(
         F.count(F.lit(1)).alias("edges"), F.sum("units_sold").alias("units")
     )
@@ -259,4 +263,4 @@ def b11_counts(r):
     SELECT node_id, degree, neighbors FROM d JOIN k USING (node_id)"""),
 )
 def b12(r):
-    return gr.degree(gr.linked_pairs(r.sales(*MAPPING), MAPPING))
+    return gr.degree(gr.linked_pairs(fact(r), MAPPING))

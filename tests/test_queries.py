@@ -18,5 +18,9 @@ def test_entry_gives_rows(spark):
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_same_as_sql(spark, con, name):
-    difference, _ = compare(QUERIES[name](spark, SMALL), con, ORACLES[name])
+    df = QUERIES[name](spark, SMALL)
+    difference, _ = compare(df, con, ORACLES[name])
     assert not difference, difference
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert operator not in plan

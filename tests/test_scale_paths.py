@@ -118,3 +118,34 @@ def test_salts_shrink_with_the_lookup():
     assert salts_for(None) == SALTS and salts_for(1 << 20) == SALTS
     assert salts_for(COPIED_BYTES // 4) == 4
     assert salts_for(COPIED_BYTES * 100) == 1
+
+
+def test_walk_and_patterns_without_broadcast(spark, monkeypatch):
+    """The salted joins inside the operators give the broadcast ones' rows."""
+    from starlens import joins
+    from starlens.operators import graph as gr
+
+    rng = random.Random(2)
+    fact = spark.createDataFrame(
+        [(0 if i % 3 == 0 else rng.randrange(60), rng.randrange(40)) for i in range(600)],
+        "customer_id bigint, item_id bigint",
+    )
+    items = spark.createDataFrame([(i, f"{'red' if i % 5 else 'blue'} {i}") for i in range(40)], "item_id bigint, item_name string")
+    customers = spark.createDataFrame([(i, f"c{i}") for i in range(60)], "customer_id bigint, customer_name string")
+    mapping = {"item_id": "item", "customer_id": "customer"}
+    seeds = spark.createDataFrame([("customer_0",)], "node_id string")
+
+    def results():
+        edges = gr.build_edges(fact, mapping, {"item": items.filter("item_id < 30")})
+        walk = gr.expand_context(gr.adjacency(edges), seeds, 2)
+        return [
+            sorted(map(tuple, walk.collect())),
+            gr.subgraph_size(edges, walk).collect(),
+            sorted(map(tuple, pat.customers_who_bought(fact, items, customers, "blue").collect())),
+            pat.pair_support(fact, items, "blue", "red 1").collect(),
+        ]
+
+    plain = results()
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(joins.lookup_join, "__defaults__", ("inner", -1, None))
+    assert results() == plain
