@@ -5,7 +5,9 @@ import pytest
 from conftest import SMALL
 from oracle import compare
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from starlens import plans
+
+QUERIES, ORACLES = plans.all_queries(), plans.all_oracles()
 
 
 def test_every_query_has_a_twin():
