@@ -17,7 +17,9 @@ from starlens.llm import (
     oracles,
     pii,
     quality_rules,
+    recompress,
     secret_scan,
+    suffix_dedup,
 )
 
 #: The key of this data set's surrogates; a real one comes from a secret store.
@@ -56,6 +58,10 @@ def op3_language_id(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op4_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return recompress.remove_repeats(documents(spark, root)).drop("kept_text")
+
+
 def op5_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, root), VOCABULARY, public_tokenizers.PATTERN)
 
@@ -64,6 +70,10 @@ def op6_secret_scan(spark: SparkSession, root: str) -> DataFrame:
     return secret_scan.scan_secrets(documents(spark, root)).drop("found")
 
 
+def op7_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(documents(spark, root)).drop("kept")
+
+
 def op8_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     found = quality_rules.quality_rules(documents(spark, root))
     return found.select(
@@ -92,8 +102,10 @@ _ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_pii_surrogates,
     op2_near_duplicates,
     op3_language_id,
+    op4_substring_dedup,
     op5_byte_bpe,
     op6_secret_scan,
+    op7_suffix_dedup,
     op8_quality_rules,
     op9_quality_classifier,
     op10_decontamination,
@@ -108,6 +120,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def all_oracles() -> dict[str, str]:
     return {
         "op2_near_duplicates": oracles.NEAR_DUPLICATES,
+        "op4_substring_dedup": oracles.SUBSTRINGS,
         "op6_secret_scan": oracles.SECRETS,
         "op8_quality_rules": oracles.QUALITY,
         "op10_decontamination": oracles.DECONTAMINATION,
