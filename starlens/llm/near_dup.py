@@ -7,9 +7,11 @@ pairs, the joint likelihood of both sketches discards those that cannot be simil
 remaining pair is confirmed on the full sets.
 
 Equal sets are one class from the start.  In a bucket of a band all classes are first compared with its
-smallest one only; the links found so are closed to components, and then just those pairs of a bucket are
-compared that are still in different components.  So no link between different texts is lost, and a large group
-of copies never costs all of its pairs.
+smallest one, the centre, and the links found are closed to components.  Two members of a bucket that
+these don't join can only be similar if they share differences from the centre: with no shared difference, each is
+at most as similar to the other as to the centre.  How many they must share follows from the sizes, so a prefix
+of the rarest differences finds every such pair.  No link between different texts is lost, and a large
+group of copies never costs all of its pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starlens.llm.common import Words, as_bytes, by_value, chunks, mix, stored, texts_of
@@ -160,21 +162,88 @@ def _likely(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.mapInArrow(kernel, f"a {kind}, b {kind}, n_a long, n_b long")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Links among candidate ``pairs`` (a, b): estimated on the sketches, then counted on the full sets."""
+def _with_sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
+    """Pairs (a, b, n_a, n_b, m_a, m_b) that the sketches leave, with their full sets."""
     one = classes.select(F.col("rep").alias("a"), F.col("registers").alias("r_a"), F.col("n").alias("n_a"))
     two = classes.select(F.col("rep").alias("b"), F.col("registers").alias("r_b"), F.col("n").alias("n_b"))
-    both = pairs.join(one, "a").join(two, "b").filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-    near = stored(_likely(both.select("a", "b", "r_a", "r_b", "n_a", "n_b"), num / den - SLACK))
+    both = pairs.join(one, "a").join(two, "b")
+    near = stored(_likely(both.select("a", "b", "r_a", "r_b", "n_a", "n_b"), least))
     wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     # One row of a class is enough, whichever of repeated rows it is.
     texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = stored(_sets(texts, size))
     first = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("m_a"))
     second = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("m_b"))
-    common = near.join(first, "a").join(second, "b").withColumn("common", F.size(F.array_intersect("m_a", "m_b")))
-    return common.filter(F.col("common") * den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * num).select(
-        "a", "b"
+    return near.join(first, "a").join(second, "b")
+
+
+def _linked(num: int, den: int) -> Column:
+    return F.col("common") * den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * num
+
+
+def _across(stars: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of members of one centre, in different components, that may be similar enough.
+
+    ``stars``: centre, rep, n_c, n, common, linked, differences.  For two members x and y the shared differences
+    needed are s = t (n_x + n_y) - (common_x + common_y - n_c) with t = num / (num + den), and at least 1.
+    ``needed`` is a lower bound of s over all partners that a member can have, so each pair shares one of the
+    k - needed + 1 rarest differences of both.
+    """
+    t, tau = num / (num + den), num / den
+    mixed = (
+        stars.groupBy("centre")
+        .agg(
+            F.count(F.lit(1)).alias("held"),
+            F.sum((~F.col("linked")).cast("int")).alias("apart"),
+            F.min("n").alias("lo"),
+            F.max("n").alias("hi"),
+        )
+        .filter("held > 1 and apart > 0")
+    )
+    members = stars.join(mixed.select("centre", "lo", "hi"), "centre").withColumn("k", F.size("differences"))
+    least_n = F.greatest(F.col("n") * tau, F.col("lo"))
+    most_n = F.least(F.col("n") / tau, F.col("hi"))
+    # Bounds of t n_y - common_y: by common_y <= n_c; by s <= k_y; and, if x is linked, since y is not.
+    rest = F.greatest(
+        least_n * t - F.col("n_c"),
+        (2 * t - 1) * (most_n if 2 * t < 1 else least_n) - F.col("common") + t * F.col("n"),
+        F.when(F.col("linked"), -t * F.col("n_c")),
+    )
+    needed = F.greatest(F.ceil(F.col("n") * t - F.col("common") + F.col("n_c") + rest - 1e-6), F.lit(1))
+    members = members.withColumn("prefix", F.col("k") - needed + 1)
+    centres = members.groupBy("rep").agg(F.array_sort(F.collect_set("centre")).alias("centres"))
+    each = members.select("centre", "rep", "prefix", F.explode("differences").alias("token"))
+    held = each.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("times"))
+    order = Window.partitionBy("centre", "rep").orderBy("times", "token")
+    prefixes = (
+        each.join(held, ["centre", "token"])
+        .withColumn("place", F.row_number().over(order))
+        .filter("place <= prefix and times > 1")
+        .select("centre", "rep", "token")
+    )
+    named = (
+        members.select("centre", "rep", "n", "n_c", "k", "common", "linked")
+        .join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+        .join(centres, "rep")
+        .withColumn("label", F.coalesce("label", "rep"))
+    )
+    rows = stored(prefixes.join(named, ["centre", "rep"]))
+    x, y = rows.alias("x"), rows.alias("y")
+    shared = (F.col("x.n") + F.col("y.n")) * t - (F.col("x.common") + F.col("y.common") - F.col("x.n_c"))
+    return (
+        x.join(
+            y,
+            (F.col("x.centre") == F.col("y.centre"))
+            & (F.col("x.token") == F.col("y.token"))
+            & (F.col("x.rep") < F.col("y.rep"))
+            & (F.col("x.label") != F.col("y.label"))
+            & ~(F.col("x.linked") & F.col("y.linked"))
+            & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
+            & (shared <= F.least("x.k", "y.k") + 1e-6)
+            & (F.element_at(F.array_intersect("x.centres", "y.centres"), 1) == F.col("x.centre")),
+        )
+        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        .distinct()
     )
 
 
@@ -196,36 +265,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         .groupBy("set_key")
         .agg(F.min("doc_id").alias("rep"), F.min("registers").alias("registers"), F.min("n_shingles").alias("n"))
     )
-    # Repeated doc_ids with different texts: one document, so its sets are linked through the id.
     keyed = classes.select("rep", "registers", "n").dropDuplicates(["rep"])
     members = keyed.select("rep", "n", F.posexplode(_band_keys("registers")).alias("band", "key"))
     centres = members.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("held"))
-    crowded = stored(
-        members.join(centres.filter("held > 1"), "key").select("key", "rep", "centre")
+    crowded = members.join(centres.filter("held > 1"), "key").select("rep", "centre")
+    pairs = crowded.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = stored(
+        _with_sets(pairs, keyed, docs, size, num / den - 2 * SLACK)
+        .withColumn("common", F.size(F.array_intersect("m_a", "m_b")))
+        .select(
+            F.col("a").alias("centre"),
+            F.col("b").alias("rep"),
+            F.col("n_a").alias("n_c"),
+            F.col("n_b").alias("n"),
+            "common",
+            _linked(num, den).alias("linked"),
+            F.concat(F.array_except("m_b", "m_a"), F.array_except("m_a", "m_b")).alias("differences"),
+        )
     )
-    stars = crowded.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stored(_confirmed(stars, keyed, docs, size, num, den))
+    links = stars.filter("linked").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
     labels = components(links)
-
-    # Buckets that still hold several components: all pairs across them, each in the first band they share.
-    named = crowded.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "key", "rep", "centre", F.coalesce("label", "rep").alias("label")
+    across = _across(stars, labels, num, den)
+    more = stored(
+        _with_sets(across, keyed, docs, size, num / den - SLACK)
+        .withColumn("common", F.size(F.array_intersect("m_a", "m_b")))
+        .filter(_linked(num, den))
+        .select("a", "b")
     )
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    open_ones = named.join(mixed.select("key"), "key", "left_semi")
-    open_ones = stored(open_ones.join(keyed.select("rep", "n", _band_keys("registers").alias("keys")), "rep"))
-    x, y = open_ones.alias("x"), open_ones.alias("y")
-    first_shared = F.element_at(F.array_intersect("x.keys", "y.keys"), 1) == F.col("x.key")
-    across = x.join(
-        y,
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.label") < F.col("y.label"))
-        & (F.col("x.rep") != F.col("x.centre"))
-        & (F.col("y.rep") != F.col("x.centre"))
-        & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
-        & first_shared,
-    ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    more = stored(_confirmed(across, keyed, docs, size, num, den))
     every = links.union(more)
     labels = components(every)
     degree = every.select(F.col("a").alias("rep")).union(every.select("b")).groupBy("rep").agg(

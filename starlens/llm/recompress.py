@@ -7,9 +7,10 @@ words at either end.  Symbols never grow beyond ``LONGEST`` words, which bounds
 
     a run at the end (LONGEST) and one symbol (LONGEST - 1) for each of ROUNDS pair rounds,
 
-so that each window of 50 words keeps at least ``TILES`` whole symbols that all its copies have too.  Phrases of
-``PHRASE`` such symbols, thinned to local minima, are counted over all documents in Spark.  Only windows around a
-phrase that two documents share can repeat; they are compared as wholes (128-bit hashes), every one of them.
+so the whole symbols further inside a window are those of all its copies.  A phrase is ``PHRASE`` symbols in a
+row; each window is known by the phrase of smallest name that begins in a fixed range inside it.  These phrases
+are counted over all documents in Spark.  A window can only repeat if its phrase stands in two different
+documents; all such windows are compared as wholes (96-bit hashes).
 """
 
 from __future__ import annotations
@@ -29,9 +30,13 @@ WINDOW = 50
 LONGEST, ROUNDS, PHRASE = 3, 2, 4
 
 
-def tiles(window: int) -> int:
-    """Whole symbols that all copies of a window share."""
-    return (window - 2 * (LONGEST + ROUNDS * (LONGEST - 1))) // LONGEST
+#: Words at either end of a window whose symbols may differ between its copies.
+EDGE = LONGEST + ROUNDS * (LONGEST - 1)
+
+
+def starts_inside(window: int) -> int:
+    """From how many places on, behind the edge, a phrase may begin and lie inside all the same."""
+    return window - 2 * EDGE - PHRASE * LONGEST + 1
 
 
 def symbols(names: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,63 +71,77 @@ def symbols(names: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return names, first, length
 
 
-def phrases(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, first word, end) of the phrases that are smallest among some neighbours that a window must hold."""
+def window_phrases(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, phrase) of every window of the chunk: the smallest phrase that begins in its range."""
     text = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-    names, first, length = symbols(w.hashes, text)
-    n = len(names) - PHRASE + 1
-    if n <= 0:
-        empty = np.empty(0, np.int64)
-        return empty.astype(np.uint64), empty, empty
-    name = np.zeros(n, np.uint64)
+    n = len(w.hashes)
+    if n < window:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    names, first, _ = symbols(w.hashes, text)
+    m = len(names) - PHRASE + 1
+    name = np.zeros(m, np.uint64)
     for j in range(PHRASE):
-        name = name * np.uint64(0xC2B2AE3D27D4EB4F) + names[j : j + n]
-    name = mix(name)
-    end = first[PHRASE - 1 :] + length[PHRASE - 1 :]
-    whole = text[first[:n]] == text[first[PHRASE - 1 :]]
-    span = tiles(window) - PHRASE + 1
-    if n < span:
-        empty = np.empty(0, np.int64)
-        return empty.astype(np.uint64), empty, empty
-    views = np.lib.stride_tricks.sliding_window_view(name, span)
-    inside = text[first[: n - span + 1]] == text[first[span + PHRASE - 2 :]]
-    chosen = np.zeros(n, bool)
-    chosen[(np.arange(n - span + 1) + views.argmin(1))[inside]] = True
-    chosen &= whole
-    return name[chosen], first[:n][chosen], end[chosen]
+        name = name * np.uint64(0xC2B2AE3D27D4EB4F) + names[j : j + m]
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)  # by the word where a phrase begins
+    least[first[:m]] = mix(name)
+    # Least of each ``width`` neighbours, by doubling.
+    width, held = starts_inside(window), 1
+    while held * 2 <= width:
+        least, held = np.minimum(least[:-held], least[held:]), held * 2
+    if width > held:
+        least = np.minimum(least[: len(least) - (width - held)], least[width - held :])
+    at = np.arange(n - window + 1)
+    at = at[text[at] == text[at + window - 1]]
+    return at, least[at + EDGE]
 
 
 def _check(window: int) -> None:
-    if tiles(window) < PHRASE:
+    if starts_inside(window) < LONGEST:
         raise ValueError(f"a window of {window} words is too short for phrases of {PHRASE} symbols")
 
 
-def _named(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, n_words, words_key, whole_sha256, phrases) of every row."""
+def _measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, words_key, whole_sha256) of every row."""
+
+    def kernel(batches):
+        for batch in batches:
+            counts, keys, shas = [], [], []
+            for t in as_bytes(batch.column("text")):
+                words = _split(t)
+                joined = b" ".join(words)
+                counts.append(len(words))
+                keys.append(hashlib.blake2b(joined, digest_size=16).digest())
+                shas.append(hashlib.sha256(joined).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(shas)],
+                names=["doc_id", "n_words", "words_key", "whole_sha256"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(kernel, f"doc_id {kind}, n_words long, words_key binary, whole_sha256 string")
+
+
+def _phrases(docs: DataFrame, window: int) -> DataFrame:
+    """(phrase, doc_id, words_key): the phrases of a row's windows, each once; the key is 64 bits of the words'."""
 
     def kernel(batches):
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            ids = batch.column("doc_id")
+            texts, ids = as_bytes(batch.column("text")), batch.column("doc_id")
             for lo, hi in chunks(texts):
                 w = Words(texts[lo:hi])
-                name, first, _ = phrases(w, window)
-                cut = np.searchsorted(first, w.first)
-                keys, shas = [], []
-                for t in texts[lo:hi]:
-                    joined = b" ".join(_split(t))
-                    keys.append(hashlib.blake2b(joined, digest_size=16).digest())
-                    shas.append(hashlib.sha256(joined).hexdigest())
-                lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(name.view(np.int64)))
+                at, name = window_phrases(w, window)
+                new = np.ones(len(at), bool)  # a phrase serves many windows in a row
+                new[1:] = (name[1:] != name[:-1]) | (at[1:] != at[:-1] + 1)
+                at, name = at[new], name[new]
+                of = np.searchsorted(w.first, at, "right") - 1
+                keys = span_hashes(w.hashes, w.first[:-1], w.first[1:])[of]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(np.diff(w.first)), pa.array(keys, pa.binary()), pa.array(shas), lists],
-                    names=["doc_id", "n_words", "words_key", "whole_sha256", "phrases"],
+                    [pa.array(name.view(np.int64)), ids.take(pa.array(of + lo)), pa.array(keys.view(np.int64))],
+                    names=["phrase", "doc_id", "words_key"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(
-        kernel, f"doc_id {kind}, n_words long, words_key binary, whole_sha256 string, phrases array<bigint>"
-    )
+    return docs.mapInArrow(kernel, f"phrase long, doc_id {kind}, words_key long")
 
 
 # bytes.split() splits at the six white-space characters, and at 0x1C-0x1F not: exactly the words asked for.
@@ -130,41 +149,57 @@ def _split(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """Texts compressed one by one, for the shuffle and the table that follow."""
+
+    def kernel(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            packed = [pack(t or b"") for t in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "packed"]
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(kernel, f"doc_id {kind}, packed binary")
+
+
+def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompressobj
+    return [unpack().decompress(t) for t in batch.column("packed").to_pylist()]
+
+
 def _windows(shared: DataFrame, window: int) -> DataFrame:
-    """(h1, h2, doc_id, at) of every window around a shared phrase; rows have text and the phrases shared."""
+    """(h1, h2, doc_id, at) of every window whose phrase is among the row's ``phrases``."""
 
     def kernel(batches):
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
+            texts = _unpacked(batch)
             ids, lists = batch.column("doc_id"), batch.column("phrases").to_pylist()
             for lo, hi in chunks(texts, 1 << 19):
                 w = Words(texts[lo:hi])
-                name, first, end = phrases(w, window)
-                cut = np.searchsorted(first, w.first)
-                open_ = np.zeros(len(w.hashes) + 1, np.int64)
-                text_ends = np.repeat(w.first[1:], np.diff(w.first))
+                at, name = window_phrases(w, window)
+                cut = np.searchsorted(at, w.first)
+                hit = np.zeros(len(at), bool)
                 for d in range(hi - lo):
                     own = slice(cut[d], cut[d + 1])
-                    a, b = w.first[d], w.first[d + 1]
-                    if b - a < window:
-                        continue
-                    wanted = np.array(sorted(lists[lo + d]), np.int64).view(np.uint64)
-                    hit = np.isin(name[own], wanted)
-                    np.add.at(open_, np.maximum(end[own][hit] - window, a), 1)
-                    np.add.at(open_, np.minimum(first[own][hit], b - window) + 1, -1)
-                at = np.flatnonzero(np.cumsum(open_[:-1]) > 0)
-                at = at[at + window <= text_ends[at]]
+                    hit[own] = np.isin(name[own], np.array(lists[lo + d], np.int64).view(np.uint64))
+                at = at[hit]
                 h1 = span_hashes(w.hashes, at, at + window)
                 h2 = span_hashes(mix(w.hashes + np.uint64(0x5851F42D4C957F2D)), at, at + window)
                 of = np.searchsorted(w.first, at, "right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), ids.take(pa.array(of + lo)),
-                     pa.array((at - w.first[of]).astype(np.int32))],
+                    [pa.array(h1.view(np.int64)), pa.array(h2.astype(np.uint32).view(np.int32)),
+                     ids.take(pa.array(of + lo)), pa.array((at - w.first[of]).astype(np.int32))],
                     names=["h1", "h2", "doc_id", "at"],
                 )
 
     kind = shared.schema["doc_id"].dataType.simpleString()
-    return shared.mapInArrow(kernel, f"h1 long, h2 long, doc_id {kind}, at int")
+    return shared.mapInArrow(kernel, f"h1 long, h2 int, doc_id {kind}, at int")
 
 
 def _removed(rows: DataFrame, window: int) -> DataFrame:
@@ -173,7 +208,7 @@ def _removed(rows: DataFrame, window: int) -> DataFrame:
     def kernel(batches):
         for batch in batches:
             counts, gone, shas, kept = [], [], [], []
-            for text, starts in zip(as_bytes(batch.column("text")), batch.column("starts").to_pylist()):
+            for text, starts in zip(_unpacked(batch), batch.column("starts").to_pylist()):
                 words = _split(text)
                 keep = np.zeros(len(words) + 1, np.int64)
                 at = np.array(sorted(set(starts)), np.int64)
@@ -211,30 +246,31 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     _check(window)
     docs = texts_of(docs)
-    base = stored(_named(docs, window))
+    base = stored(_measured(docs))
     # A document with the words of an earlier one is gone as a whole; the earliest stands for all.
     whole = F.when(F.col("n_words") >= window, F.col("words_key"))
     firsts = base.filter("doc_id is not null").groupBy("words_key").agg(F.min("doc_id").alias("first_id"))
-    judged = base.select("doc_id", "n_words", "whole_sha256", whole.alias("words_key")).join(firsts, "words_key", "left")
+    judged = base.withColumn("words_key", whole).join(firsts, "words_key", "left")
     copies = judged.filter("doc_id > first_id").select("doc_id", "n_words")
     alone = stored(judged.filter("not coalesce(doc_id > first_id, false)").select("doc_id", "n_words", "whole_sha256"))
 
-    ranked = base.join(firsts, "words_key").filter("doc_id = first_id").select(
-        "doc_id", F.explode(F.array_distinct("phrases")).alias("phrase")
-    )
+    found = _phrases(docs.filter("doc_id is not null"), window)
     shared = (
-        ranked.groupBy("phrase")
-        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        .filter("lo < hi")
+        found.groupBy("phrase")
+        .agg(F.min("words_key").alias("lo"), F.max("words_key").alias("hi"))
+        .filter("lo <> hi")
         .select("phrase")
     )
-    wanted = ranked.join(shared, "phrase").groupBy("doc_id").agg(F.collect_set("phrase").alias("phrases"))
-    open_docs = stored(docs.join(wanted, "doc_id"))
-    windows = stored(_windows(open_docs, window))
+    wanted = found.select("phrase", "doc_id").join(shared, "phrase").groupBy("doc_id").agg(
+        F.collect_set("phrase").alias("phrases")
+    )
+    wanted = wanted.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
+    open_docs = stored(_packed(docs).join(wanted, "doc_id"))
+    windows = _windows(open_docs, window)
     earliest = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    found = windows.join(earliest.select("h1", "h2", "lo"), ["h1", "h2"]).filter("doc_id > lo")
-    starts = found.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
-    cut = stored(_removed(open_docs.select("doc_id", "text").join(starts, "doc_id"), window))
+    repeated = windows.join(earliest.select("h1", "h2", "lo"), ["h1", "h2"]).filter("doc_id > lo")
+    starts = repeated.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
+    cut = stored(_removed(open_docs.select("doc_id", "packed").join(starts, "doc_id"), window))
 
     untouched = alone.join(cut.select("doc_id").distinct(), "doc_id", "left_anti").select(
         "doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256"),
