@@ -125,3 +125,27 @@ class Words:
         self.text_at = np.concatenate([[1], np.cumsum(sizes) + 1])
         self.first = np.searchsorted(self.starts, self.text_at)
         self.hashes = span_hashes(self.bytes.astype(np.uint64) + np.uint64(1), self.starts, self.ends)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Texts compressed one by one, for the shuffle and the table that follow."""
+
+    def kernel(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            out = [pack(t or b"") for t in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "packed"]
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(kernel, f"doc_id {kind}, packed binary")
+
+
+def unpacked(batch: pa.RecordBatch) -> list[bytes]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompressobj
+    return [unpack().decompress(t) for t in batch.column("packed").to_pylist()]

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starlens.llm.common import Words, as_bytes, by_value, chunks, mix, stored, texts_of
+from starlens.llm.common import Words, as_bytes, by_value, chunks, mix, packed, stored, texts_of, unpacked
 from starlens.llm.components import components
 
 by_value(__name__)
 
-REGISTERS = 120
-ROWS = 4  # registers of a band: with 30 bands a pair of similarity 0.8 is missed once in 10 million
+REGISTERS = 150
+ROWS = 5  # registers of a band: 30 bands miss a pair of similarity 0.85 (0.8) once in 40 million (150 thousand)
 BASE = 1.15
 OFFSET = 30
 #: How far under the wanted similarity the estimate may be (over four standard errors) before a pair is dropped.
@@ -127,7 +127,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
     def kernel(batches):
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
+            texts = unpacked(batch)
             ids = batch.column("doc_id")
             for lo, hi in chunks(texts):
                 sets = shingle_sets(texts[lo:hi], size)
@@ -170,7 +170,7 @@ def _with_sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     near = stored(_likely(both.select("a", "b", "r_a", "r_b", "n_a", "n_b"), least))
     wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     # One row of a class is enough, whichever of repeated rows it is.
-    texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = packed(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = stored(_sets(texts, size))
     first = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("m_a"))
     second = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("m_b"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starlens.llm.common import Words, as_bytes, by_value, chunks, mix, span_hashes, stored, texts_of
+from starlens.llm.common import Words, as_bytes, by_value, chunks, mix, packed, span_hashes, stored, texts_of, unpacked
 
 by_value(__name__)
 
@@ -149,36 +149,12 @@ def _split(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """Texts compressed one by one, for the shuffle and the table that follow."""
-
-    def kernel(batches):
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            packed = [pack(t or b"") for t in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "packed"]
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(kernel, f"doc_id {kind}, packed binary")
-
-
-def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
-    import zstandard
-
-    unpack = zstandard.ZstdDecompressor().decompressobj
-    return [unpack().decompress(t) for t in batch.column("packed").to_pylist()]
-
-
 def _windows(shared: DataFrame, window: int) -> DataFrame:
     """(h1, h2, doc_id, at) of every window whose phrase is among the row's ``phrases``."""
 
     def kernel(batches):
         for batch in batches:
-            texts = _unpacked(batch)
+            texts = unpacked(batch)
             ids, lists = batch.column("doc_id"), batch.column("phrases").to_pylist()
             for lo, hi in chunks(texts, 1 << 19):
                 w = Words(texts[lo:hi])
@@ -208,7 +184,7 @@ def _removed(rows: DataFrame, window: int) -> DataFrame:
     def kernel(batches):
         for batch in batches:
             counts, gone, shas, kept = [], [], [], []
-            for text, starts in zip(_unpacked(batch), batch.column("starts").to_pylist()):
+            for text, starts in zip(unpacked(batch), batch.column("starts").to_pylist()):
                 words = _split(text)
                 keep = np.zeros(len(words) + 1, np.int64)
                 at = np.array(sorted(set(starts)), np.int64)
@@ -265,7 +241,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         F.collect_set("phrase").alias("phrases")
     )
     wanted = wanted.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
-    open_docs = stored(_packed(docs).join(wanted, "doc_id"))
+    open_docs = stored(packed(docs).join(wanted, "doc_id"))
     windows = _windows(open_docs, window)
     earliest = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
     repeated = windows.join(earliest.select("h1", "h2", "lo"), ["h1", "h2"]).filter("doc_id > lo")
