@@ -243,8 +243,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     wanted = wanted.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
     open_docs = stored(packed(docs).join(wanted, "doc_id"))
     windows = _windows(open_docs, window)
-    earliest = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    repeated = windows.join(earliest.select("h1", "h2", "lo"), ["h1", "h2"]).filter("doc_id > lo")
+    # Stored, so that both sides of the join are plain shuffles and a hot window's rows can be split.
+    earliest = stored(
+        windows.groupBy("h1", "h2")
+        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        .filter("lo < hi")
+        .select("h1", "h2", "lo")
+    )
+    repeated = windows.join(earliest, ["h1", "h2"]).filter("doc_id > lo")
     starts = repeated.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
     cut = stored(_removed(open_docs.select("doc_id", "packed").join(starts, "doc_id"), window))
 
