@@ -37,6 +37,8 @@ PAD = b"\xff"
 RUN = 40_000
 #: An anchor with more occurrences is decided by joins instead of in one task.
 CROWDED = 20_000
+#: Entries whose windows are hashed at once.
+BLOCK = 1_024
 
 
 def mer_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -167,16 +169,9 @@ def _context(text: bytes) -> bytes:
     return hashlib.blake2b(text, digest_size=16).digest()
 
 
-def decide(entries: list[bytes], copies: list[int]) -> list[tuple[bytes, int, int]]:
-    """(context, from, to) around an anchor that repeated windows cover, for its distinct entries."""
+def _window_hashes(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each window around the anchor of some entries, and whether it lies inside its text."""
     n = len(entries)
-    if n == 1:
-        if copies[0] < 2:
-            return []
-        left, right = BEFORE - entries[0].count(PAD, WINDOW), WINDOW - entries[0].count(PAD, 0, WINDOW)
-        if left + right < WINDOW:
-            return []
-        return [(_context(entries[0]), -left, right)]
     table = np.frombuffer(b"".join(entries), np.uint8).reshape(n, SIZE)
     order = np.concatenate([np.arange(SIZE - 1, WINDOW - 1, -1), np.arange(WINDOW)])  # as in the text
     table = table[:, order]
@@ -186,16 +181,30 @@ def decide(entries: list[bytes], copies: list[int]) -> list[tuple[bytes, int, in
     sums = np.zeros((n, SIZE + 1), np.uint64)
     np.cumsum((table.astype(np.uint64) + np.uint64(1)) * ups[:SIZE], axis=1, out=sums[:, 1:])
     valid = pads[:, WINDOW:] == pads[:, : BEFORE + 1]
-    hashes = mix((sums[:, WINDOW:] - sums[:, : BEFORE + 1]) * downs[: BEFORE + 1])
-    order = np.argsort(hashes, axis=0, kind="stable")
-    ranked = np.take_along_axis(hashes, order, 0)
-    ranked_valid = np.take_along_axis(valid, order, 0)
-    same = (ranked[1:] == ranked[:-1]) & ranked_valid[1:] & ranked_valid[:-1]
-    twice = np.zeros((n, BEFORE + 1), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    repeated = np.zeros_like(twice)
-    np.put_along_axis(repeated, order, twice, 0)
+    return mix((sums[:, WINDOW:] - sums[:, : BEFORE + 1]) * downs[: BEFORE + 1]), valid
+
+
+def decide(entries: list[bytes], copies: list[int]) -> list[tuple[bytes, int, int]]:
+    """(context, from, to) around an anchor that repeated windows cover, for its distinct entries."""
+    n = len(entries)
+    if n == 1:
+        if copies[0] < 2:
+            return []
+        left, right = BEFORE - entries[0].count(PAD, WINDOW), WINDOW - entries[0].count(PAD, 0, WINDOW)
+        if left + right < WINDOW:
+            return []
+        return [(_context(entries[0]), -left, right)]
+    hashes = np.empty((n, BEFORE + 1), np.uint64)
+    valid = np.empty((n, BEFORE + 1), bool)
+    for lo in range(0, n, BLOCK):
+        hashes[lo : lo + BLOCK], valid[lo : lo + BLOCK] = _window_hashes(entries[lo : lo + BLOCK])
+    repeated = np.zeros((n, BEFORE + 1), bool)
+    for k in range(BEFORE + 1):
+        order = np.argsort(hashes[:, k], kind="stable")
+        ranked, inside = hashes[order, k], valid[order, k]
+        same = (ranked[1:] == ranked[:-1]) & inside[1:] & inside[:-1]
+        repeated[order[1:][same], k] = True
+        repeated[order[:-1][same], k] = True
     repeated |= (np.array(copies) > 1)[:, None]
     repeated &= valid
     out = []
@@ -309,6 +318,13 @@ def _merged(runs: DataFrame) -> DataFrame:
     return runs.groupBy("part").applyInArrow(kernel, "context binary, lo long, hi long")
 
 
+def _columns(keys: list[bytes], of: list[str], places: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys, pa.binary()), pa.array(of, pa.string()), pa.array(places, pa.int64())],
+        names=["window_key", "sha", "lo"],
+    )
+
+
 def _crowded_windows(open_texts: DataFrame) -> DataFrame:
     """(window_key, sha, lo) of every window around the anchors in ``crowded``."""
 
@@ -321,10 +337,10 @@ def _crowded_windows(open_texts: DataFrame) -> DataFrame:
                     keys.append(_context(data[s : s + WINDOW]))
                     of.append(shas[row])
                     places.append(s - low)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(of, pa.string()), pa.array(places, pa.int64())],
-                names=["window_key", "sha", "lo"],
-            )
+                if len(keys) > RUN:
+                    yield _columns(keys, of, places)
+                    keys, of, places = [], [], []
+            yield _columns(keys, of, places)
 
     return open_texts.mapInArrow(kernel, "window_key binary, sha string, lo long")
 
