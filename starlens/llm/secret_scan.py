@@ -149,13 +149,10 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
 
 def _worthwhile(rule: Rule) -> str:
     """A text without this has no match that passes: a run of one class is checked by its length at once."""
-    return rule.pattern if rule.group or not rule.pattern.endswith("]+") else (
-        f"{rule.pattern[:-1]}{{{rule.at_least - _fixed(rule.pattern)},}}"
-    )
-
-
-def _fixed(pattern: str) -> int:
-    return pattern.index("[")
+    run = re.fullmatch(r"([A-Za-z0-9]*)(\[[^\]]+\])\+", rule.pattern)
+    if rule.group or not run:
+        return rule.pattern
+    return f"{run[1]}{run[2]}{{{max(1, rule.at_least - len(run[1]))},}}"
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BASE)) -> DataFrame:
