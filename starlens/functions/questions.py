@@ -122,9 +122,9 @@ def entity_type(question: str | Column, config: StarConfig = RETAIL) -> Column:
 
 
 def first_number(question: str | Column, default: int = 5) -> Column:
-    """D4 limit, compat: the first standalone number anywhere, a year included."""
+    """D4 limit, compat: the first standalone number anywhere, a year included; null if it exceeds a bigint."""
     found = F.regexp_extract(_text(question), r"\b(\d+)\b", 1)
-    return F.coalesce(F.try_to_number(F.nullif(found, F.lit("")), F.lit("9" * 18)).cast("bigint"), F.lit(default).cast("bigint"))
+    return F.when(F.coalesce(found, F.lit("")) == "", F.lit(default).cast("bigint")).otherwise(found.try_cast("bigint"))
 
 
 def is_bottom(question: str | Column) -> Column:
@@ -215,11 +215,11 @@ def product_mentions(question: str | Column, capitalised: bool = True, strict: b
 
 
 def ranked_limit(question: str | Column, default: int = 5) -> Column:
-    """The number in "top N" or "N top/best/highest" only."""
+    """The number in "top N" or "N top/best/highest" only; null if it exceeds a bigint."""
     q = F.lower(_text(question))
-    match = r"top (\d{1,18})|(\d{1,18}) (?:top|best|highest)"
+    match = r"top (\d+)|(\d+) (?:top|best|highest)"
     found = F.concat(F.regexp_extract(q, match, 1), F.regexp_extract(q, match, 2))
-    return F.coalesce(_int(found), F.lit(default).cast("bigint"))
+    return F.when(F.coalesce(found, F.lit("")) == "", F.lit(default).cast("bigint")).otherwise(found.try_cast("bigint"))
 
 
 def simple_date_filters(question: str | Column, as_of: str | dt.date) -> dict[str, Column]:

@@ -57,7 +57,7 @@ def global_rank(df: DataFrame, value: str, name: str, dense: bool = False) -> Da
 
     Copies of a value are counted first, so a value shared by many rows is one row from there on.
     Distinct values are cut into ranges at approximate quantiles; each range is ranked by its own
-    task and shifted by the size of the ranges above it (at most 256 numbers).
+    task and shifted by the size of the ranges above it (at most 257 numbers).  Nulls rank last, all alike.
     """
     values = df.groupBy(value).agg(F.count(F.lit(1)).alias("__copies"))
     if dense:
@@ -66,8 +66,12 @@ def global_rank(df: DataFrame, value: str, name: str, dense: bool = False) -> Da
     cuts = values.agg(
         F.percentile_approx(F.col(value).cast("double"), shares, F.lit(10_000)).alias("c")
     ).scalar()
+    # Nulls come last: a range of their own below all others.
     ranged = values.withColumn("__c", cuts).withColumn(
-        "__range", F.size(F.filter("__c", lambda c: c > F.col(value).cast("double")))
+        "__range",
+        F.when(F.col(value).isNull(), _CUTS + 1).otherwise(
+            F.size(F.filter("__c", lambda c: c > F.col(value).cast("double")))
+        ),
     )
     ranged = ranged.drop("__c")
     sizes = ranged.groupBy("__range").agg(F.sum("__copies").alias("n"))
@@ -88,4 +92,6 @@ def global_rank(df: DataFrame, value: str, name: str, dense: bool = False) -> Da
             )
         ).alias(name),
     )
-    return lookup_join(df, ranked, value, salts=SALTS)
+    known = lookup_join(df.filter(F.col(value).isNotNull()), ranked, value, salts=SALTS)
+    last = ranked.filter(F.col(value).isNull()).select(name).scalar()
+    return known.unionByName(df.filter(F.col(value).isNull()).withColumn(name, last))

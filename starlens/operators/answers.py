@@ -125,9 +125,11 @@ def answer_batch(
 ) -> DataFrame:
     """(question_id, route, answer) for every row of (question_id, question).
 
-    ``nodes`` has node_id, node_text and embedding.  Each distinct question text is answered once.
+    ``nodes`` has node_id, node_text and embedding.  Each distinct question text is answered once; a null
+    question is answered as the empty text.
     """
-    log = questions.select("question_id", "question", F.sha2("question", 256).alias("query_id"))
+    asked = questions.select("question_id", F.coalesce("question", F.lit("")).alias("question"))
+    log = asked.withColumn("query_id", F.sha2("question", 256))
     # Every branch below starts from the distinct texts: they are worked out and written once.
     texts = cut_lineage(
         log.groupBy("query_id").agg(F.min("question").alias("question")).withColumn("route", deployed_route("question"))

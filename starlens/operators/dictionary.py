@@ -268,7 +268,7 @@ def context_documents(d: DataFrame, namespace: str | None = None) -> DataFrame:
     )
     heads = d.filter("column_name IS NULL").select("table_name", "table_type", "table_description")
     per_table = (
-        heads.join(_document(columns, ["table_name"], ["o1", "o2", "o3"], "\n"), "table_name")
+        heads.join(_document(columns, ["table_name"], ["o1", "o2", "o3"], "\n"), "table_name", "left")
         .select(
             F.lit("table").alias("section"),
             "table_name",
@@ -276,11 +276,11 @@ def context_documents(d: DataFrame, namespace: str | None = None) -> DataFrame:
                 F.lit(f"TABLE: {prefix}"),
                 "table_name",
                 F.lit(" ("),
-                F.upper("table_type"),
+                F.upper(F.coalesce("table_type", F.lit(""))),
                 F.lit(")\nDescription: "),
-                "table_description",
+                F.coalesce("table_description", F.lit("")),
                 F.lit("\nCOLUMNS:\n"),
-                "body",
+                F.coalesce("body", F.lit("")),
             ).alias("document"),
         )
     )

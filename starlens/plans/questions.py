@@ -137,7 +137,7 @@ _SIMPLE_ENTITY = "CASE " + " ".join(f"WHEN {_any(w)} THEN '{t}'" for t, w in qs.
 _NUMERIC_MONTH = r"""CAST(nullif(CASE WHEN regexp_extract(lower(question), '\bmonth\s+(\d{1,2})\b', 1) <> ''
     THEN regexp_extract(lower(question), '\bmonth\s+(\d{1,2})\b', 1)
     ELSE regexp_extract(lower(question), '\b(\d{1,2})[/\-]', 1) END, '') AS BIGINT)"""
-_TOPN = r"top (\d{1,18})|(\d{1,18}) (?:top|best|highest)"
+_TOPN = r"top (\d+)|(\d+) (?:top|best|highest)"
 
 
 @book.query(
