@@ -17,7 +17,7 @@ from starlens.session import checkpoint_dir
 # Kernels travel inside the task, so that executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def by_value(name: str) -> None:

@@ -26,7 +26,7 @@ SWITCH = 12.0
 #: A script is a language's own if at least this share of its letters is written in it.
 OWN_SCRIPT = 0.02
 UNKNOWN = "und"
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 1_500_000
 
 # First code points of ranges and the script written in them (fixed values of Unicode blocks).
 SCRIPTS = (
