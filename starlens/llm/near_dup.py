@@ -182,7 +182,7 @@ def _linked(num: int, den: int) -> Column:
 
 
 def _across(stars: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of members of one centre, in different components, that may be similar enough.
+    """Pairs (centre, a, b) of members of one centre, in different components, that may be similar enough.
 
     ``stars``: centre, rep, n_c, n, common, linked, differences.  For two members x and y the shared differences
     needed are s = t (n_x + n_y) - (common_x + common_y - n_c) with t = num / (num + den), and at least 1.
@@ -242,11 +242,34 @@ def _across(stars: DataFrame, labels: DataFrame, num: int, den: int) -> DataFram
             & (shared <= F.least("x.k", "y.k") + 1e-6)
             & (F.element_at(F.array_intersect("x.centres", "y.centres"), 1) == F.col("x.centre")),
         )
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        .select("x.centre", F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         .distinct()
     )
 
 
+def _confirmed(pairs: DataFrame, stars: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of ``pairs`` (centre, a, b) that are linked.
+
+    The full sets need not be read again: what both share of the centre and the differences they share give
+    the size of their intersection exactly.
+    """
+
+    def side(name: str) -> DataFrame:
+        return stars.select(
+            "centre",
+            F.col("rep").alias(name),
+            F.col("n").alias(f"n_{name}"),
+            F.col("common").alias(f"common_{name}"),
+            F.col("differences").alias(f"differences_{name}"),
+            *(["n_c"] if name == "a" else []),
+        )
+
+    both = pairs.join(side("a"), ["centre", "a"]).join(side("b"), ["centre", "b"])
+    shared = F.size(F.array_intersect("differences_a", "differences_b"))
+    common = F.col("common_a") + F.col("common_b") - F.col("n_c") + shared
+    return both.withColumn("common", common).filter(_linked(num, den)).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept, set_key, n_links.
 
@@ -285,13 +308,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     )
     links = stars.filter("linked").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
     labels = components(links)
-    across = _across(stars, labels, num, den)
-    more = stored(
-        _with_sets(across, keyed, docs, size, num / den - SLACK)
-        .withColumn("common", F.size(F.array_intersect("m_a", "m_b")))
-        .filter(_linked(num, den))
-        .select("a", "b")
-    )
+    more = stored(_confirmed(_across(stars, labels, num, den), stars, num, den))
     every = links.union(more)
     labels = components(every)
     degree = every.select(F.col("a").alias("rep")).union(every.select("b")).groupBy("rep").agg(
