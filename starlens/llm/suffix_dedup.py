@@ -37,8 +37,9 @@ PAD = b"\xff"
 RUN = 40_000
 #: An anchor with more occurrences is decided by joins instead of in one task.
 CROWDED = 20_000
-#: Entries whose windows are hashed at once.
+#: Entries whose windows are hashed at once, and hashes that are sorted at once.
 BLOCK = 1_024
+CELLS = 1 << 18
 
 
 def mer_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -199,12 +200,16 @@ def decide(entries: list[bytes], copies: list[int]) -> list[tuple[bytes, int, in
     for lo in range(0, n, BLOCK):
         hashes[lo : lo + BLOCK], valid[lo : lo + BLOCK] = _window_hashes(entries[lo : lo + BLOCK])
     repeated = np.zeros((n, BEFORE + 1), bool)
-    for k in range(BEFORE + 1):
-        order = np.argsort(hashes[:, k], kind="stable")
-        ranked, inside = hashes[order, k], valid[order, k]
+    width = max(1, CELLS // n)
+    for k in range(0, BEFORE + 1, width):
+        own, some = hashes[:, k : k + width], valid[:, k : k + width]
+        order = np.argsort(own, axis=0, kind="stable")
+        ranked, inside = np.take_along_axis(own, order, 0), np.take_along_axis(some, order, 0)
         same = (ranked[1:] == ranked[:-1]) & inside[1:] & inside[:-1]
-        repeated[order[1:][same], k] = True
-        repeated[order[:-1][same], k] = True
+        twice = np.zeros(order.shape, bool)
+        twice[1:] = same
+        twice[:-1] |= same
+        np.put_along_axis(repeated[:, k : k + width], order, twice, 0)
     repeated |= (np.array(copies) > 1)[:, None]
     repeated &= valid
     out = []
