@@ -24,7 +24,7 @@ from starlens.llm.common import by_value, texts_of
 by_value(__name__)
 
 #: Memoised pieces and states a task holds; beyond it they are made anew.
-MEMO = 100_000
+MEMO = 300_000
 
 
 def read_ranks(path: str) -> list[bytes]:
