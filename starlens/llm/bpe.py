@@ -23,8 +23,10 @@ from starlens.llm.common import by_value, texts_of
 
 by_value(__name__)
 
-#: Memoised pieces and states a task holds; beyond it they are made anew.
-MEMO = 300_000
+#: What a Python worker holds at most: pieces in each of two generations of the memo (about 300 bytes each),
+#: and states of the transducer, which begins anew beyond them.
+MEMO = 500_000
+STATES = 250_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -37,6 +39,10 @@ def read_ranks(path: str) -> list[bytes]:
     return tokens
 
 
+#: Parts at the left and at the right edge of a token, each with the rank of the merge that ends it.
+Edges = tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]
+
+
 class Transducer:
     """Encodes one piece of text (bytes) at a time."""
 
@@ -54,8 +60,7 @@ class Transducer:
                     self.at_node.append(-1)
                 node = self.trie[node][byte]
             self.at_node[node] = rank
-        self.reachable: dict[int, bool] = {}
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.edges: dict[int, Edges | None] = {}
         self._restart()
 
     def _restart(self) -> None:
@@ -63,7 +68,8 @@ class Transducer:
         start = (-1, ((0, ()),))
         self.numbers = {start: 0}
         self.states = [start]
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        #: (state number, byte) in one number -> (next state, tokens written)
+        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Plain merging, lowest rank first: the definition, used on two tokens at a time."""
@@ -77,55 +83,97 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
+    def _edges(self, token: int) -> Edges | None:
+        """The parts at the two edges of a token while its bytes are merged, each with the rank that ends it.
+
+        ``([], [])`` if merging doesn't give the token; None if a merge enables one of lower rank (then
+        ranks don't tell the order of merges).
+        """
+        data, never = self.tokens[token], len(self.tokens)
+        parts = [data[i : i + 1] for i in range(len(data))]
+        first, last, before = [], [], -1
+        while len(parts) > 1:
+            joined = [self.ranks.get(a + b, never) for a, b in zip(parts, parts[1:])]
+            best = min(joined)
+            if best == never:
+                return [], []
+            if best < before:
+                return None if self.merge(data) == [token] else ([], [])
+            before, i = best, joined.index(best)
+            if i == 0:
+                first.append((parts[0], best))
+            if i == len(parts) - 2:
+                last.append((parts[-1], best))
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [*first, (data, never)], [*last, (data, never)]
+
     def _may_end(self, last: int, token: int) -> bool:
+        """Whether merging the bytes of ``last`` and ``token`` (or of ``token`` alone) gives just these."""
+        edges = self.edges
+        if token not in edges:
+            edges[token] = self._edges(token)
+        right = edges[token]
+        if right is not None and not right[0]:
+            return False
         if last < 0:
-            if token not in self.reachable:
-                self.reachable[token] = self.merge(self.tokens[token]) == [token]
-            return self.reachable[token]
-        pair = (last, token)
-        if pair not in self.follows:
-            if len(self.follows) > 4 * MEMO:
-                self.follows.clear()
-            self.follows[pair] = self.merge(self.tokens[last] + self.tokens[token]) == [last, token]
-        return self.follows[pair]
+            return True
+        left = edges[last]
+        if left is None or right is None:
+            return self.merge(self.tokens[last] + self.tokens[token]) == [last, token]
+        # Both sides merge by rising rank, the left one first on ties, until a merge crosses the middle.
+        lasts, firsts = iter(left[1]), iter(right[0])
+        (a, a_ends), (b, b_ends) = next(lasts), next(firsts)
+        never, get = len(self.tokens), self.ranks.get
+        while True:
+            rank = get(a + b, never)
+            if rank < a_ends and rank <= b_ends:
+                return False
+            if a_ends <= b_ends:
+                if a_ends == never:
+                    return True
+                a, a_ends = next(lasts)
+            else:
+                b, b_ends = next(firsts)
 
     def _step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         written, places = self.states[number]
+        trie, at_node = self.trie, self.at_node
         after, chosen = [], None
         for node, chain in places:
-            child = self.trie[node].get(byte)
+            child = trie[node].get(byte)
             if child is None:
                 continue
-            token = self.at_node[child]
+            token = at_node[child]
             if token >= 0 and chosen is None and self._may_end(chain[-1] if chain else written, token):
                 chosen = (*chain, token)
-            if self.trie[child]:
+            if trie[child]:
                 after.append((child, chain))
         after.append((0, chosen))
         common = 0
-        for tokens in zip(*(chain for _, chain in after)):
+        for tokens in zip(*(chain for _, chain in after)) if after[0][1] else ():
             if any(t != tokens[0] for t in tokens):
                 break
             common += 1
-        out = chosen[:common]
-        state = (out[-1] if out else written, tuple((node, chain[common:]) for node, chain in after))
-        if state not in self.numbers:
-            self.numbers[state] = len(self.states)
+        if common:
+            written, after = chosen[common - 1], [(node, chain[common:]) for node, chain in after]
+        state = (written, tuple(after))
+        target = self.numbers.get(state)
+        if target is None:
+            target = self.numbers[state] = len(self.states)
             self.states.append(state)
-            self.steps.append({})
-        step = self.steps[number][byte] = (self.numbers[state], out)
+        step = self.steps[number << 8 | byte] = (target, chosen[:common])
         return step
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > MEMO:
+        if len(self.states) > STATES:
             self._restart()
         out: list[int] = []
-        state = 0
+        state, known = 0, self.steps.get
         for byte in piece:
-            step = self.steps[state].get(byte) or self._step(state, byte)
+            step = known(state << 8 | byte) or self._step(state, byte)
             state = step[0]
             if step[1]:
                 out += step[1]
@@ -192,6 +240,32 @@ class Decoder:
         return rest
 
 
+class Memo(dict):
+    """Piece -> (number of ids, ids as text, decoded text), by the transducer and the decoder when first met.
+
+    Two generations of at most ``MEMO`` pieces: the older one is dropped when the younger is full, and what
+    is still in use moves on.  A piece is whole characters, so the decoder's state is empty on either side of it.
+    """
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        super().__init__()
+        self.transducer, self.decoder = Transducer(tokens), Decoder(tokens)
+        self.older: dict[str, tuple[int, str, str]] = {}
+
+    def __missing__(self, piece: str) -> tuple[int, str, str]:
+        known = self.older.get(piece)
+        if known is None:
+            ids = self.transducer.encode(piece.encode())
+            back = self.decoder.feed(ids) + self.decoder.finish()
+            known = len(ids), " ".join(map(str, ids)), piece if back == piece else back
+        if len(piece) < 64:
+            if len(self) >= MEMO:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = known
+        return known
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ``ids`` if asked for).
 
@@ -201,35 +275,28 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: b
     One long piece is encoded in one left-to-right pass.
     """
     docs = texts_of(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((read_ranks(vocabulary), pattern))
+    shared = docs.sparkSession.sparkContext.broadcast({"tokens": read_ranks(vocabulary)})
 
     def kernel(batches):
+        from operator import itemgetter
+
         import regex
 
-        tokens, pat = shared.value
-        transducer, decoder, find = Transducer(tokens), Decoder(tokens), regex.compile(pat).findall
-        memo: dict[str, tuple[list[int], str]] = {}
+        # A worker keeps its copy of a broadcast value from task to task, and with it what the coder has learnt.
+        held = shared.value
+        if "memo" not in held:
+            held["memo"] = Memo(held["tokens"])
+        known, find = held["memo"].__getitem__, regex.compile(pattern).findall
+        count, spelled, decoded = itemgetter(0), itemgetter(1), itemgetter(2)
         for batch in batches:
             counts, ids_sha, text_sha, lists = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                if len(memo) > MEMO:
-                    memo.clear()
-                ids: list[int] = []
-                digits: list[str] = []
-                for piece in find(text or ""):
-                    known = memo.get(piece)
-                    if known is None:
-                        own = transducer.encode(piece.encode())
-                        known = own, " ".join(map(str, own))
-                        if len(piece) < 64:
-                            memo[piece] = known
-                    ids += known[0]
-                    digits.append(known[1])
-                decoded = decoder.feed(ids) + decoder.finish()
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join(digits).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
-                lists.append(ids if with_ids else None)
+            for text in batch.column("text"):
+                pieces = list(map(known, find(text.as_py() or "")))
+                digits = " ".join(map(spelled, pieces))
+                counts.append(sum(map(count, pieces)))
+                ids_sha.append(hashlib.sha256(digits.encode()).hexdigest())
+                text_sha.append(hashlib.sha256("".join(map(decoded, pieces)).encode()).hexdigest())
+                lists.append([int(i) for i in digits.split()] if with_ids else None)
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

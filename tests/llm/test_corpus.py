@@ -7,6 +7,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -227,6 +228,32 @@ def test_loser_tree_merges_runs():
         assert shared == (suffix_dedup.SIZE if a == b else next(k for k in range(len(a)) if a[k] != b[k]))
 
 
+def test_two_tokens_stand_side_by_side_as_merging_leaves_them():
+    tokens = bpe.read_ranks(VOCABULARY)
+    own, rng = bpe.Transducer(tokens), random.Random(5)
+    ids = list(own.ranks.values())
+    for _ in range(6000):
+        joined = tokens[rng.choice(ids)] + tokens[rng.choice(ids)]
+        cut = rng.randrange(1, len(joined))
+        left, right = own.ranks.get(joined[:cut]), own.ranks.get(joined[cut:])
+        if left is not None and right is not None and own._may_end(-1, left):
+            assert own._may_end(left, right) == (own.merge(joined) == [left, right])
+
+
+def test_a_full_memo_changes_nothing(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 3)
+    monkeypatch.setattr(bpe, "STATES", 5)
+    tokens = bpe.read_ranks(VOCABULARY)
+    memo, library = bpe.Memo(tokens), tiktoken.Encoding(
+        "plain", pat_str=public_tokenizers.PATTERN, special_tokens={},
+        mergeable_ranks={t: i for i, t in enumerate(tokens) if t},
+    )
+    for piece in [" thndor", " ndor", "x" * 100, " thndor", "é", " 日本語", "\x00\n", " ndor", " untherapeutic"] * 2:
+        ids = library.encode_ordinary(piece)
+        if len(regex.findall(public_tokenizers.PATTERN, piece)) == 1:
+            assert memo[piece] == (len(ids), " ".join(map(str, ids)), piece)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
 def test_bpe_is_the_librarys(name):
     tokens = bpe.read_ranks(public_tokenizers.path(name))
@@ -235,8 +262,6 @@ def test_bpe_is_the_librarys(name):
     rnd = random.Random(3)
     texts = ["".join(rnd.choice("abcdefth ein\n\t 123😀日本éñ'sß---===") for _ in range(200)) for _ in range(200)]
     for text in [*texts, "a" * 3000, " " * 999, "<|endoftext|>", ""]:
-        import regex
-
         ids = [i for p in regex.findall(public_tokenizers.PATTERN, text) for i in own.encode(p.encode())]
         assert ids == other.encode_ordinary(text) and back.feed(ids) + back.finish() == text
 
