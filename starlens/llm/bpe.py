@@ -2,9 +2,10 @@
 
 Two facts make left-to-right encoding exact.  A sequence of tokens is what the merges give for its bytes
 if and only if that holds for each two neighbours; and exactly one token can end each prefix.  So the
-transducer reads bytes and keeps, for every place where a longer token may have begun, its place in the trie
-of tokens and the tokens chosen so far.  What all these agree on is written out at once (the lookahead is
-bounded by the longest token), the rest is the state.  States and transitions are made when first met.
+transducer reads bytes and writes, for every prefix, the token that ends it.  Its state is, for every place
+where a longer token may have begun, the place in the trie of tokens and the token that ends there; states and
+transitions are made when first met.  Tokens on which all open places agree are settled and leave the
+transducer, after every ``AHEAD`` bytes and at the end (places are open for the longest token at most).
 
 Decoding turns ids into text one id at a time: a state machine over UTF-8 bytes remembers an unfinished
 character, so that a stream can be cut between any two ids.
@@ -26,7 +27,11 @@ by_value(__name__)
 #: What a Python worker holds at most: pieces in each of two generations of the memo (about 300 bytes each),
 #: and states of the transducer, which begins anew beyond them.
 MEMO = 500_000
-STATES = 250_000
+STATES = 400_000
+#: Bytes read before settled tokens are written out.
+AHEAD = 4096
+#: Bits of a token's id, where a number holds it beside another one.
+ID_BITS = 24
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -51,6 +56,7 @@ class Transducer:
         self.ranks = {t: i for i, t in enumerate(tokens) if t}
         self.trie: list[dict[int, int]] = [{}]
         self.at_node: list[int] = [-1]
+        self.depth = [0]
         for token, rank in self.ranks.items():
             node = 0
             for byte in token:
@@ -58,18 +64,18 @@ class Transducer:
                     self.trie[node][byte] = len(self.trie)
                     self.trie.append({})
                     self.at_node.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                 node = self.trie[node][byte]
             self.at_node[node] = rank
         self.edges: dict[int, Edges | None] = {}
         self._restart()
 
     def _restart(self) -> None:
-        # A state: the last token written, and (trie node, tokens not yet written) for every open place.
-        start = (-1, ((0, ()),))
-        self.numbers = {start: 0}
-        self.states = [start]
-        #: (state number, byte) in one number -> (next state, tokens written)
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: Places of a state, oldest first: trie node << ID_BITS | 1 + id of the token that ends there (0: none).
+        self.states: list[tuple[int, ...]] = [(0,)]
+        self.numbers = {(0,): 0}
+        #: state number << 8 | byte -> next state's number << ID_BITS | id of the token that ends here
+        self.steps: dict[int, int] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Plain merging, lowest rank first: the definition, used on two tokens at a time."""
@@ -135,35 +141,45 @@ class Transducer:
             else:
                 b, b_ends = next(firsts)
 
-    def _step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        written, places = self.states[number]
-        trie, at_node = self.trie, self.at_node
-        after, chosen = [], None
-        for node, chain in places:
-            child = trie[node].get(byte)
+    def _step(self, number: int, byte: int) -> int:
+        trie, at_node, low = self.trie, self.at_node, (1 << ID_BITS) - 1
+        after, chosen = [], -1
+        for place in self.states[number]:
+            child = trie[place >> ID_BITS].get(byte)
             if child is None:
                 continue
-            token = at_node[child]
-            if token >= 0 and chosen is None and self._may_end(chain[-1] if chain else written, token):
-                chosen = (*chain, token)
+            if chosen < 0 <= at_node[child] and self._may_end((place & low) - 1, at_node[child]):
+                chosen = at_node[child]
             if trie[child]:
-                after.append((child, chain))
-        after.append((0, chosen))
-        common = 0
-        for tokens in zip(*(chain for _, chain in after)) if after[0][1] else ():
-            if any(t != tokens[0] for t in tokens):
-                break
-            common += 1
-        if common:
-            written, after = chosen[common - 1], [(node, chain[common:]) for node, chain in after]
-        state = (written, tuple(after))
+                after.append(child << ID_BITS | place & low)
+        after.append(chosen + 1)
+        state = tuple(after)
         target = self.numbers.get(state)
         if target is None:
             target = self.numbers[state] = len(self.states)
             self.states.append(state)
-        step = self.steps[number << 8 | byte] = (target, chosen[:common])
+        step = self.steps[number << 8 | byte] = target << ID_BITS | chosen
         return step
 
+    def _chain(self, ends: list[int], to: int) -> list[int]:
+        """The tokens that end at byte ``to``, read backwards from the token that ends each prefix."""
+        out = []
+        while to:
+            out.append(ends[to - 1])
+            to -= len(self.tokens[out[-1]])
+        return out[::-1]
+
+    def _settled(self, ends: list[int], state: int) -> int:
+        """Up to which byte the tokens are the same whichever open place goes on."""
+        common = None
+        for place in self.states[state]:
+            to, cuts = len(ends) - self.depth[place >> ID_BITS], []
+            while to:
+                cuts.append(to)
+                to -= len(self.tokens[ends[to - 1]])
+            common = set(cuts) if common is None else common.intersection(cuts)
+        return max(common, default=0)
+
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
@@ -171,14 +187,19 @@ class Transducer:
         if len(self.states) > STATES:
             self._restart()
         out: list[int] = []
-        state, known = 0, self.steps.get
+        ends: list[int] = []
+        state, known, low = 0, self.steps.get, (1 << ID_BITS) - 1
         for byte in piece:
-            step = known(state << 8 | byte) or self._step(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
-        out += self.states[state][1][-1][1]
-        return out
+            step = known(state << 8 | byte)
+            if step is None:
+                step = self._step(state, byte)
+            state = step >> ID_BITS
+            ends.append(step & low)
+            if len(ends) >= AHEAD and not len(ends) % AHEAD:
+                to = self._settled(ends, state)
+                out += self._chain(ends, to)
+                del ends[:to]
+        return out + self._chain(ends, len(ends))
 
 
 class Decoder:

@@ -243,12 +243,13 @@ def test_two_tokens_stand_side_by_side_as_merging_leaves_them():
 def test_a_full_memo_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "MEMO", 3)
     monkeypatch.setattr(bpe, "STATES", 5)
+    monkeypatch.setattr(bpe, "AHEAD", 2)
     tokens = bpe.read_ranks(VOCABULARY)
     memo, library = bpe.Memo(tokens), tiktoken.Encoding(
         "plain", pat_str=public_tokenizers.PATTERN, special_tokens={},
         mergeable_ranks={t: i for i, t in enumerate(tokens) if t},
     )
-    for piece in [" thndor", " ndor", "x" * 100, " thndor", "é", " 日本語", "\x00\n", " ndor", " untherapeutic"] * 2:
+    for piece in [" thndor", " ndor", "x" * 100, " thndor" * 30, " thndor", "ab" * 5000, "é", " 日本語", "\x00\n", " ndor", " untherapeutic"] * 2:
         ids = library.encode_ordinary(piece)
         if len(regex.findall(public_tokenizers.PATTERN, piece)) == 1:
             assert memo[piece] == (len(ids), " ".join(map(str, ids)), piece)
