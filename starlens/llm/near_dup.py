@@ -7,7 +7,8 @@ pairs, the joint likelihood of both sketches discards those that cannot be simil
 remaining pair is confirmed on the full sets.
 
 Equal sets are one class from the start.  In a bucket of a band all classes are first compared with its
-smallest one, the centre, and the links found are closed to components.  Two members of a bucket that
+smallest one, the centre; those that are far from it regroup around further centres, in rounds, until any two
+members that can be similar have met at one centre.  The links found are closed to components.  Two members of a centre that
 these don't join can only be similar if they share differences from the centre: with no shared difference, each is
 at most as similar to the other as to the centre.  How many they must share follows from the sizes, so a prefix
 of the rarest differences finds every such pair.  No link between different texts is lost, and a large
@@ -17,6 +18,7 @@ group of copies never costs all of its pairs.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -143,8 +145,11 @@ def _band_keys(registers: str) -> Column:
     return F.transform(bands, lambda b: F.xxhash64(b, F.substring(F.col(registers), b * ROWS + 1, F.lit(ROWS))))
 
 
-def _likely(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b, r_a, r_b, n_a, n_b) whose estimate comes near enough to the wanted similarity."""
+def _judged(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b, n_a, n_b, estimate) of ``pairs`` (a, b), with the similarity that the sketches give."""
+    one = classes.select(F.col("rep").alias("a"), F.col("registers").alias("r_a"), F.col("n").alias("n_a"))
+    two = classes.select(F.col("rep").alias("b"), F.col("registers").alias("r_b"), F.col("n").alias("n_b"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "r_a", "r_b", "n_a", "n_b")
 
     def kernel(batches):
         for batch in batches:
@@ -155,19 +160,71 @@ def _likely(pairs: DataFrame, least: float) -> DataFrame:
                 for c in ("r_a", "r_b")
             )
             n_a, n_b = (batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
-            near = estimate(a, b, n_a, n_b) >= least
-            yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(near))
+            rows = batch.select(["a", "b", "n_a", "n_b"])
+            yield rows.append_column("estimate", pa.array(estimate(a, b, n_a, n_b)))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.mapInArrow(kernel, f"a {kind}, b {kind}, n_a long, n_b long")
+    return both.mapInArrow(kernel, f"a {kind}, b {kind}, n_a long, n_b long, estimate double")
 
 
-def _with_sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
-    """Pairs (a, b, n_a, n_b, m_a, m_b) that the sketches leave, with their full sets."""
-    one = classes.select(F.col("rep").alias("a"), F.col("registers").alias("r_a"), F.col("n").alias("n_a"))
-    two = classes.select(F.col("rep").alias("b"), F.col("registers").alias("r_b"), F.col("n").alias("n_b"))
-    both = pairs.join(one, "a").join(two, "b")
-    near = stored(_likely(both.select("a", "b", "r_a", "r_b", "n_a", "n_b"), least))
+def _near_pairs(members: DataFrame, classes: DataFrame, near: float, sure: float) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of a centre and a member of its bucket whose estimate is at least ``near``.
+
+    ``members``: key, rep.  Each round a bucket compares its open members with its centres: first with the smallest
+    member, then with the smallest of each of 2, 4, ... parts of those that no centre is near to (of all, if there
+    are none).  A centre leaves the bucket, and so does a member whose estimate is at least ``sure``: whatever is
+    similar to it is near to that centre too.  A bucket is done when all that are left are near to the same centre.
+    So two similar members of a bucket always meet, as centre and member or as members of one centre.
+    """
+    found, homes, turn = [], None, 0
+    first = members.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("held"))
+    tried = members.join(first.filter("held > 1"), "key")
+    while True:
+        tried = stored(tried.filter("rep <> centre").select("key", "centre", "rep"))
+        asked = tried.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+        judged = stored(_judged(asked, classes))
+        found.append(judged.filter(F.col("estimate") >= near).drop("estimate"))
+        known = judged.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "estimate")
+        far = known.filter(F.col("estimate") < near)
+        if not far.limit(1).count():
+            break
+        missed = tried.join(far, ["centre", "rep"], "left_semi").select("key").distinct()
+        seen = stored(tried.join(missed, "key", "left_semi").join(known, ["centre", "rep"]))
+        left = stored(
+            seen.groupBy("key", "rep")
+            .agg(F.max("estimate").alias("best"))
+            .filter(F.col("best") < sure)
+            .join(seen.select("key", F.col("centre").alias("rep")).distinct(), ["key", "rep"], "left_anti")
+            .select("key", "rep")
+        )
+        joined = seen.filter(F.col("estimate") >= near).select("key", "rep", "centre")
+        homes = joined if homes is None else homes.union(joined)
+        homes = stored(homes.join(left, ["key", "rep"], "left_semi").select("key", "rep", "centre"))
+        held = left.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
+        of_one = homes.groupBy("key", "centre").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max("n").alias("most"))
+        waiting = held.join(of_one, "key", "left").filter("held > 1 and held > coalesce(most, 0)").select("key")
+        housed = homes.select("key", "rep", F.lit(True).alias("housed")).distinct()
+        open_ones = stored(
+            left.join(waiting, "key", "left_semi")
+            .join(housed, ["key", "rep"], "left")
+            .select("key", "rep", F.col("housed").isNull().alias("lone"))
+        )
+        if not open_ones.limit(1).count():
+            break
+        turn += 1
+        part = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << min(turn, 30)))
+        centres = (
+            open_ones.join(open_ones.groupBy("key").agg(F.max("lone").alias("any_lone")), "key")
+            .filter("lone = any_lone")
+            .groupBy("key", part.alias("part"))
+            .agg(F.min("rep").alias("centre"))
+        )
+        tried = open_ones.join(centres, "key")
+    return reduce(DataFrame.union, found).distinct() if turn else found[0]
+
+
+def _with_sets(near: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b, m_a, m_b): those of ``near`` with their full sets."""
     wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     # One row of a class is enough, whichever of repeated rows it is.
     texts = packed(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -289,12 +346,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         .agg(F.min("doc_id").alias("rep"), F.min("registers").alias("registers"), F.min("n_shingles").alias("n"))
     )
     keyed = classes.select("rep", "registers", "n").dropDuplicates(["rep"])
-    members = keyed.select("rep", "n", F.posexplode(_band_keys("registers")).alias("band", "key"))
-    centres = members.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("held"))
-    crowded = members.join(centres.filter("held > 1"), "key").select("rep", "centre")
-    pairs = crowded.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    members = keyed.select("rep", F.posexplode(_band_keys("registers")).alias("band", "key")).select("key", "rep")
+    near = _near_pairs(members, keyed, num / den - 2 * SLACK, 1 - SLACK)
     stars = stored(
-        _with_sets(pairs, keyed, docs, size, num / den - 2 * SLACK)
+        _with_sets(near, docs, size)
         .withColumn("common", F.size(F.array_intersect("m_a", "m_b")))
         .select(
             F.col("a").alias("centre"),
@@ -306,7 +361,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
             F.concat(F.array_except("m_b", "m_a"), F.array_except("m_a", "m_b")).alias("differences"),
         )
     )
-    links = stars.filter("linked").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
+    # Two centres of a bucket are members of each other.
+    links = stars.filter("linked").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
+    links = links.distinct()
     labels = components(links)
     more = stored(_confirmed(_across(stars, labels, num, den), stars, num, den))
     every = links.union(more)

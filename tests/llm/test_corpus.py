@@ -151,6 +151,27 @@ def test_near_duplicates_with_a_large_group(spark):
     assert got == label
 
 
+def test_near_duplicates_from_a_pool_of_passages(spark):
+    # Buckets mix documents that share passages, so that most centres are far from a similar pair.
+    rnd = random.Random(2)
+    pool = [[f"w{rnd.randrange(10**6)}" for _ in range(8)] for _ in range(60)]
+    rows, expected = [], {}
+    for i in range(3000):
+        w = sum((pool[k] for k in sorted(rnd.sample(range(60), 36))), [])
+        rows.append((i, " ".join(w)))
+        expected[i] = i
+        if i >= 2940:
+            for _ in range(6):
+                w[rnd.randrange(len(w))] = f"v{rnd.randrange(10**6)}"
+            rows.append((i + 3000, " ".join(w)))
+            expected[i + 3000] = i
+    texts = dict(rows)
+    pairs = [(_shingles(texts[i], 3), _shingles(texts[i - 3000], 3)) for i in texts if i >= 3000]
+    assert len(pairs) == 60 and all(100 * len(a & b) >= 85 * len(a | b) for a, b in pairs)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()
+    assert {r.doc_id: r.component_id for r in got} == expected
+
+
 def test_language_of_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     true = {r.doc_id: r.lang for r in docs.collect()}
