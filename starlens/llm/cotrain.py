@@ -30,6 +30,8 @@ LABELLED_ROWS = 20_000
 SIGNS, SIGN_DOCUMENTS, SIGN_SCORE, SIGN_ODDS = 1_000, 5, 4.0, 1.2
 #: Letters of a beginning of a longer word, which may be a sign too.
 BEGINNING = 5
+#: Words of a block within which distinct words are counted, so that their share doesn't fall with length.
+SPAN = 200
 ROUNDS, CONFIDENT, PSEUDO_WEIGHT = 2, 0.98, 0.2
 RIDGE = 1e-3
 
@@ -64,7 +66,7 @@ def text_features(text: str | None, signs: frozenset[str]) -> list[float]:
         upper / n,
         repeated,
         1 - len(set(lines)) / len(lines),
-        1 - len(set(words)) / n if n < 200 else 1 - len(set(words[:200])) / 200,
+        1 - sum(len(set(words[i : i + SPAN])) for i in range(0, n, SPAN)) / n,
         min(hits, 3) * 1.0,
         float(bool(hits)),
         closed / len(lines),

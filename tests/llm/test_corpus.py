@@ -319,6 +319,16 @@ def test_classifier_finds_what_is_unwanted(spark):
     assert row.right >= 0.93 and row.clean >= 0.95
 
 
+def test_repeated_words_count_in_the_whole_text():
+    rnd = random.Random(3)
+    varied = [f"w{i}" for i in range(1000)]
+    few = [rnd.choice("abcdefgh") for _ in range(1000)]
+    share = lambda words: cotrain.text_features(" ".join(words), frozenset())[8]
+    assert share(varied) == 0 and share(varied[:150] + few[:50]) == pytest.approx(42 / 200)
+    assert share(varied[:200] + few) == pytest.approx(share(few + varied[:200])) == pytest.approx(960 / 1200)
+    assert share(few[:200] + varied) == pytest.approx(192 / 1200)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
