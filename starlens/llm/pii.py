@@ -4,7 +4,8 @@ One pattern finds the entities.  Their distinct normal forms make up a table; ea
 keyed hash that keeps kind, length and format (digits for digits, letters of the same script and case, valid
 check digits, names of the same gender and script).  Proposals are checked over the whole table: two entities
 never share a surrogate, and none is the value of a real entity; losers propose again.  The same entity has the
-same surrogate everywhere, in whatever format it is written.
+same surrogate everywhere, in whatever format it is written.  A person's is made of surrogates of the name's words,
+so that a short mention and the full name agree.
 """
 
 from __future__ import annotations
@@ -20,11 +21,14 @@ KINDS = ("email", "person", "iban", "ip", "phone", "card", "ssn")
 
 _FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|г-жа|Госпожа|Κυρία"
 _MALE = r"Mr|Herr|Monsieur|Señor|Sr|г-н|Господин|Κύριος"
-_TITLE = rf"(?:{_FEMALE}|{_MALE})"
-_NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+_TITLE = rf"(?:{_FEMALE}|{_MALE}|Dra|Dr|Doctor|Doktor|Professor|Prof)"
+_TITLES = rf"{_TITLE}\.?(?: {_TITLE}\.?)* "
+_PARTICLE = r"(?:von|van|vom|der|den|de|del|della|di|da|dos|das|du|la|le|zu|zur|zum|ten|ter|bin|ibn|al|el|af|av|y)"
+_WORD = r"(?:\p{L}['’])?\p{Lu}[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+|['’]\p{Lu}[\p{L}\p{M}]+)*"
+_NAME = rf"(?:(?:{_WORD}|\p{{Lu}}\.?|{_PARTICLE}) |\p{{Lu}}\.)*{_WORD}"
 _LOCAL = r"[\p{L}\p{N}._%+-]"
 _EMAIL = rf"(?<!{_LOCAL})[\p{{L}}\p{{N}}]{_LOCAL}*+@[\p{{L}}\p{{N}}-]++(?:\.[\p{{L}}\p{{N}}-]++)+"
-_PERSON = rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\.? {_NAME}(?: {_NAME})?(?!\p{{L}})"
+_PERSON = rf"(?<![\p{{L}}\p{{N}}]){_TITLES}{_NAME}(?!\p{{L}})"
 _IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _IP = rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}])(?!\.[0-9])"
@@ -65,7 +69,7 @@ PROPOSALS = 8
 def kind_of(value: Column) -> Column:
     tests = (
         ("email", F.contains(value, F.lit("@"))),
-        ("person", value.rlike(rf"^{_TITLE}\.? ")),
+        ("person", value.rlike(rf"^{_TITLES}")),
         ("iban", value.rlike("^[A-Z]")),
         ("ip", value.rlike(rf"^{_OCTET}(\.{_OCTET}){{3}}$")),
         ("ssn", value.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$")),
@@ -79,16 +83,43 @@ def kind_of(value: Column) -> Column:
 
 def normal_form(kind: Column, value: Column) -> Column:
     """What all spellings of one entity share: letters and digits that count."""
-    female = F.when(value.rlike(rf"^(?:{_FEMALE})"), "f ").otherwise("m ")
     return (
         F.when(kind == "email", F.lower(value))
         .when(kind == "ip", value)
-        .when(kind == "person", F.concat(female, F.regexp_replace(value, rf"^{_TITLE}\.? ", "")))
         .when(kind == "iban", F.replace(value, F.lit(" "), F.lit("")))
         .otherwise(F.regexp_replace(value, "[^0-9]", ""))
     )
 
 
+def parts_of(kind: Column, value: Column) -> Column:
+    """What has a surrogate of its own in an entity: (kind, norm, word) of each word of a person's name, or the whole.
+
+    A name's last word is the family name, whoever bears it; those before are given names, initials and particles.
+    Without a title that tells, the ending of a given name stands for its gender.
+    """
+    title = F.regexp_extract(value, rf"^{_TITLES}", 0)
+    spaced = F.regexp_replace(F.regexp_replace(value, rf"^{_TITLES}", ""), r"(?<=\p{Lu}\.)(?=\p{L})", " ")
+    words = F.split(spaced, " ")
+
+    def part(w: Column, i: Column) -> Column:
+        norm = F.translate(F.lower(w), "’", "'")
+        female = title.rlike(rf"(?:^| )(?:{_FEMALE}|Dra)\.? ")
+        male = title.rlike(rf"(?:^| )(?:{_MALE})\.? ")
+        name = (
+            F.when(i == F.size(words) - 1, "family")
+            .when(w.rlike(r"^\p{Lu}\.?$"), "initial")
+            .when(w.rlike(rf"^{_PARTICLE}$"), "particle")
+            .when(female | (~male & norm.rlike("[aаяαάη]$")), "given f")
+            .otherwise("given m")
+        )
+        return F.struct(
+            name.alias("kind"), F.when(name == "initial", F.substring(norm, 1, 1)).otherwise(norm).alias("norm"), w.alias("word")
+        )
+
+    whole = F.struct(kind.alias("kind"), normal_form(kind, value).alias("norm"), value.alias("word"))
+    return F.when(kind == "person", F.transform(words, part)).otherwise(F.array(whole))
+
+
 def _bytes(seed: Column) -> Column:
     """128 numbers from 0 to 255 that follow from ``seed``."""
     digest = F.concat(*(F.sha2(F.concat(seed, F.lit(f"\x1f{i}")), 256) for i in range(4)))
@@ -142,25 +173,35 @@ def _pick(names: list[str], n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), n % len(names) + 1)
 
 
-def _person(norm: Column, numbers: Column, attempt: Column) -> Column:
-    """Given (if there are two words) and family name of the same script and gender; retries double the family."""
+def _name(kind: Column, norm: Column, numbers: Column, attempt: Column) -> Column:
+    """Name, in small letters, of the same kind, gender and script; retries add names (given names from the fifth on)."""
     script = F.when(norm.rlike(r"\p{IsCyrillic}"), "cyrillic").when(norm.rlike(r"\p{IsGreek}"), "greek")
-    out = None
-    for name, lists in NAMES.items():
-        given = F.when(F.startswith(norm, F.lit("f ")), _pick(lists["f"], F.get(numbers, 0))).otherwise(
-            _pick(lists["m"], F.get(numbers, 0))
-        )
-        more = F.transform(
-            F.sequence(F.lit(0), F.least(attempt, F.lit(9))), lambda k: _pick(lists["last"], F.get(numbers, k + 1))
-        )
-        family = F.array_join(more, "-")
-        whole = F.concat(
-            F.substring(norm, 1, 2), F.when(F.size(F.split(norm, " ")) > 2, F.concat(given, F.lit(" "))).otherwise(""), family
-        )
-        out = F.when(script == name, whole) if out is None else out.when(script == name, whole)
-        if name == "latin":
-            latin = whole
-    return out.otherwise(latin)
+    retries = F.when(kind == "family", attempt).otherwise(F.greatest(attempt - 4, F.lit(0)))
+    places = F.sequence(F.lit(0), F.least(retries, F.lit(9)))
+
+    def chain(names: list[str]) -> Column:
+        return F.array_join(F.transform(places, lambda k: _pick(names, F.get(numbers, k + 1))), "-")
+
+    def names(script: str) -> Column:
+        out = None
+        for name, part in (("family", "last"), ("given f", "f"), ("given m", "m")):
+            made = chain([x.lower() for x in NAMES[script][part]])
+            out = F.when(kind == name, made) if out is None else out.when(kind == name, made)
+        return out
+
+    return F.when(script == "cyrillic", names("cyrillic")).when(script == "greek", names("greek")).otherwise(names("latin"))
+
+
+def _written_name(part: Column, surrogate: Column) -> Column:
+    """A name's surrogate in capitals or with capital initials, as the word it replaces; particles stay."""
+    word = part["word"]
+    capital = F.replace(F.initcap(F.replace(surrogate, F.lit("-"), F.lit(" "))), F.lit(" "), F.lit("-"))
+    return (
+        F.when(part["kind"] == "particle", word)
+        .when(part["kind"] == "initial", F.concat(F.upper(surrogate), F.when(F.endswith(word, F.lit(".")), ".").otherwise("")))
+        .when((F.upper(word) == word) & (F.length(word) > 1), F.upper(surrogate))
+        .otherwise(capital)
+    )
 
 
 def propose(kind: Column, norm: Column, key: str, attempt: Column) -> Column:
@@ -183,7 +224,8 @@ def propose(kind: Column, norm: Column, key: str, attempt: Column) -> Column:
     iban = F.concat(F.substring(norm, 1, 2), _like(norm.substr(F.lit(3), F.length(norm)), n), longer)
     return (
         F.when(kind == "email", email)
-        .when(kind == "person", _person(norm, n, attempt))
+        .when(kind.isin("family", "given f", "given m"), _name(kind, norm, n, attempt))
+        .when(kind == "initial", F.regexp_replace(_like(F.repeat(norm, F.least(attempt, F.lit(9)) + 1), n), "(.)(?=.)", "$1. "))
         .when(kind == "ip", ip)
         .when(kind == "iban", iban)
         .when(kind == "card", _valid_card(norm, digits))
@@ -213,10 +255,8 @@ def written(kind: Column, value: Column, surrogate: Column) -> Column:
         "",
     )
     last = F.length(F.regexp_replace(value, counted, F.lit("")))
-    title = F.regexp_extract(value, rf"^{_TITLE}\.? ", 0)
     return (
         F.when(kind.isin("email", "ip"), surrogate)
-        .when(kind == "person", F.concat(title, F.substring(surrogate, F.lit(3), F.length(surrogate))))
         .otherwise(F.concat(filled, surrogate.substr(last + 1, F.length(surrogate))))
     )
 
@@ -261,22 +301,27 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     has = F.coalesce(text.rlike(PATTERN), F.lit(False))
 
     def entity(v: Column) -> Column:
-        return F.struct(kind_of(v).alias("kind"), normal_form(kind_of(v), v).alias("norm"), v.alias("value"))
+        return F.struct(kind_of(v).alias("kind"), parts_of(kind_of(v), v).alias("parts"), v.alias("value"))
 
     marked = docs.filter(has).withColumn(
         found, F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), entity)
     )
-    each = marked.select(F.col(id_col).alias("i"), F.explode(F.array_distinct(F.transform(found, _kind_norm))).alias("e"))
-    each = stored(each.select("i", "e.kind", "e.norm").distinct())
+    each = marked.select(F.col(id_col).alias("i"), F.explode(F.array_distinct(F.flatten(F.transform(found, _kinds_norms)))).alias("e"))
+    each = stored(each.select("i", "e.kind", "e.norm").filter("kind <> 'particle'").distinct())
     table = surrogates(each, key)
     named = each.join(table, ["kind", "norm"]).select("i", F.concat_ws("\x1f", "kind", "norm").alias("k"), "surrogate")
     maps = named.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("k", "surrogate"))).alias(known))
     joined = marked.join(maps, marked[id_col].eqNullSafe(maps["i"])).drop("i")
 
+    def surrogate_of(part: Column) -> Column:
+        return F.element_at(F.col(known), F.concat_ws("\x1f", part["kind"], part["norm"]))
+
     def replaced(e: Column) -> Column:
-        sur = F.element_at(F.col(known), F.concat_ws("\x1f", e["kind"], e["norm"]))
+        name = F.array_join(F.transform(e["parts"], lambda p: _written_name(p, surrogate_of(p))), " ")
+        person = F.concat(F.regexp_extract(e["value"], rf"^{_TITLES}", 0), name)
+        other = written(e["kind"], e["value"], surrogate_of(F.get(e["parts"], F.lit(0))))
         return F.struct(
-            e["kind"].alias("kind"), e["value"].alias("value"), written(e["kind"], e["value"], sur).alias("surrogate")
+            e["kind"].alias("kind"), e["value"].alias("value"), F.when(e["kind"] == "person", person).otherwise(other).alias("surrogate")
         )
 
     joined = joined.withColumn(found, F.transform(found, replaced)).drop(known)
@@ -291,5 +336,5 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     return joined.select(*docs.columns, found).unionByName(rest.select(*docs.columns, found))
 
 
-def _kind_norm(e: Column) -> Column:
-    return F.struct(e["kind"].alias("kind"), e["norm"].alias("norm"))
+def _kinds_norms(e: Column) -> Column:
+    return F.transform(e["parts"], lambda p: F.struct(p["kind"].alias("kind"), p["norm"].alias("norm")))

@@ -114,6 +114,26 @@ def test_surrogates_are_consistent_and_distinct(spark):
     assert len(every) == 400 == len(set(every.values())) and not set(every.values()) & {v for _, v in every}
 
 
+def test_surrogates_of_whole_names(spark):
+    texts = [
+        "Mr John Otto Smith, Mr McDonald, Mr O'Brien and Mr. J. Smith met Dr. Ludwig van Beethoven.",
+        "Mr Otto Quandt spoke; Mr Quandt left, MR. said Prof. Dr. Otto Quandt to Frau Hilda Quandt and Mr K. Smith. Mr QUANDT's hat.",
+    ]
+    got = pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
+    got = {r.doc_id: r for r in got}
+    people = {e.value: e.surrogate for r in got.values() for e in r.entities}
+    assert set(people) == {
+        "Mr John Otto Smith", "Mr McDonald", "Mr O'Brien", "Mr. J. Smith", "Dr. Ludwig van Beethoven", "Mr Otto Quandt",
+        "Mr Quandt", "Prof. Dr. Otto Quandt", "Frau Hilda Quandt", "Mr K. Smith", "Mr QUANDT",
+    }
+    assert not re.search("John|Otto|Smith|Donald|Brien|Ludwig|Beethoven|(?i:Quandt)|Hilda", " ".join(r.text for r in got.values()))
+    last = {v: s.split()[-1] for v, s in people.items()}
+    assert last["Mr Quandt"] == last["Mr Otto Quandt"] == last["Frau Hilda Quandt"] and last["Mr QUANDT"] == last["Mr Quandt"].upper()
+    assert people["Prof. Dr. Otto Quandt"] == people["Mr Otto Quandt"].replace("Mr", "Prof. Dr.")
+    assert last["Mr. J. Smith"] == last["Mr John Otto Smith"] and people["Mr. J. Smith"][3:] != people["Mr K. Smith"][2:]
+    assert len(set(people.values())) == len(people) and " van " in people["Dr. Ludwig van Beethoven"]
+
+
 def _shingles(text, size):
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
     return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
