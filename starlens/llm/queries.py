@@ -12,14 +12,17 @@ from starlens.llm import (
     bpe,
     cotrain,
     decontaminate,
+    divergence,
     langid,
     near_dup,
     oracles,
     pii,
+    pivots,
     quality_rules,
     recompress,
     secret_scan,
     suffix_dedup,
+    term_tree,
 )
 
 #: The key of this data set's surrogates; a real one comes from a secret store.
@@ -92,6 +95,19 @@ def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
     return found.drop("spans", "items")
 
 
+def op11_ranked_search(spark: SparkSession, root: str) -> DataFrame:
+    return term_tree.ranked_search(documents(spark, root), spark.read.parquet(f"{root}/benchmark.parquet"))
+
+
+def op12_source_divergence(spark: SparkSession, root: str) -> DataFrame:
+    return divergence.source_divergence(documents(spark, root))
+
+
+def op13_exact_top_k(spark: SparkSession, root: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{root}/embeddings.parquet")
+    return pivots.exact_top_k(vectors.filter("vec_id % 50 = 0"), vectors)
+
+
 def pipeline(spark: SparkSession, root: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,6 +125,9 @@ _ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op8_quality_rules,
     op9_quality_classifier,
     op10_decontamination,
+    op11_ranked_search,
+    op12_source_divergence,
+    op13_exact_top_k,
     pipeline,
 )
 
@@ -124,4 +143,7 @@ def all_oracles() -> dict[str, str]:
         "op6_secret_scan": oracles.SECRETS,
         "op8_quality_rules": oracles.QUALITY,
         "op10_decontamination": oracles.DECONTAMINATION,
+        "op11_ranked_search": oracles.RANKED_SEARCH,
+        "op12_source_divergence": oracles.DIVERGENCE,
+        "op13_exact_top_k": oracles.TOP_K,
     }
