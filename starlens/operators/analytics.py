@@ -240,68 +240,56 @@ def avg_basket_value(
     return _top(means, F.desc("avg_order_value"), [customer], n)
 
 
-def _pairs_in(rows: DataFrame) -> DataFrame:
-    """Item pairs of bounded baskets, counted: (item_a, item_b, support)."""
-    lists = (
-        rows.groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("its")).filter(F.size("its") > 1)
-    )
-    inside = F.flatten(
-        F.transform(
-            "its",
-            lambda x, i: F.transform(
-                F.slice("its", i + 2, F.size("its")),
-                lambda y: F.struct(x.alias("item_a"), y.alias("item_b")),
-            ),
-        )
-    )
-    return lists.select(F.inline(inside)).groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("support"))
-
-
-def _with_large_baskets(kept: DataFrame, large: DataFrame, min_support: int) -> DataFrame:
-    """Pairs with their support when some baskets are too large to be paired inside."""
-    known = _pairs_in(kept.join(large, "basket", "left_anti"))
-    in_large = kept.join(large, "basket", "left_semi")
-    per_item = in_large.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    open_pairs = (
-        known.join(per_item.select(F.col("item").alias("item_a"), F.col("n").alias("n_a")), "item_a")
-        .join(per_item.select(F.col("item").alias("item_b"), F.col("n").alias("n_b")), "item_b")
-        .filter(F.col("support") + F.least("n_a", "n_b") >= min_support)
-    )
-    looked_up = (
-        open_pairs.select("item_a", "item_b")
-        .join(in_large.select(F.col("item").alias("item_a"), "basket"), "item_a")
-        .join(in_large.select(F.col("item").alias("item_b"), "basket"), ["item_b", "basket"], "left_semi")
-        .groupBy("item_a", "item_b")
-        .agg(F.count(F.lit(1)).alias("more"))
-    )
-    counted = known.join(looked_up, ["item_a", "item_b"], "left").select(
-        "item_a", "item_b", (F.col("support") + F.coalesce("more", F.lit(0))).alias("support")
-    )
+#: Members of one block of a basket; the items of two blocks meet in one group.
+BASKET_BLOCK = 256
+#: Partners of a row in its basket, on average, up to which all pairs are formed.
+DIRECT_PARTNERS = 64
 
-    # Pairs of large baskets only: compare basket sets, then write the qualifying item pairs.
-    members = (
-        in_large.join(per_item.filter(F.col("n") >= min_support).select("item"), "item", "left_semi")
-        .groupBy("item")
-        .agg(F.sort_array(F.collect_list("basket")).alias("held"))
-    )
-    cells = members.select("held").distinct().select("held", F.explode("held").alias("basket"))
-    overlap = (
-        cells.select(F.col("held").alias("held_a"), "basket")
-        .join(cells.select(F.col("held").alias("held_b"), "basket"), "basket")
-        .groupBy("held_a", "held_b")
-        .agg(F.count(F.lit(1)).alias("support"))
-        .filter(F.col("support") >= min_support)
-    )
-    side_a = members.select(F.col("item").alias("item_a"), F.col("held").alias("held_a"))
-    side_b = members.select(F.col("item").alias("item_b"), F.col("held").alias("held_b"))
-    large_only = (
-        overlap.join(side_a, "held_a")
-        .join(side_b, "held_b")
-        .filter("item_a < item_b")
-        .select("item_a", "item_b", "support")
-        .join(known.select("item_a", "item_b"), ["item_a", "item_b"], "left_anti")
+
+def _met(rows: DataFrame, block: int) -> DataFrame:
+    """Item pairs and the baskets in which both stand in ``rows`` (basket, item, size), counted: (item_a, item_b, met).
+
+    A basket is cut into blocks by a hash of the item, and a group holds two blocks of one basket, so the work of a
+    large basket spreads over many groups of bounded size.
+    """
+    blocks = F.ceil(F.col("size") / block)
+    cut = rows.select("basket", "item", blocks.alias("blocks"), F.pmod(F.xxhash64("item"), blocks).alias("own"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    left = cut.select("basket", F.col("item").alias("item_a"), F.col("own").alias("block_a"), every.alias("block_b"))
+    right = cut.select("basket", F.col("item").alias("item_b"), every.alias("block_a"), F.col("own").alias("block_b"))
+    pairs = left.join(right, ["basket", "block_a", "block_b"]).filter("item_a < item_b")
+    return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("met"))
+
+
+def _met_often(kept: DataFrame, min_support: int, block: int) -> DataFrame:
+    """:func:`_met` for the pairs that may share ``min_support`` baskets, without forming the others of large baskets.
+
+    Baskets are ordered by size.  Two items that share enough baskets share one that is not among the last
+    ``min_support - 1`` of either, so items propose pairs only from their other, smaller baskets.  A pair's
+    count is the number of baskets in which both propose, plus what it has in the last ones of the item that
+    stops proposing first: those are at most ``min_support - 1`` rows, which are looked up.
+    """
+    place = F.struct("size", "basket")
+    largest = Window.partitionBy("item").orderBy(F.desc("size"), F.desc("basket"))
+    last = cut_lineage(kept.withColumn("r", F.row_number().over(largest)).filter(F.col("r") < min_support).drop("r"))
+    stops = last.groupBy("item").agg(F.min(place).alias("stop"))
+    proposing = lookup_join(kept, stops, "item", salts=SALTS).filter(place < F.col("stop"))
+    pairs = _met(proposing, block)
+    for end in ("a", "b"):
+        stop = stops.select(F.col("item").alias(f"item_{end}"), F.col("stop").alias(f"stop_{end}"))
+        pairs = lookup_join(pairs, stop, f"item_{end}", salts=SALTS)
+    first = F.col("stop_a") <= F.col("stop_b")
+    asked = pairs.select(
+        "item_a",
+        "item_b",
+        "met",
+        F.when(first, F.col("item_a")).otherwise(F.col("item_b")).alias("item"),
+        F.when(first, F.col("item_b")).otherwise(F.col("item_a")).alias("other"),
     )
-    return counted.unionByName(large_only)
+    asked = lookup_join(asked, last.select("item", "basket"), "item", salts=SALTS)
+    holds = kept.select(F.col("item").alias("other"), "basket", F.lit(1).alias("held"))
+    found = asked.join(holds, ["other", "basket"], "left").groupBy("item_a", "item_b")
+    return found.agg((F.max("met") + F.count("held")).alias("met"))
 
 
 def bought_together(
@@ -309,38 +297,34 @@ def bought_together(
     min_support: int,
     basket: str = "order_id",
     item: str = "item_id",
-    regular: int = 200,
+    block: int = BASKET_BLOCK,
+    direct: int = DIRECT_PARTNERS,
 ) -> DataFrame:
-    """Item pairs that share at least ``min_support`` baskets, with confidence and lift.
-
-    Items below the support are dropped first (no pair of theirs can reach it) and the rest is
-    checkpointed, since several steps read it.  Baskets of at most ``regular`` items are paired
-    inside the basket.  Larger baskets are never paired inside: pairs known from regular baskets are
-    looked up in them, and for pairs that live in large baskets alone the items are grouped by the
-    set of large baskets they are in, sets are compared, and only item pairs whose sets share enough
-    baskets are written.  The result is exact for any basket size.
+    """Item pairs that share at least ``min_support`` baskets, with confidence and lift; exact for any basket size.
+
+    Rows without basket or item are left out.  All pairs of a basket are formed while a row has at most ``direct``
+    partners on average, which keeps the work in proportion to the rows; else the largest baskets of an item
+    propose nothing (:func:`_met_often`).  Either way gives the same pairs and counts.
     """
-    rows = sales.select(F.col(basket).alias("basket"), F.col(item).alias("item")).distinct()
-    support = rows.groupBy("item").agg(F.count(F.lit(1)).alias("support"))
-    frequent = support.filter(F.col("support") >= min_support)
+    rows = sales.select(F.col(basket).alias("basket"), F.col(item).alias("item")).na.drop().distinct()
     baskets = rows.select("basket").distinct().agg(F.count(F.lit(1))).scalar()
-    kept = cut_lineage(rows.join(frequent, "item"))
-    sizes = kept.groupBy("basket").agg(F.count(F.lit(1)).alias("n"))
-    large = cut_lineage(sizes.filter(F.col("n") > regular).select("basket"))
-    thin = kept.select("basket", "item")
-    pairs = _pairs_in(thin) if large.isEmpty() else _with_large_baskets(thin, large, min_support)
-    per_item = kept.select("item", "support").distinct()
-    out = (
-        pairs.filter(F.col("support") >= min_support)
-        .join(per_item.select(F.col("item").alias("item_a"), F.col("support").alias("support_a")), "item_a")
-        .join(per_item.select(F.col("item").alias("item_b"), F.col("support").alias("support_b")), "item_b")
-    )
+    support = rows.groupBy("item").agg(F.count(F.lit(1)).alias("support"))
+    frequent = cut_lineage(support.filter(F.col("support") >= min_support))
+    kept = lookup_join(rows, frequent.select("item"), "item", "left_semi", salts=SALTS)
+    sizes = kept.groupBy("basket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    kept = cut_lineage(lookup_join(kept, sizes, "basket", salts=SALTS))
+    crowd = kept.agg(F.avg(F.col("size") - 1)).first()[0] or 0
+    pairs = _met(kept, block) if min_support < 2 or crowd <= direct else _met_often(kept, min_support, block)
+    out = pairs.filter(F.col("met") >= min_support)
+    for end in ("a", "b"):
+        known = frequent.select(F.col("item").alias(f"item_{end}"), F.col("support").alias(f"support_{end}"))
+        out = lookup_join(out, known, f"item_{end}", salts=SALTS)
     return out.select(
         "item_a",
         "item_b",
-        "support",
-        (F.col("support") / F.col("support_a")).alias("confidence"),
-        (F.col("support") * baskets / (F.col("support_a") * F.col("support_b"))).alias("lift"),
+        F.col("met").alias("support"),
+        (F.col("met") / F.col("support_a")).alias("confidence"),
+        (F.col("met") * baskets / (F.col("support_a") * F.col("support_b"))).alias("lift"),
     )
 
 

@@ -178,21 +178,39 @@ def g12(r):
     return an.sold_everywhere(_with_region(r, "item_id"), regions, "region_id")
 
 
-@book.star(
-    "g13_bought_together",
-    """
-    , b AS (SELECT DISTINCT order_id, item_id FROM sales),
-    n AS (SELECT item_id, count(*) AS support FROM b GROUP BY item_id),
-    p AS (SELECT x.item_id AS item_a, y.item_id AS item_b, count(*) AS support FROM b x JOIN b y
-          ON x.order_id = y.order_id AND x.item_id < y.item_id GROUP BY ALL HAVING count(*) >= 2)
+def _together(columns, least):
+    """SQL of G13 over ``columns``, a query that gives (basket, item)."""
+    return f"""
+    , b AS (SELECT DISTINCT * FROM ({columns}) WHERE basket IS NOT NULL AND item IS NOT NULL),
+    n AS (SELECT item, count(*) AS support FROM b GROUP BY item),
+    p AS (SELECT x.item AS item_a, y.item AS item_b, count(*) AS support FROM b x JOIN b y
+          ON x.basket = y.basket AND x.item < y.item GROUP BY ALL HAVING count(*) >= {least})
     SELECT item_a, item_b, p.support, round(p.support / na.support, 6) AS confidence,
-           round(p.support * (SELECT count(DISTINCT order_id) FROM b) / (na.support * nb.support), 6) AS lift
-    FROM p JOIN n na ON item_a = na.item_id JOIN n nb ON item_b = nb.item_id""",
-)
+           round(p.support * (SELECT count(DISTINCT basket) FROM b) / (na.support * nb.support), 6) AS lift
+    FROM p JOIN n na ON item_a = na.item JOIN n nb ON item_b = nb.item"""
+
+
+@book.star("g13_bought_together", _together("SELECT order_id AS basket, item_id AS item FROM sales", 2))
 def g13(r):
     return rounded(an.bought_together(r.sales("order_id", "item_id"), 2), 6, "confidence", "lift")
 
 
+@book.star("g13_bought_by_same_customers", _together("SELECT customer_id AS basket, item_id AS item FROM sales", 4))
+def g13_customers(r):
+    out = an.bought_together(r.sales("customer_id", "item_id"), 4, basket="customer_id")
+    return rounded(out, 6, "confidence", "lift")
+
+
+@book.star(
+    "g13_suppliers_of_same_brands",
+    _together("SELECT p_brand AS basket, supplier_id AS item FROM sales JOIN part ON p_partkey = item_id", 20),
+)
+def g13_brands(r):
+    brands = r.table("part").select(F.col("p_partkey").alias("item_id"), "p_brand")
+    sold = lookup_join(r.sales("item_id", "supplier_id"), brands, "item_id")
+    return rounded(an.bought_together(sold, 20, basket="p_brand", item="supplier_id"), 6, "confidence", "lift")
+
+
 @book.star(
     "g14_avg_basket_value",
     """

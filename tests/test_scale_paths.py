@@ -64,7 +64,7 @@ def baskets():
     return rows
 
 
-@pytest.mark.parametrize("min_support", [2, 3])
+@pytest.mark.parametrize("min_support", [1, 2, 3])
 def test_bought_together_with_large_baskets(spark, min_support):
     held = {}
     for b, i in baskets():
@@ -76,9 +76,9 @@ def test_bought_together_with_large_baskets(spark, min_support):
         for (a, b), n in pairs.items()
         if n >= min_support
     }
-    sales = spark.createDataFrame(baskets(), "order_id bigint, item_id bigint")
-    for regular in (8, 1000):
-        got = an.bought_together(sales, min_support, regular=regular).collect()
+    sales = spark.createDataFrame([*baskets(), (None, 3), (4, None)], "order_id bigint, item_id bigint")
+    for block, direct in ((8, 0), (256, 0), (8, 1000)):
+        got = an.bought_together(sales, min_support, block=block, direct=direct).collect()
         assert len(got) == len(want)
         assert {(r[0], r[1], r[2], round(r[3], 6), round(r[4], 6)) for r in got} == want
 
@@ -149,3 +149,13 @@ def test_walk_and_patterns_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(joins.lookup_join, "__defaults__", ("inner", -1, None))
     assert results() == plain
+
+
+def test_large_baskets_propose_few_pairs(spark):
+    """Fifty baskets of all 400 items and some small ones: pairs are formed in the small baskets only."""
+    rows = [(b, i) for b in range(50) for i in range(400)] + [(100 + i // 4, i) for i in range(400)]
+    kept = spark.createDataFrame(rows, "basket bigint, item bigint")
+    kept = kept.join(kept.groupBy("basket").agg(F.count("*").alias("size")), "basket")
+    assert an._met(kept, 64).agg(F.sum("met")).first()[0] == 50 * 400 * 399 // 2 + 100 * 6
+    often = an._met_often(kept, 51, 64)
+    assert often.count() == 100 * 6 and often.filter("met <> 51").isEmpty()
