@@ -117,8 +117,7 @@ def c6(r):
 )
 def c6_join(r):
     vectors = r.table("embeddings")
-    queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
-    return search.knn_join(vectors, queries, 5, key="vec_id", pivots=32, block=128)
+    return search.batch_semantic_search(vectors, vectors, 5, key="vec_id", query_key="vec_id", pivots=32, block=128)
 
 
 @book.query(
