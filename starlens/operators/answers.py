@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from starlens.functions.questions import deployed_route, product_mentions
 from starlens.functions.render import buyer_line, semantic_answers, semantic_lines
-from starlens.functions.vectors import HashingEncoder, embed_queries
+from starlens.functions.vectors import TermModel, embed_queries
 from starlens.joins import SALTS, lookup_join
 from starlens.operators.search import batch_semantic_search
 from starlens.session import cut_lineage
@@ -118,7 +118,7 @@ def answer_batch(
     sales: DataFrame,
     items: DataFrame,
     customers: DataFrame,
-    encoder: Callable[[], object] = HashingEncoder,
+    encoder: TermModel | Callable[[], object] = TermModel(),
     top_k: int = 5,
     contact: str | None = None,
     element: str = "float",
@@ -135,7 +135,7 @@ def answer_batch(
         log.groupBy("query_id").agg(F.min("question").alias("question")).withColumn("route", deployed_route("question"))
     )
     searched = texts.filter("route <> 'pattern'")
-    queries = embed_queries(searched, "question", encoder, element=element)
+    queries = cut_lineage(embed_queries(searched, "question", encoder, element=element))
     ranked = batch_semantic_search(nodes, queries, top_k)
     semantic = semantic_answers(searched, semantic_lines(ranked, nodes))
     patterns = pattern_answers(texts.filter("route = 'pattern'"), sales, items, customers, contact=contact)

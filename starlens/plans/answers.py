@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from starlens.functions import questions as qs
 from starlens.functions import render
-from starlens.functions.vectors import HashingEncoder, embed
+from starlens.functions.vectors import TermModel, embed
 from starlens.operators import aggregates as agg
 from starlens.operators import evaluate as ev
 from starlens.operators import graph as gr
@@ -20,6 +18,7 @@ from starlens.plans.graph import dims
 from starlens.plans.log import QUESTIONS, question_log
 from starlens.plans.questions import _any
 from starlens.plans.vectors import _TOP5, DIMS, HASHED, PAIRS
+from starlens.session import cut_lineage
 from starlens.sources.retail import denormalize
 
 book = Book()
@@ -169,7 +168,7 @@ def i4_revenue(r):
 def search_nodes(r):
     """Node texts and vectors of the whole graph, commas between attributes."""
     nodes = gr.build_nodes(dims(r), sep=", ").select("node_id", "node_text")
-    return embed(nodes, "node_text", partial(HashingEncoder, DIMS), element="double")
+    return cut_lineage(embed(nodes, "node_text", TermModel(DIMS), element="double"))
 
 
 _QUOTED = """list_transform(regexp_extract_all(question, '("[^"]+"|(?:^|\\s)''[^'']+'')', 1),
@@ -236,7 +235,7 @@ def j1(r):
         r.sales("item_id", "customer_id"),
         r.items(),
         r.customers(),
-        partial(HashingEncoder, DIMS),
+        TermModel(DIMS),
         element="double",
     )
 

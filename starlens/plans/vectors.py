@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
+from starlens.config import RETAIL
 from starlens.functions.text import truncate_tokens
-from starlens.functions.vectors import HashingEncoder, cosine, embed, embed_queries
+from starlens.functions.vectors import TermModel, cosine, embed, embed_queries
 from starlens.operators import graph as gr
 from starlens.operators import search
 from starlens.plans.book import Book, with_star
+from starlens.session import cut_lineage
 
 book = Book()
 DIMS = 64
@@ -34,18 +34,45 @@ def _elements(df, key):
     )
 
 
-def _encoder():
-    return partial(HashingEncoder, DIMS)
+def hashed_idf(texts, corpus, dims):
+    """SQL of the elements of ``texts``(id, text), weighted by the document frequencies of ``corpus``(id, text)."""
+    return f"""texts AS ({texts}), corpus AS ({corpus}),
+    tokens AS (SELECT 't' AS side, id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM texts
+               UNION ALL SELECT 'c', id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) FROM corpus),
+    counted AS (SELECT side, id, CAST(('0x' || substr(md5(token), 1, 8)) AS BIGINT) % {dims} AS dim, count(*) AS n
+                FROM tokens GROUP BY ALL),
+    weights AS (SELECT dim, 1 + ln(((SELECT count(*) FROM corpus) + 1) / (count(*) + 1)) AS w
+                FROM counted WHERE side = 'c' GROUP BY dim),
+    weighted AS (SELECT id, dim, n * coalesce(w, 1 + ln((SELECT count(*) FROM corpus) + 1)) AS value
+                 FROM counted LEFT JOIN weights USING (dim) WHERE side = 't'),
+    vectors AS (SELECT id, dim, value / sqrt(sum(value * value) OVER (PARTITION BY id)) AS value FROM weighted)"""
+
+
+_DOCS = "SELECT doc_id AS id, text FROM documents"
+_WINDOW = r"""SELECT doc_id AS id,
+  array_to_string(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:256], ' ') AS text FROM documents"""
 
 
 @book.query(
     "c1_embed_documents",
-    f"""WITH texts AS (SELECT doc_id AS id, text FROM documents), {HASHED}
+    f"""WITH {hashed_idf(_DOCS, _DOCS, DIMS)}
     SELECT id AS doc_id, dim, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 5) AS value FROM vectors""",
 )
 def c1(r):
     docs = r.table("documents").select("doc_id", "text")
-    return _elements(embed(docs, "text", _encoder()), "doc_id")
+    return _elements(embed(docs, "text", TermModel(DIMS).fitted(docs, "text")), "doc_id")
+
+
+@book.query(
+    "c1_embed_window",
+    f"""WITH {hashed_idf(_WINDOW, _WINDOW, 384)}
+    SELECT id AS doc_id, dim, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 5) AS value FROM vectors""",
+)
+def c1_window(r):
+    """Size and window of the configured encoder."""
+    docs = r.table("documents").select("doc_id", "text")
+    model = TermModel.of(RETAIL.encoder).fitted(docs, "text")
+    return _elements(embed(docs, "text", model), "doc_id")
 
 
 @book.query(
@@ -61,11 +88,12 @@ def c2(r):
 
 @book.query(
     "c3_embed_queries",
-    f"""WITH texts AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role = 'user'), {HASHED}
+    f"""WITH {hashed_idf("SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role = 'user'", _DOCS, DIMS)}
     SELECT id AS question_id, dim, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 5) AS value FROM vectors""",
 )
 def c3(r):
-    return _elements(embed_queries(user_turns(r), "question", _encoder()), "question_id")
+    model = TermModel(DIMS).fitted(r.table("documents"), "text")
+    return _elements(embed_queries(user_turns(r), "question", model), "question_id")
 
 
 def user_turns(r):
@@ -120,6 +148,22 @@ def c6_join(r):
     return search.batch_semantic_search(vectors, vectors, 5, key="vec_id", query_key="vec_id", pivots=32, block=128)
 
 
+@book.query(
+    "c6_similar_documents",
+    f"""WITH {hashed_idf(_DOCS, _DOCS, DIMS)},
+    pairs AS (SELECT q.id AS query_id, n.id AS doc_id, round(sum(q.value * n.value), 6) AS score
+              FROM vectors q JOIN vectors n ON q.dim = n.dim GROUP BY ALL),
+    top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM pairs)
+    SELECT query_id, doc_id, score, rank FROM top WHERE rank <= 5""",
+)
+def c6_documents(r):
+    """The nearest texts of every document with a term."""
+    docs = r.table("documents").select("doc_id", "text")
+    embedded = embed(docs, "text", TermModel(DIMS).fitted(docs, "text"), element="double").drop("text")
+    embedded = cut_lineage(embedded).filter(F.exists("embedding", lambda x: x != 0))
+    return search.batch_semantic_search(embedded, embedded, 5, key="doc_id", query_key="doc_id")
+
+
 @book.query(
     "c7_filtered_search",
     f"WITH {PAIRS} SELECT vec_id, score FROM pairs WHERE query_id = 0 AND label = 3 ORDER BY score DESC, vec_id LIMIT 5",
@@ -168,9 +212,10 @@ _QUESTION = "Show me red plate items"
 )
 def c9(r):
     nodes = gr.build_nodes({"item_details": r.items()})
-    embedded = embed(nodes.select("node_id", "node_text"), "node_text", _encoder())
-    query = HashingEncoder(DIMS).encode([_QUESTION])[0]
-    semantic = search.semantic_search(embedded, [float(x) for x in query], 20)
+    embedded = embed(nodes.select("node_id", "node_text"), "node_text", TermModel(DIMS), element="double")
+    question = nodes.limit(1).select(F.lit(_QUESTION).alias("question"))
+    query = search.query_vector(embed_queries(question, "question", TermModel(DIMS), element="double"))
+    semantic = search.semantic_search(embedded, query, 20)
     keyword = search.keyword_search(nodes, "plate", ["item_name", "item_description"], ["node_id"])
     return search.search_recall(semantic, keyword, "node_id")
 
