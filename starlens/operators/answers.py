@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starlens.functions.questions import deployed_route, product_mentions
-from starlens.functions.render import buyer_line, semantic_answers, semantic_lines
+from starlens.config import RETAIL, StarConfig
+from starlens.functions.questions import classify, deployed_route, product_mentions
+from starlens.functions.render import buyer_line, date_phrase, semantic_answers, semantic_lines
 from starlens.functions.vectors import TermModel, embed_queries
 from starlens.joins import SALTS, lookup_join
 from starlens.operators.search import batch_semantic_search
@@ -147,3 +150,119 @@ def answer_batch(
     return lookup_join(log.select("question_id", "query_id"), answered, "query_id", salts=4).select(
         "question_id", "route", "answer"
     )
+
+
+# -- rankings asked for in a table of questions ------------------------------------------------------
+
+PERIOD = ("year", "month", "quarter")
+_DEALT = 64
+
+
+def monthly_totals(fact: DataFrame, config: StarConfig = RETAIL) -> DataFrame:
+    """(entity_type, key, y, m, one sum per measure, transactions) of all dimensions in one pass over the fact."""
+    keys = [e.fact_key for e in config.entities]
+    kinds = {fact.schema[k].dataType.simpleString() for k in keys}
+    kind = kinds.pop() if len(kinds) == 1 else "string"
+    day = F.col(config.date_column)
+    rows = fact.select(*keys, *config.measures, F.year(day).cast("bigint").alias("y"), F.month(day).cast("bigint").alias("m"))
+    sums = [F.sum(x).alias(x) for x in config.measures]
+    cube = rows.groupingSets([[k, "y", "m"] for k in keys], *keys, "y", "m").agg(
+        *sums, F.count(F.lit(1)).alias("transactions"), *[F.grouping(k).alias(f"without_{k}") for k in keys]
+    )
+    entity = F.coalesce(*[F.when(F.col(f"without_{e.fact_key}") == 0, F.lit(e.table)) for e in config.entities])
+    key = F.coalesce(*[F.col(k).cast(kind) for k in keys])
+    return cube.select(entity.alias("entity_type"), key.alias("key"), "y", "m", *config.measures, "transactions").filter(
+        "key IS NOT NULL AND m IS NOT NULL"
+    )
+
+
+def _same(a: str, b: str, columns: Sequence[str]) -> Column:
+    """Equal in all ``columns`` of two aliased tables; null equals null."""
+    return reduce(and_, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns])
+
+
+def _best_keys(totals: DataFrame, wanted: DataFrame, measures: Sequence[str], most: int) -> DataFrame:
+    """The first ``most`` keys of each ranking; a ranking is dealt out and cut before one task orders the rest."""
+    named = ["entity_type", *PERIOD, "measure", "is_bottom"]
+    value = F.when(F.col("measure") == "COUNT(*)", F.col("transactions").cast("double"))
+    for column in measures:
+        value = value.when(F.col("measure") == column, F.col(column).cast("double"))
+    both = totals.alias("t").join(F.broadcast(wanted.alias("w")), _same("t", "w", ("entity_type", *PERIOD)))
+    both = both.select(*[F.col(f"w.{c}").alias(c) for c in named], "key", "label", value.alias("value"))
+    # The sign turns "lowest first" into "highest first".
+    both = both.withColumn("place", F.when(F.col("is_bottom"), -F.col("value")).otherwise(F.col("value")))
+    both = both.withColumn("dealt", F.pmod(F.xxhash64("key"), F.lit(_DEALT)))
+    order = (F.desc("place"), F.asc("key"))
+    few = both.withColumn("p", F.row_number().over(Window.partitionBy(*named, "dealt").orderBy(*order)))
+    few = few.filter(F.col("p") <= most)
+    last = few.withColumn("p", F.row_number().over(Window.partitionBy(*named).orderBy(*order)))
+    return last.filter(F.col("p") <= most).select(*named, "p", "label", "value")
+
+
+def answer_simple(
+    questions: DataFrame,
+    fact: DataFrame,
+    dims: Mapping[str, DataFrame],
+    config: StarConfig = RETAIL,
+    default_limit: int = 5,
+) -> DataFrame:
+    """J1, simple route: (question_id, answer) for every question that a ranked aggregate answers.
+
+    The questions become a table of intents (measure, entity, limit, direction, period).  The fact is aggregated
+    once, by month and for all dimensions, whatever the number of questions; each period that somebody asks for adds
+    up its months, and each distinct ranking is worked out once.  Keys without a dimension row are left out.
+    Limits, months and directions are read strictly.
+    """
+    texts = questions.select("question").filter("question IS NOT NULL").distinct()
+    asked = cut_lineage(classify(texts, config=config, strict=True).filter("route = 'simple'")).withColumn(
+        "limit", F.coalesce("limit", F.lit(default_limit).cast("bigint"))
+    )
+    ranking = ["entity_type", *PERIOD, "measure", "is_bottom"]
+    intents = asked.select(*ranking, "limit").distinct()
+    most = asked.agg(F.max("limit")).first()[0] or 0
+    wanted = intents.select(*ranking).distinct()
+
+    inside = F.expr(
+        "filter(sequence(1L, 12L), m -> (month IS NULL OR m = month) AND (quarter IS NULL OR (m + 2) div 3 = quarter))"
+    )
+    # Periods are years from 2000 to 2099 or none, with a month or quarter or none: a bounded table.
+    periods = wanted.select("entity_type", *PERIOD).distinct().select("*", F.explode(inside).alias("m"))
+    periods = periods.withColumn("y", F.coalesce("year", F.lit(0).cast("bigint")))
+    months = monthly_totals(fact, config)
+    sums = [F.sum(x).alias(x) for x in (*config.measures, "transactions")]
+    every_year = months.groupBy("entity_type", "key", "m").agg(*sums).withColumn("y", F.lit(0).cast("bigint"))
+    months = months.unionByName(every_year)
+    totals = months.join(F.broadcast(periods), ["entity_type", "y", "m"]).groupBy("entity_type", *PERIOD, "key").agg(*sums)
+    labels = None
+    for e in config.entities:
+        part = dims[e.table].select(F.lit(e.table).alias("entity_type"), F.col(e.key).alias("key"), F.col(e.label).alias("label"))
+        labels = part if labels is None else labels.unionByName(part)
+    totals = lookup_join(totals, labels, ["entity_type", "key"], salts=SALTS)
+
+    best = _best_keys(totals, wanted, config.measures, most)
+    text = (
+        F.when(F.col("measure") == "total_sales_value", F.concat(F.lit("$"), F.format_number("value", 2)))
+        .when(F.col("measure") == "COUNT(*)", F.concat(F.format_number(F.col("value").cast("bigint"), 0), F.lit(" transactions")))
+        .otherwise(F.concat(F.format_number("value", 0), F.lit(" units")))
+    )
+    line = F.concat(F.col("p").cast("string"), F.lit(". "), "label", F.lit(" - "), text)
+    lists = best.groupBy(*ranking).agg(F.sort_array(F.collect_list(F.struct("p", line.alias("line")))).alias("lines"))
+    when = date_phrase(F.col("a.year"), F.col("a.month"), F.col("a.quarter"))
+    title = F.concat(
+        F.when(F.col("a.is_bottom"), F.lit("Bottom ")).otherwise(F.lit("Top ")),
+        F.col("a.limit").cast("string"),
+        F.lit(" "),
+        F.translate("a.entity_type", "_", " "),
+        when,
+        F.lit(" by "),
+        F.col("a.measure"),
+        F.lit(":"),
+    )
+    shown = F.transform(F.filter("l.lines", lambda e: e["p"] <= F.col("a.limit")), lambda e: e["line"])
+    answer = F.when(F.size("l.lines") > 0, F.concat_ws("\n", title, F.array_join(shown, "\n"))).otherwise(
+        F.concat(F.lit("No data found for the specified filters"), when, F.lit("."))
+    )
+    answers = intents.alias("a").join(lists.alias("l"), _same("a", "l", ranking), "left")
+    answers = answers.select(*[F.col(f"a.{c}").alias(c) for c in (*ranking, "limit")], answer.alias("answer"))
+    per_text = asked.alias("t").join(answers.alias("x"), _same("t", "x", (*ranking, "limit"))).select("t.question", "x.answer")
+    return lookup_join(questions.select("question_id", "question"), per_text, "question", salts=4).select("question_id", "answer")

@@ -12,11 +12,11 @@ from starlens.operators import evaluate as ev
 from starlens.operators import graph as gr
 from starlens.operators import patterns as pat
 from starlens.operators import search
-from starlens.operators.answers import AGGREGATION_NOTE, NO_MENTION, answer_batch
+from starlens.operators.answers import AGGREGATION_NOTE, NO_MENTION, answer_batch, answer_simple
 from starlens.plans.book import Book, with_star
 from starlens.plans.graph import dims
 from starlens.plans.log import QUESTIONS, question_log
-from starlens.plans.questions import _any
+from starlens.plans.questions import _MONTH_WORD, _QUARTER, _TOPN, _YEAR, INTENT, _any
 from starlens.plans.vectors import _TOP5, DIMS, HASHED, PAIRS
 from starlens.session import cut_lineage
 from starlens.sources.retail import denormalize
@@ -240,6 +240,57 @@ def j1(r):
     )
 
 
+_WHEN = """CASE WHEN year IS NULL THEN '' WHEN month IS NOT NULL THEN ' in ' || strftime(make_date(2000, month, 1), '%B') || ' ' || year
+  WHEN quarter IS NOT NULL THEN ' in Q' || quarter || ' ' || year ELSE ' in ' || year END"""
+
+
+@book.query(
+    "j1_answer_simple",
+    with_star(f"""
+    , {INTENT},
+    asked AS (
+      SELECT question_id, entity_type, measure, {_any(qs.BOTTOM_WORDS)} AS is_bottom, {_YEAR} AS year, {_MONTH_WORD} AS month,
+        {_QUARTER} AS quarter, CAST(coalesce(nullif(regexp_extract(lower(question), '{_TOPN}', 1)
+          || regexp_extract(lower(question), '{_TOPN}', 2), ''), '5') AS BIGINT) AS n
+      FROM routed WHERE route = 'simple'),
+    months AS (
+      SELECT 'item_details' AS entity_type, item_id AS key, sale_date, units_sold, total_sales_value FROM sales
+      UNION ALL SELECT 'store_location', location_id, sale_date, units_sold, total_sales_value FROM sales
+      UNION ALL SELECT 'customer_details', customer_id, sale_date, units_sold, total_sales_value FROM sales),
+    monthly AS (SELECT entity_type, key, year(sale_date) AS y, month(sale_date) AS m, sum(units_sold) AS u,
+                  sum(total_sales_value) AS v, count(*) AS c FROM months GROUP BY ALL),
+    periods AS (SELECT DISTINCT entity_type, year, month, quarter FROM asked),
+    totals AS (SELECT p.*, key, sum(u) AS u, sum(v) AS v, sum(c) AS c FROM periods p JOIN monthly t
+               ON p.entity_type = t.entity_type AND (year IS NULL OR year = y) AND (month IS NULL OR month = m)
+                 AND (quarter IS NULL OR quarter = (m + 2) // 3) GROUP BY ALL),
+    labels AS (SELECT 'item_details' AS entity_type, item_id AS key, item_name AS label FROM items
+               UNION ALL SELECT 'store_location', location_id, location_name FROM locations
+               UNION ALL SELECT 'customer_details', customer_id, customer_name FROM customers),
+    intents AS (SELECT DISTINCT * EXCLUDE (question_id) FROM asked),
+    valued AS (SELECT i.*, t.key, label, CASE measure WHEN 'COUNT(*)' THEN c WHEN 'units_sold' THEN u ELSE v END AS value
+               FROM intents i JOIN totals t ON i.entity_type = t.entity_type AND i.year IS NOT DISTINCT FROM t.year
+                 AND i.month IS NOT DISTINCT FROM t.month AND i.quarter IS NOT DISTINCT FROM t.quarter
+               JOIN labels l ON l.entity_type = t.entity_type AND l.key = t.key),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY entity_type, measure, is_bottom, year, month, quarter, n
+                 ORDER BY CASE WHEN is_bottom THEN value ELSE -value END, key) AS p FROM valued),
+    lists AS (SELECT entity_type, measure, is_bottom, year, month, quarter, n, string_agg(p || '. ' || label || ' - ' ||
+                CASE measure WHEN 'total_sales_value' THEN '$' || format('{{:,.2f}}', value)
+                  WHEN 'COUNT(*)' THEN format('{{:,}}', CAST(value AS BIGINT)) || ' transactions'
+                  ELSE format('{{:,.0f}}', value) || ' units' END, chr(10) ORDER BY p) AS body
+              FROM ranked WHERE p <= n GROUP BY ALL)
+    SELECT question_id, CASE WHEN body IS NULL THEN 'No data found for the specified filters' || {_WHEN} || '.'
+      ELSE CASE WHEN is_bottom THEN 'Bottom ' ELSE 'Top ' END || n || ' ' || replace(entity_type, '_', ' ') || {_WHEN}
+        || ' by ' || measure || ':' || chr(10) || body END AS answer
+    FROM (SELECT a.*, body FROM asked a LEFT JOIN lists l ON a.entity_type = l.entity_type AND a.measure = l.measure
+      AND a.is_bottom = l.is_bottom AND a.n = l.n AND a.year IS NOT DISTINCT FROM l.year
+      AND a.month IS NOT DISTINCT FROM l.month AND a.quarter IS NOT DISTINCT FROM l.quarter)"""),
+)
+def j1_simple(r):
+    dims = {"item_details": r.items(), "store_location": r.locations(), "customer_details": r.customers()}
+    fact = r.sales("item_id", "location_id", "customer_id", "sale_date", "units_sold", V)
+    return answer_simple(question_log(r).select("question_id", "question"), fact, dims)
+
+
 @book.star(
     "j4_result_diff",
     """
