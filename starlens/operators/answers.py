@@ -10,7 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starlens.config import RETAIL, StarConfig
-from starlens.functions.questions import classify, deployed_route, product_mentions
+from starlens.functions.questions import (
+    classify,
+    deployed_route,
+    is_pattern,
+    month_of,
+    product_mentions,
+    quarter_of,
+    year_of,
+)
 from starlens.functions.render import buyer_line, date_phrase, semantic_answers, semantic_lines
 from starlens.functions.vectors import TermModel, embed_queries
 from starlens.joins import SALTS, lookup_join
@@ -152,9 +160,102 @@ def answer_batch(
     )
 
 
+PERIOD = ("year", "month", "quarter")
+
+# -- relations asked for with a second product or a period --------------------------------------------
+
+
+def _month_rows(periods: DataFrame) -> DataFrame:
+    """``periods`` with the months (y, m) that each covers; y is 0 for a period without year."""
+    inside = F.expr(
+        "filter(sequence(1L, 12L), m -> (month IS NULL OR m = month) AND (quarter IS NULL OR (m + 2) div 3 = quarter))"
+    )
+    return periods.select("*", F.explode(inside).alias("m")).withColumn("y", F.coalesce("year", F.lit(0).cast("bigint")))
+
+
+def answer_relations(
+    questions: DataFrame,
+    sales: DataFrame,
+    items: DataFrame,
+    customers: DataFrame,
+    n: int = 10,
+    contact: str | None = None,
+    date_column: str = "sale_date",
+) -> DataFrame:
+    """J1, relation route: (question_id, answer) for who bought the first mentioned product, and the second if there is one.
+
+    A period in the question (year, month, quarter; months are read strictly) holds for both products.  The sales of
+    all products that somebody mentions are read once and folded to the months in which a customer bought a product.
+    Each distinct (products, period) then joins its months and folds a customer's rows to "bought a", "bought b".
+    """
+    texts = questions.select("question").filter(is_pattern("question") & F.col("question").isNotNull()).distinct()
+    found = texts.select(
+        "question",
+        product_mentions("question", capitalised=False).alias("ms"),
+        year_of("question").alias("year"),
+        month_of("question", strict=True).alias("month"),
+        quarter_of("question").alias("quarter"),
+    ).withColumns({"mention_a": F.get("ms", F.lit(0)), "mention_b": F.get("ms", F.lit(1))})
+    found = cut_lineage(found)
+    mentions = found.select(F.explode(F.array_compact(F.array("mention_a", "mention_b"))).alias("mention"))
+    resolved = cut_lineage(resolve_mentions(mentions, items))
+    for end in ("a", "b"):
+        known = resolved.select(F.col("mention").alias(f"lower_{end}"), F.col("first_item").alias(f"item_{end}"))
+        found = lookup_join(found.withColumn(f"lower_{end}", F.lower(f"mention_{end}")), known, f"lower_{end}", "left")
+    key = ("item_a", "item_b", *PERIOD)
+    known = F.col("item_a").isNotNull() & (F.col("mention_b").isNull() | F.col("item_b").isNotNull())
+    wanted = found.filter(known).select(*key).distinct()
+
+    ends = [F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("item_id"), F.lit(c).alias("end"))) for c in key[:2]]
+    asked = _month_rows(wanted.select("*", F.inline(F.array_compact(F.array(*ends)))))
+    day = F.col(date_column)
+    bought = lookup_join(sales, asked.select("item_id").distinct(), "item_id", "left_semi", salts=SALTS)
+    months = [F.year(day).cast("bigint").alias("y"), F.month(day).cast("bigint").alias("m")]
+    bought = bought.select("item_id", "customer_id", *months).distinct()
+    bought = bought.unionByName(bought.withColumn("y", F.lit(0).cast("bigint")).distinct())
+    sides = lookup_join(bought, asked, ["item_id", "y", "m"], salts=SALTS).groupBy(*key, "customer_id")
+    second = F.col("item_b").isNull() | (F.col("end") == "item_b")
+    folded = cut_lineage(sides.agg(F.max(F.col("end") == "item_a").alias("a"), F.max(second).alias("b")))
+    counts = folded.groupBy(*key).agg(
+        F.count_if("a").alias("n_a"), F.count_if("b").alias("n_b"), F.count_if(F.col("a") & F.col("b")).alias("buyers")
+    )
+    order = Window.partitionBy(*key).orderBy("customer_id")
+    first = folded.filter("a AND b").withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n)
+    line = buyer_line("position", "customer_name", "customer_id", contact).alias("line")
+    shown = first.join(customers, "customer_id").select(*key, F.struct("position", line).alias("e"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["line"]), "\n")
+    lists = shown.groupBy(*key).agg(body.alias("body"))
+
+    when = date_phrase(F.col("f.year"), F.col("f.month"), F.col("f.quarter"))
+    a, b = (F.concat(F.lit("'"), F.col(f"f.mention_{end}"), F.lit("'")) for end in "ab")
+    pair = F.col("f.mention_b").isNotNull()
+    title = F.when(pair, F.concat(F.lit("Customers who bought both "), a, F.lit(" AND "), b))
+    title = F.concat(title.otherwise(F.concat(F.lit("Customers who bought "), a)), when, F.lit(":\n"))
+    note = [
+        F.concat(F.lit("\n  • "), F.coalesce(f"c.n_{end}", F.lit(0)).cast("string"), F.lit(" customers bought "), name, when)
+        for end, name in (("a", a), ("b", b))
+    ]
+    neither = F.concat(F.lit("No customers found who purchased both products"), when, F.lit(".\nNote:"), *note)
+    nobody = F.concat(F.lit("No customers found who purchased this product"), when, F.lit("."))
+    buyers = F.coalesce("c.buyers", F.lit(0).cast("bigint"))
+    more = F.concat(F.lit("\n... and "), (buyers - n).cast("string"), F.lit(" more customers"))
+    listed = F.concat(
+        F.lit("Found "), buyers.cast("string"), F.lit(" customers:\n"), F.col("l.body"), F.when(buyers > n, more).otherwise("")
+    )
+    missing = F.when(F.col("f.item_a").isNull(), a).when(pair & F.col("f.item_b").isNull(), b)
+    answer = (
+        F.when(F.size("f.ms") == 0, F.lit(NO_MENTION))
+        .when(missing.isNotNull(), F.concat(F.lit("Product "), missing, F.lit(" not found")))
+        .otherwise(F.concat(title, F.when(buyers > 0, listed).when(pair, neither).otherwise(nobody)))
+    )
+    per_text = found.alias("f").join(counts.alias("c"), _same("f", "c", key), "left")
+    per_text = per_text.join(lists.alias("l"), _same("f", "l", key), "left").select("f.question", answer.alias("answer"))
+    asked_by = questions.select("question_id", "question")
+    return lookup_join(asked_by, per_text, "question", salts=4).select("question_id", "answer")
+
+
 # -- rankings asked for in a table of questions ------------------------------------------------------
 
-PERIOD = ("year", "month", "quarter")
 _DEALT = 64
 
 
@@ -222,12 +323,8 @@ def answer_simple(
     most = asked.agg(F.max("limit")).first()[0] or 0
     wanted = intents.select(*ranking).distinct()
 
-    inside = F.expr(
-        "filter(sequence(1L, 12L), m -> (month IS NULL OR m = month) AND (quarter IS NULL OR (m + 2) div 3 = quarter))"
-    )
     # Periods are years from 2000 to 2099 or none, with a month or quarter or none: a bounded table.
-    periods = wanted.select("entity_type", *PERIOD).distinct().select("*", F.explode(inside).alias("m"))
-    periods = periods.withColumn("y", F.coalesce("year", F.lit(0).cast("bigint")))
+    periods = _month_rows(wanted.select("entity_type", *PERIOD).distinct())
     months = monthly_totals(fact, config)
     sums = [F.sum(x).alias(x) for x in (*config.measures, "transactions")]
     every_year = months.groupBy("entity_type", "key", "m").agg(*sums).withColumn("y", F.lit(0).cast("bigint"))

@@ -12,7 +12,7 @@ from starlens.operators import evaluate as ev
 from starlens.operators import graph as gr
 from starlens.operators import patterns as pat
 from starlens.operators import search
-from starlens.operators.answers import AGGREGATION_NOTE, NO_MENTION, answer_batch, answer_simple
+from starlens.operators.answers import AGGREGATION_NOTE, NO_MENTION, answer_batch, answer_relations, answer_simple
 from starlens.plans.book import Book, with_star
 from starlens.plans.graph import dims
 from starlens.plans.log import QUESTIONS, question_log
@@ -291,6 +291,58 @@ def j1_simple(r):
     return answer_simple(question_log(r).select("question_id", "question"), fact, dims)
 
 
+def _equal(a, b, *columns):
+    return " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in columns)
+
+
+_RELATION = ("item_a", "item_b", "year", "month", "quarter")
+
+
+@book.query(
+    "j1_answer_dated_pairs",
+    with_star(f"""
+    , {QUESTIONS},
+    asked AS (SELECT question, {_YEAR} AS year, {_MONTH_WORD} AS month, {_QUARTER} AS quarter,
+                CASE WHEN len({_QUOTED}) > 0 THEN {_QUOTED} ELSE {_IDS} END AS ms
+              FROM (SELECT DISTINCT question FROM questions) WHERE {_any(qs.PATTERN_PHRASES)}),
+    mentions AS (SELECT DISTINCT lower(unnest(ms[1:2])) AS m FROM asked),
+    first AS (SELECT m, min(item_id) AS item_id FROM mentions JOIN items ON contains(lower(item_name), m)
+                OR lower(CAST(item_id AS VARCHAR)) = m GROUP BY m),
+    f AS (SELECT asked.*, {_WHEN} AS w, a.item_id AS item_a, b.item_id AS item_b FROM asked
+          LEFT JOIN first a ON a.m = lower(ms[1]) LEFT JOIN first b ON b.m = lower(ms[2])),
+    k AS (SELECT DISTINCT item_a, item_b, year, month, quarter FROM f
+          WHERE item_a IS NOT NULL AND (len(ms) < 2 OR item_b IS NOT NULL)),
+    bought AS (SELECT DISTINCT item_id, customer_id, year(sale_date) AS y, month(sale_date) AS m FROM sales),
+    folded AS (SELECT k.*, customer_id, bool_or(item_id = item_a) AS a, bool_or(item_b IS NULL OR item_id = item_b) AS b
+               FROM k JOIN bought ON (item_id = item_a OR item_id = item_b) AND (year IS NULL OR year = y)
+                 AND (month IS NULL OR month = m) AND (quarter IS NULL OR quarter = (m + 2) // 3) GROUP BY ALL),
+    counts AS (SELECT item_a, item_b, year, month, quarter, count(*) FILTER (a) AS n_a, count(*) FILTER (b) AS n_b,
+                 count(*) FILTER (a AND b) AS n FROM folded GROUP BY ALL),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY item_a, item_b, year, month, quarter ORDER BY customer_id) AS p
+                 FROM folded WHERE a AND b),
+    lists AS (SELECT item_a, item_b, year, month, quarter,
+                string_agg(p || '. ' || customer_name || ' (ID: ' || customer_id || ')', chr(10) ORDER BY p) AS body
+              FROM numbered JOIN customers USING (customer_id) WHERE p <= 10 GROUP BY ALL),
+    texts AS (
+      SELECT f.question, CASE WHEN len(ms) = 0 THEN '{NO_MENTION}'
+        WHEN f.item_a IS NULL THEN 'Product ''' || ms[1] || ''' not found'
+        WHEN len(ms) > 1 AND f.item_b IS NULL THEN 'Product ''' || ms[2] || ''' not found'
+        ELSE CASE WHEN len(ms) > 1 THEN 'Customers who bought both ''' || ms[1] || ''' AND ''' || ms[2] || ''''
+               ELSE 'Customers who bought ''' || ms[1] || '''' END || w || ':' || chr(10) ||
+          CASE WHEN coalesce(n, 0) > 0 THEN 'Found ' || n || ' customers:' || chr(10) || body ||
+                 CASE WHEN n > 10 THEN chr(10) || '... and ' || (n - 10) || ' more customers' ELSE '' END
+               WHEN len(ms) > 1 THEN 'No customers found who purchased both products' || w || '.' || chr(10) || 'Note:'
+                 || chr(10) || '  • ' || coalesce(n_a, 0) || ' customers bought ''' || ms[1] || '''' || w
+                 || chr(10) || '  • ' || coalesce(n_b, 0) || ' customers bought ''' || ms[2] || '''' || w
+               ELSE 'No customers found who purchased this product' || w || '.' END END AS answer
+      FROM f LEFT JOIN counts c ON {_equal("f", "c", *_RELATION)} LEFT JOIN lists l ON {_equal("f", "l", *_RELATION)})
+    SELECT question_id, answer FROM questions JOIN texts USING (question)"""),
+)
+def j1_dated_pairs(r):
+    log = question_log(r).select("question_id", "question")
+    return answer_relations(log, r.sales("item_id", "customer_id", "sale_date"), r.items(), r.customers())
+
+
 @book.star(
     "j4_result_diff",
     """
