@@ -114,3 +114,21 @@ def distinct_buyers(
         return sales.groupBy(*keys).agg(F.approx_count_distinct(customer).alias("buyers"))
     pairs = sales.select(*keys, customer).distinct()
     return pairs.groupBy(*keys).agg(F.count(customer).alias("buyers"))
+
+
+def dimension_totals(fact: DataFrame, keys: Sequence[str], measure: str = "total_sales_value") -> DataFrame:
+    """(dimension, total, unknown, members) per foreign key: all of the measure, what of it has no member, and the members.
+
+    One pass; each key is first summed per member.  ``total`` is the same in every row, because no column that
+    is asked for adds or drops rows of the fact.
+    """
+    sums = fact.groupingSets([[k] for k in keys], *keys).agg(
+        F.sum(measure).alias("v"), *[F.grouping(k).alias(f"without_{k}") for k in keys]
+    )
+    dimension = F.coalesce(*[F.when(F.col(f"without_{k}") == 0, F.lit(k)) for k in keys])
+    known = F.coalesce(*[F.when((F.col(f"without_{k}") == 0) & F.col(k).isNotNull(), F.lit(1)) for k in keys])
+    return sums.select(dimension.alias("dimension"), "v", known.alias("known")).groupBy("dimension").agg(
+        F.sum("v").alias("total"),
+        F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("v"))), F.lit(0.0)).alias("unknown"),
+        F.count("known").alias("members"),
+    )

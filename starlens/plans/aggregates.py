@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from starlens.functions.dates import date_between, date_predicate
 from starlens.operators import aggregates as agg
 from starlens.plans.book import Book
-from starlens.sources.retail import denormalize
+from starlens.sources.retail import Retail, denormalize
 
 book = Book()
 _VALUE = "total_sales_value"
@@ -52,6 +52,30 @@ def top_locations(r):
     return agg.top_n(fact, r.locations(), "location_id", "location_name", "units_sold", 10)
 
 
+class ArchivedOrders(Retail):
+    """The tables after the orders before 1995 have been archived: their lines are orphans."""
+
+    def table(self, name):
+        rows = super().table(name)
+        return rows.filter("o_orderdate >= DATE '1995-01-01'") if name == "orders" else rows
+
+
+@book.query(
+    "e1_totals_with_orphans",
+    """WITH f AS (SELECT l_partkey AS item_id, o_custkey AS customer_id, s_nationkey AS location_id, l_extendedprice AS v
+      FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderdate >= DATE '1995-01-01') ON l_orderkey = o_orderkey
+      LEFT JOIN supplier ON l_suppkey = s_suppkey)
+    SELECT 'item_id' AS dimension, round(sum(v), 2) AS total, round(coalesce(sum(v) FILTER (item_id IS NULL), 0), 2) AS unknown,
+      count(DISTINCT item_id) AS members FROM f
+    UNION ALL SELECT 'customer_id', round(sum(v), 2), round(coalesce(sum(v) FILTER (customer_id IS NULL), 0), 2), count(DISTINCT customer_id) FROM f
+    UNION ALL SELECT 'location_id', round(sum(v), 2), round(coalesce(sum(v) FILTER (location_id IS NULL), 0), 2), count(DISTINCT location_id) FROM f""",
+)
+def e1_orphans(r):
+    fact = ArchivedOrders(r.spark, r.root).sales("item_id", "customer_id", "location_id", "total_sales_value")
+    out = agg.dimension_totals(fact, ["item_id", "customer_id", "location_id"])
+    return out.withColumns({c: F.round(c, 2) for c in ("total", "unknown")})
+
+
 @book.star(
     "e2_bottom_n_items_revenue",
     """

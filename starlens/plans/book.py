@@ -13,7 +13,7 @@ SALES = """sales AS (
   SELECT l_orderkey AS order_id, l_partkey AS item_id, l_suppkey AS supplier_id,
          CAST(s_nationkey AS BIGINT) AS location_id, o_custkey AS customer_id,
          o_orderdate AS sale_date, l_quantity AS units_sold, l_extendedprice AS total_sales_value
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey)"""
+  FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN supplier ON l_suppkey = s_suppkey)"""
 
 ITEMS = """items AS (
   SELECT p_partkey AS item_id, p_name AS item_name, concat_ws(' ', p_brand, p_type) AS item_description

@@ -335,6 +335,30 @@ def h11(r):
     return dd.run_rules(tables, rules)
 
 
+@book.query(
+    "h11_run_rules_raw",
+    """
+    WITH o AS (SELECT * FROM orders WHERE o_orderdate >= DATE '1995-01-01')
+    SELECT 'order exists' AS rule, count(*) AS checked, count(*) FILTER (l_orderkey NOT IN (SELECT o_orderkey FROM o)) AS violations FROM lineitem
+    UNION ALL SELECT 'supplier exists', count(*), count(*) FILTER (l_suppkey NOT IN (SELECT s_suppkey FROM supplier)) FROM lineitem
+    UNION ALL SELECT 'part exists', count(*), count(*) FILTER (l_partkey NOT IN (SELECT p_partkey FROM part)) FROM lineitem
+    UNION ALL SELECT 'customer exists', count(*), count(*) FILTER (o_custkey NOT IN (SELECT c_custkey FROM customer)) FROM o
+    UNION ALL SELECT 'nation exists', count(*), count(*) FILTER (s_nationkey NOT IN (SELECT n_nationkey FROM nation)) FROM supplier""",
+)
+def h11_raw(r):
+    """Rules over raw tables after the orders before 1995 have been archived."""
+    tables = {t: r.table(t) for t in ("lineitem", "supplier", "part", "customer", "nation")}
+    tables["orders"] = r.table("orders").filter("o_orderdate >= DATE '1995-01-01'")
+    rules = [
+        dd.ForeignKey("order exists", "lineitem", "l_orderkey", "orders", "o_orderkey"),
+        dd.ForeignKey("supplier exists", "lineitem", "l_suppkey", "supplier", "s_suppkey"),
+        dd.ForeignKey("part exists", "lineitem", "l_partkey", "part", "p_partkey"),
+        dd.ForeignKey("customer exists", "orders", "o_custkey", "customer", "c_custkey"),
+        dd.ForeignKey("nation exists", "supplier", "s_nationkey", "nation", "n_nationkey"),
+    ]
+    return dd.run_rules(tables, rules)
+
+
 @book.query(
     "h12_duplicate_keys",
     """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS copies FROM lineitem

@@ -49,9 +49,9 @@ class Retail:
     def sales(self, *columns: str) -> DataFrame:
         """The fact, restricted to ``columns``.
 
-        Orders and suppliers are joined only when one of their columns is asked for: the foreign
-        keys are declared constraints (checked by the FK rules), so a join that contributes no
-        column can neither add nor drop a row.
+        One row for each line, whatever the columns.  Orders and suppliers are joined only when one of their
+        columns is asked for, and a line whose order or supplier is missing keeps its row with nulls
+        there, so totals over any dimension agree (see :func:`aggregates.dimension_totals`).
         """
         wanted = columns or SALES_COLUMNS
         lines = [c for c in wanted if c in _FROM_LINES]
@@ -71,9 +71,9 @@ class Retail:
                 F.col("o_orderkey").alias("order_id"),
                 *[F.col(_FROM_ORDERS[c]).alias(c) for c in orders],
             )
-            df = df.join(head, "order_id")
+            df = df.join(head, "order_id", "left")
         if "location_id" in wanted:
-            df = lookup_join(df, self.supplier_nation(), "supplier_id")
+            df = lookup_join(df, self.supplier_nation(), "supplier_id", "left")
         return df.select(*wanted)
 
     def supplier_nation(self) -> DataFrame:
