@@ -181,6 +181,93 @@ def expand_context(adj: DataFrame, seeds: DataFrame, max_hops: int = 2) -> DataF
     return visited
 
 
+#: Keys of one table that travel into the scan as a list; more are joined.
+PUSHED_KEYS = 2000
+
+
+def _member_keys(ids: DataFrame, mapping: Mapping[str, str], fact: DataFrame) -> DataFrame:
+    """``ids`` with a column per foreign key of the fact: the raw key, in its type, if the node is of its table."""
+    out = ids.select("node_id")
+    for fk, table in mapping.items():
+        if fk in fact.columns:
+            raw = F.expr(f"substring(node_id, {len(table) + 2})").try_cast(fact.schema[fk].dataType)
+            # A key is a member only if it spells the same node ("01" is not 1).
+            out = out.withColumn(fk, F.when(F.col("node_id") == node_id(table, raw), raw))
+    return out
+
+
+class _Members:
+    """Nodes as raw keys of the fact: lists while they are few, else tables to join with."""
+
+    def __init__(self, ids: DataFrame, mapping: Mapping[str, str], fact: DataFrame, pushed: int) -> None:
+        keys = _member_keys(ids, mapping, fact)
+        self.fks = keys.columns[1:]
+        rows = keys.limit(pushed + 1).collect()
+        self.keys = None if len(rows) > pushed else {fk: [r[fk] for r in rows if r[fk] is not None] for fk in self.fks}
+        self.ids = keys if self.keys is None else ids.sparkSession.createDataFrame([(r.node_id,) for r in rows], "node_id string")
+
+    def rows_with(self, fact: DataFrame, fk: str) -> DataFrame | None:
+        """Rows of the fact whose ``fk`` is a member; few keys reach the scan as a filter; ``None`` if there are none."""
+        if self.keys is not None:
+            return fact.filter(F.col(fk).isin(self.keys[fk])) if self.keys[fk] else None
+        wanted = self.ids.select(fk).na.drop().distinct()
+        return lookup_join(fact, wanted, fk, "left_semi", salts=SALTS).select(*fact.columns)
+
+
+def expand_facts(
+    fact: DataFrame, mapping: Mapping[str, str], seeds: DataFrame, max_hops: int = 2, pushed: int = PUSHED_KEYS
+) -> DataFrame:
+    """B8 straight from the fact: (node_id, hop) of every node within ``max_hops`` of a seed; seeds are always kept.
+
+    No adjacency is built.  Each hop reads the fact once per foreign key that the frontier has, restricted to the
+    frontier's raw keys: up to ``pushed`` nodes are a filter of the scan, more a semi-join with a checkpointed
+    frontier.  The rows' other keys are the neighbours.  An empty frontier ends the walk.
+    """
+    frontier = seeds.select("node_id").distinct()
+    visited = None
+    for hop in range(max_hops + 1):
+        at = F.lit(hop).cast("bigint").alias("hop")
+        if hop == max_hops:
+            return frontier.select("node_id", at) if visited is None else visited.unionByName(frontier.select("node_id", at))
+        members = _Members(frontier, mapping, fact, pushed)
+        if members.keys is None:
+            frontier = cut_lineage(frontier)
+            members.ids = _member_keys(frontier, mapping, fact)
+        else:
+            frontier = members.ids
+        here = frontier.select("node_id", at)
+        visited = here if visited is None else visited.unionByName(here)
+        reached = None
+        for fk in members.fks:
+            rows = members.rows_with(fact, fk)
+            others = [k for k in members.fks if k != fk]
+            if rows is not None and others:
+                linked = [F.when(F.col(k).isNotNull(), node_id(mapping[k], k)) for k in others]
+                part = rows.select(F.explode(F.array_compact(F.array(*linked))).alias("node_id")).distinct()
+                reached = part if reached is None else reached.unionByName(part)
+        if reached is None:
+            return visited
+        frontier = reached.distinct().join(visited.select("node_id"), "node_id", "left_anti")
+
+
+def induced_facts(
+    fact: DataFrame, mapping: Mapping[str, str], node_set: DataFrame, pushed: int = PUSHED_KEYS
+) -> DataFrame:
+    """B9 straight from the fact: :func:`build_edges` restricted to edges with both ends in ``node_set``.
+
+    Each pair of foreign keys is a scan restricted to the members' raw keys of both, as in :func:`expand_facts`.
+    """
+    members = _Members(node_set.select("node_id").distinct(), mapping, fact, pushed)
+    out = None
+    for a, b in combinations(members.fks, 2):
+        rows = members.rows_with(fact, a)
+        rows = None if rows is None else members.rows_with(rows, b)
+        if rows is not None:
+            part = build_edges(rows, {a: mapping[a], b: mapping[b]})
+            out = part if out is None else out.unionByName(part)
+    return build_edges(fact.limit(0), mapping) if out is None else out
+
+
 def induced_subgraph(edges: DataFrame, node_set: DataFrame) -> DataFrame:
     """The edges with both ends in ``node_set``."""
     inside = node_set.select("node_id").distinct()
@@ -194,8 +281,13 @@ def induced_subgraph(edges: DataFrame, node_set: DataFrame) -> DataFrame:
 
 def subgraph_size(edges: DataFrame, node_set: DataFrame) -> DataFrame:
     """One row with the number of nodes and edges of the induced subgraph."""
+    return sizes_of(induced_subgraph(edges, node_set), node_set)
+
+
+def sizes_of(inner: DataFrame, node_set: DataFrame) -> DataFrame:
+    """One row with the number of nodes in ``node_set`` and of the edges between them."""
     inside = node_set.select("node_id").distinct().agg(F.count(F.lit(1))).scalar()
-    return induced_subgraph(edges, node_set).agg(F.count(F.lit(1)).alias("edges")).select(
+    return inner.agg(F.count(F.lit(1)).alias("edges")).select(
         inside.alias("nodes"), "edges"
     )
 

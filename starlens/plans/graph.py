@@ -85,6 +85,10 @@ def seed(r):
     return nodes(r).filter("node_id = 'item_details_1'").select("node_id")
 
 
+def context(r, hops):
+    return gr.expand_facts(r.sales(*MAPPING), MAPPING, seed(r), hops)
+
+
 @book.query("b1_build_nodes", with_graph("SELECT node_id, node_table, node_key FROM nodes"))
 def b1(r):
     return nodes(r).select("node_id", "node_table", "node_key")
@@ -170,6 +174,11 @@ def b7_edges(r):
 
 @book.query("b8_expand_context", with_graph("SELECT node_id, hop FROM ball"))
 def b8(r):
+    return context(r, 2)
+
+
+@book.query("b8_expand_adjacency", with_graph("SELECT node_id, hop FROM ball"))
+def b8_adjacency(r):
     return gr.expand_context(adjacency(r), seed(r), 2)
 
 
@@ -181,8 +190,8 @@ def b8(r):
     WHERE src_id IN (SELECT node_id FROM inside) AND dst_id IN (SELECT node_id FROM inside)"""),
 )
 def b9(r):
-    links = edges(r)
-    return gr.subgraph_size(links, gr.expand_context(adjacency(r), seed(r), 1))
+    inside = context(r, 1)
+    return gr.sizes_of(gr.induced_facts(r.sales(*MAPPING), MAPPING, inside), inside)
 
 
 @book.query(
@@ -193,8 +202,7 @@ def b9(r):
     FROM nodes WHERE node_id IN (SELECT node_id FROM ball) ORDER BY node_id LIMIT 10"""),
 )
 def b9_texts(r):
-    context = gr.expand_context(adjacency(r), seed(r), 2)
-    return preview(gr.node_attributes(nodes(r), context).select("node_id", "node_text"), "node_id")
+    return preview(gr.node_attributes(nodes(r), context(r, 2)).select("node_id", "node_text"), "node_id")
 
 
 @book.query(
@@ -208,10 +216,9 @@ def b9_texts(r):
     GROUP BY ROLLUP (dst_id, src_id)"""),
 )
 def b10(r):
-    links = edges(r, "units_sold", "total_sales_value")
-    context = gr.expand_context(adjacency(r), seed(r), 2)
+    sold = ("units_sold", "total_sales_value")
     facts = gr.subgraph_facts(
-        gr.induced_subgraph(links, context),
+        gr.induced_facts(r.sales(*MAPPING, *sold), MAPPING, context(r, 2)),
         "item_details",
         "customer_details",
         "total_sales_value",

@@ -106,6 +106,10 @@ SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "embeddings": "vec_id bigint, embedding array<float>, label int",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
 }
 _LISTED = [
     (t, i, *c.split(" ")) for t, columns in SCHEMAS.items() for i, c in enumerate(columns.split(", "), 1)
@@ -121,7 +125,7 @@ _LISTED = [
     ),
 )
 def a6(r):
-    listed = {t: r.table(t) for t in SCHEMAS}
+    listed = tables.folder_tables(r.spark, r.root)
     return tables.describe_tables(listed).join(tables.profile_columns(listed), ["table_name", "col_name"])
 
 

@@ -74,6 +74,14 @@ def catalog_tables(spark: SparkSession, namespace: str | None = None) -> dict[st
     }
 
 
+def folder_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Every ``{name}.parquet`` below a folder by name, as the folder's own file system lists it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = sorted(f.getPath().getName() for f in listed)
+    return {n.removesuffix(".parquet"): spark.read.parquet(f"{root}/{n}") for n in names if n.endswith(".parquet")}
+
+
 def describe_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per column: table_name, position, col_name, data_type.
 

@@ -105,3 +105,19 @@ def test_round_trip(spark, star, tmp_path):
     graph_store.save_graph(str(tmp_path / "g"), **parts)
     for name, back in graph_store.load_graph(spark, str(tmp_path / "g")).items():
         assert result_diff(parts[name], back.select(*parts[name].columns)).isEmpty()
+
+
+@pytest.mark.parametrize("pushed", [2000, 1])
+def test_walks_from_the_fact(spark, pushed):
+    """The same ball and edges as over the adjacency; unknown seeds stay, orphans and nulls link nothing."""
+    rows = [(1, 1, 1), (1, 2, None), (2, 2, 2), (2, None, 3), (3, 3, 3), (4, 4, 4), (None, 4, 5), (6, None, None)]
+    fact = spark.createDataFrame(rows, "item_id bigint, store_id bigint, customer_id bigint")
+    mapping = {"item_id": "item", "store_id": "store", "customer_id": "customer"}
+    seeds = spark.createDataFrame([("item_1",), ("item_01",), ("moon_7",)], "node_id string")
+    for hops in (1, 2, 5):
+        want = sorted(map(tuple, gr.expand_context(gr.adjacency_of(fact, mapping), seeds, hops).collect()))
+        ball = gr.expand_facts(fact, mapping, seeds, hops, pushed)
+        assert sorted(map(tuple, ball.collect())) == want
+        edges = sorted(map(tuple, gr.induced_subgraph(gr.build_edges(fact, mapping), ball).collect()), key=repr)
+        assert sorted(map(tuple, gr.induced_facts(fact, mapping, ball, pushed).collect()), key=repr) == edges
+    assert gr.induced_facts(fact, mapping, seeds.limit(0)).count() == 0

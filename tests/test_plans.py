@@ -34,3 +34,15 @@ def test_mean_reuses_the_shuffle(spark):
     df = QUERIES["g1_above_average_ratio"](spark, SMALL)
     df.collect()
     assert "ReusedExchange" in plan(df)
+
+
+def test_seed_reaches_the_scan(spark):
+    from starlens.operators import graph
+    from starlens.plans.graph import MAPPING
+    from starlens.sources.retail import Retail
+
+    fact = Retail(spark, SMALL).sales(*MAPPING)
+    one = spark.createDataFrame([("item_details_1",), ("supplier_details_1",)], "node_id string")
+    text = plan(graph.induced_facts(fact, MAPPING, one))
+    assert re.search(r"PushedFilters: \[[^]]*EqualTo\(l_partkey,1\)", text)
+    assert re.search(r"PushedFilters: \[[^]]*EqualTo\(l_suppkey,1\)", text)
