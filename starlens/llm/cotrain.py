@@ -141,10 +141,12 @@ def labelled_sample(labels: DataFrame, most: int = LABELLED_ROWS) -> DataFrame:
 
 def find_signs(docs: DataFrame, sample: DataFrame) -> frozenset[str]:
     """Words and beginnings of words far more frequent in unwanted documents than in wanted ones."""
+    # Of equal texts with different labels the worst counts.
     texts = (
         docs.select("doc_id", "text")
         .join(F.broadcast(sample.filter("fold <> 0").select("doc_id", "wanted")), "doc_id")
-        .dropDuplicates(["text"])
+        .groupBy("text")
+        .agg(F.min("wanted").alias("wanted"))
     )
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     begun = F.array_distinct(
@@ -158,10 +160,16 @@ def find_signs(docs: DataFrame, sample: DataFrame) -> frozenset[str]:
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     counts = words.groupBy("w").agg(F.sum(1 - F.col("wanted")).alias("a"), F.sum("wanted").alias("b"))
     odds = F.log(a / (bad + 1 - a)) - F.log(b / (good + 1 - b))
+
+    # Root of the likelihood ratio; a standard error of the odds is no measure where no wanted document has the word.
+    def surprise(seen, of: float) -> F.Column:
+        share = (F.col("a") + F.col("b")) / (bad + good)
+        return sum(F.when(n > 0, n * F.log(n / (of * p))).otherwise(0.0) for n, p in ((seen, share), (of - seen, 1 - share)))
+
     rows = (
         counts.filter(F.col("a") >= SIGN_DOCUMENTS)
         .withColumn("odds", odds)
-        .withColumn("z", F.col("odds") / F.sqrt(1 / a + 1 / b))
+        .withColumn("z", F.sqrt(F.greatest(F.lit(0.0), 2 * (surprise(F.col("a"), bad) + surprise(F.col("b"), good)))))
         .filter((F.col("z") >= SIGN_SCORE) & (F.col("odds") >= SIGN_ODDS))
         .orderBy(F.desc("z"), "w")
         .limit(SIGNS)
