@@ -22,12 +22,14 @@ KINDS = ("email", "person", "iban", "ip", "phone", "card", "ssn")
 _FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|г-жа|Госпожа|Κυρία"
 _MALE = r"Mr|Herr|Monsieur|Señor|Sr|г-н|Господин|Κύριος"
 _TITLE = rf"(?:{_FEMALE}|{_MALE}|Dra|Dr|Doctor|Doktor|Professor|Prof)"
-_TITLES = rf"{_TITLE}\.?(?: {_TITLE}\.?)* "
+_TITLES = rf"{_TITLE}\.?(?: {_TITLE}\.?){{0,8}} "
 _PARTICLE = r"(?:von|van|vom|der|den|de|del|della|di|da|dos|das|du|la|le|zu|zur|zum|ten|ter|bin|ibn|al|el|af|av|y)"
-_WORD = r"(?:\p{L}['’])?\p{Lu}[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+|['’]\p{Lu}[\p{L}\p{M}]+)*"
-_NAME = rf"(?:(?:{_WORD}|\p{{Lu}}\.?|{_PARTICLE}) |\p{{Lu}}\.)*{_WORD}"
+# Groups that may repeat without end are possessive: others are matched by recursion, which a long name overflows.
+_WORD = r"(?:\p{L}['’])?\p{Lu}[\p{L}\p{M}]++(?:-[\p{L}\p{M}]++|['’]\p{Lu}[\p{L}\p{M}]++)*+"
+_LED_WORD = rf"(?:(?:\p{{Lu}}\.?|{_PARTICLE}) |\p{{Lu}}\.)*+{_WORD}"
+_NAME = rf"{_LED_WORD}(?: {_LED_WORD})*+"
 _LOCAL = r"[\p{L}\p{N}._%+-]"
-_EMAIL = rf"(?<!{_LOCAL})[\p{{L}}\p{{N}}]{_LOCAL}*+@[\p{{L}}\p{{N}}-]++(?:\.[\p{{L}}\p{{N}}-]++)+"
+_EMAIL = rf"(?<!{_LOCAL})[\p{{L}}\p{{N}}]{_LOCAL}*+@[\p{{L}}\p{{N}}-]++(?:\.[\p{{L}}\p{{N}}-]++)++"
 _PERSON = rf"(?<![\p{{L}}\p{{N}}]){_TITLES}{_NAME}(?!\p{{L}})"
 _IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -99,14 +101,15 @@ def parts_of(kind: Column, value: Column) -> Column:
     """
     title = F.regexp_extract(value, rf"^{_TITLES}", 0)
     spaced = F.regexp_replace(F.regexp_replace(value, rf"^{_TITLES}", ""), r"(?<=\p{Lu}\.)(?=\p{L})", " ")
-    words = F.split(spaced, " ")
+    # Worked out once for an entity; inside the lambda they would be for each of its words.
+    female, male = (title.rlike(rf"(?:^| )(?:{x})\.? ") for x in (f"{_FEMALE}|Dra", _MALE))
+    once = F.array(F.struct(F.split(spaced, " ").alias("words"), female.alias("female"), male.alias("male")))
 
-    def part(w: Column, i: Column) -> Column:
+    def part(w: Column, i: Column, all_of: Column) -> Column:
         norm = F.translate(F.lower(w), "’", "'")
-        female = title.rlike(rf"(?:^| )(?:{_FEMALE}|Dra)\.? ")
-        male = title.rlike(rf"(?:^| )(?:{_MALE})\.? ")
+        female, male = all_of["female"], all_of["male"]
         name = (
-            F.when(i == F.size(words) - 1, "family")
+            F.when(i == F.size(all_of["words"]) - 1, "family")
             .when(w.rlike(r"^\p{Lu}\.?$"), "initial")
             .when(w.rlike(rf"^{_PARTICLE}$"), "particle")
             .when(female | (~male & norm.rlike("[aаяαάη]$")), "given f")
@@ -117,7 +120,8 @@ def parts_of(kind: Column, value: Column) -> Column:
         )
 
     whole = F.struct(kind.alias("kind"), normal_form(kind, value).alias("norm"), value.alias("word"))
-    return F.when(kind == "person", F.transform(words, part)).otherwise(F.array(whole))
+    parts = F.flatten(F.transform(once, lambda o: F.transform(o["words"], lambda w, i: part(w, i, o))))
+    return F.when(kind == "person", parts).otherwise(F.array(whole))
 
 
 def _bytes(seed: Column) -> Column:
@@ -296,7 +300,7 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     texts stay as they are with an empty array.  Repeated rows and rows without id are rewritten alike; an
     empty table gives none; texts are rewritten whole.
     """
-    found, known = _fresh("entities", docs.columns), _fresh("known", docs.columns)
+    found, known, row = (_fresh(name, docs.columns) for name in ("entities", "known", "row"))
     text = F.col(text_col)
     has = F.coalesce(text.rlike(PATTERN), F.lit(False))
 
@@ -310,8 +314,8 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     each = stored(each.select("i", "e.kind", "e.norm").filter("kind <> 'particle'").distinct())
     table = surrogates(each, key)
     named = each.join(table, ["kind", "norm"]).select("i", F.concat_ws("\x1f", "kind", "norm").alias("k"), "surrogate")
-    maps = named.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("k", "surrogate"))).alias(known))
-    joined = marked.join(maps, marked[id_col].eqNullSafe(maps["i"])).drop("i")
+    maps = named.groupBy(F.col("i").alias(row)).agg(F.map_from_entries(F.collect_list(F.struct("k", "surrogate"))).alias(known))
+    joined = marked.join(maps, marked[id_col].eqNullSafe(maps[row])).drop(row)
 
     def surrogate_of(part: Column) -> Column:
         return F.element_at(F.col(known), F.concat_ws("\x1f", part["kind"], part["norm"]))
