@@ -26,8 +26,8 @@ by_value(__name__)
 
 #: What a Python worker holds at most: pieces in each of two generations of the memo (about 300 bytes each),
 #: and states of the transducer, which begins anew beyond them.
-MEMO = 500_000
-STATES = 400_000
+MEMO = 200_000
+STATES = 160_000
 #: Bytes read before settled tokens are written out.
 AHEAD = 4096
 #: Bits of a token's id, where a number holds it beside another one.
