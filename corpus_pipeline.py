@@ -54,7 +54,7 @@ STAGES = [
     ("byte_bpe", tokens),
 ]
 
-#: No stage but the third can be said in SQL; tests hold the run against brute force.
+#: No stage but the third can be said in SQL; tests hold the stages to their columns and counts only.
 ORACLE_SQL = None
 
 
