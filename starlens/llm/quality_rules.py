@@ -42,16 +42,22 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def line_passes(line: Column, longest_list_line: int = 3, min_prose: int = 12) -> Column:
-    """Whether one line may stay; a line without a word always may.
+def measured(line: Column) -> Column:
+    """What the rules ask of a line more than once: itself, in lower case, and its number of words."""
+    return F.struct(
+        line.alias("line"), F.lower(line).alias("low"), F.regexp_count(line, F.lit(WORD + "+")).alias("words")
+    )
+
+
+def line_passes(measured_line: Column, longest_list_line: int = 3, min_prose: int = 12) -> Column:
+    """Whether one ``measured`` line may stay; a line without a word always may.
 
     It fails with a symbol of ``#*$%&|<>`` for every four words or more, as navigation of at most
     ``longest_list_line`` words, as a boilerplate phrase, with a "!!" for every two words or more, with at
     least ``min_prose`` words but no closing punctuation at the end of any of them, or with fewer than a third
     of its words distinct (of ``min_prose`` or more).
     """
-    words = F.regexp_count(line, F.lit(WORD + "+"))
-    low = F.lower(line)
+    line, low, words = (measured_line[name] for name in ("line", "low", "words"))
     phrase = F.lit(False)
     for p in BOILERPLATE:
         phrase = phrase | F.contains(low, F.lit(p))
@@ -59,7 +65,7 @@ def line_passes(line: Column, longest_list_line: int = 3, min_prose: int = 12) -
         (F.regexp_count(line, F.lit(SYMBOL)) * 4 >= words)
         | ((words <= longest_list_line) & low.rlike(NAVIGATION))
         | phrase
-        | (F.regexp_count(line, F.lit("!!")) * 2 >= words)
+        | (F.contains(line, F.lit("!!")) & (F.regexp_count(line, F.lit("!!")) * 2 >= words))
         | ((words >= min_prose) & ~line.rlike(SENTENCE_END))
         | ((words >= min_prose) & (F.size(F.array_distinct(split_words(line))) * 3 < words))
     )
@@ -120,7 +126,8 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_loss_pct: int = 50)
         ),
     )
     # Lines that fail by themselves, and copies of an earlier line.
-    d = d.withColumn("passing", F.filter("lines", lambda x: line_passes(x))).withColumn("fresh", F.array_distinct("passing"))
+    d = d.withColumn("passing", F.filter(F.transform("lines", measured), lambda x: line_passes(x)))
+    d = d.withColumn("fresh", F.array_distinct(F.transform("passing", lambda x: x["line"])))
     d = d.withColumn(
         "base_failed",
         (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50),
