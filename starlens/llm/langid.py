@@ -61,16 +61,29 @@ _STARTS = np.array([a for a, _ in SCRIPTS])
 _SCRIPT_OF = np.array([SCRIPT_NAMES.index(name) for _, name in SCRIPTS])
 
 
+def _with_a_letter(inside: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    """``inside`` without the runs that hold no letter: marks belong to a word but are none by themselves."""
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if not len(edges):
+        return inside
+    starts, ends = edges[::2], edges[1::2]  # the first and the last character are line ends
+    letters = np.concatenate([[0], np.cumsum(letter)])
+    for k in np.flatnonzero(letters[ends] == letters[starts]):
+        inside[starts[k] : ends[k]] = False
+    return inside
+
+
 class Letters:
-    """Letters of a chunk of texts: trigram buckets, and the words and texts they stand in."""
+    """Letters (and marks on them) of a chunk of texts: trigram buckets, and the words and texts they stand in."""
 
     def __init__(self, texts: list[str | None]) -> None:
         low = [(t or "").lower() for t in texts]
         codes = np.frombuffer(("\n" + "\n".join(low) + "\n").encode("utf-32-le", "replace"), np.uint32)
         present = np.flatnonzero(np.bincount(codes))
-        part = np.zeros(int(present[-1]) + 1, bool)
-        part[present] = [unicodedata.category(chr(c))[0] in "LM" for c in present]
-        inside = part[codes]
+        kinds = np.zeros(int(present[-1]) + 1, np.uint8)
+        kinds[present] = [" ML".find(unicodedata.category(chr(c))[0]) + 1 for c in present]
+        kinds = kinds[codes]  # 3: letter, 2: mark
+        inside = _with_a_letter(kinds > 1, kinds == 3)
         x = np.where(inside, codes, 0).astype(np.uint64)
         at = np.flatnonzero(inside)
         mixed = (
@@ -150,6 +163,14 @@ def train(labelled: DataFrame) -> Model:
     return Model(langs, np.ascontiguousarray(weights.T.astype(np.float32)), (shares >= OWN_SCRIPT).T)
 
 
+def word_scores(weights: np.ndarray, part: Letters) -> np.ndarray:
+    """word x language: log probabilities, language by language, so that letters x languages are never held."""
+    out = np.empty((len(part.starts), weights.shape[1]), np.float32)
+    for k in range(weights.shape[1]):
+        out[:, k] = np.add.reduceat(np.ascontiguousarray(weights[:, k])[part.buckets], part.starts)
+    return out
+
+
 def viterbi(scores: np.ndarray, words_to: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best language of every word, all texts in step; text d owns words words_to[d]:words_to[d + 1]."""
     n_words, n_langs = scores.shape
@@ -158,7 +179,7 @@ def viterbi(scores: np.ndarray, words_to: np.ndarray, switch: float = SWITCH) ->
     first, sizes = words_to[:-1][order], sizes[order]
     longest = int(sizes[0]) if len(sizes) else 0
     active = np.searchsorted(-sizes, -np.arange(longest), "left")  # texts with more than t words
-    best_before = np.zeros(n_words, np.int8)
+    best_before = np.zeros(n_words, np.int32)
     stays = np.zeros((n_words, n_langs), bool)
     value = np.zeros((len(sizes), n_langs), np.float32)
     for t in range(longest):
@@ -172,8 +193,8 @@ def viterbi(scores: np.ndarray, words_to: np.ndarray, switch: float = SWITCH) ->
             np.maximum(v, jump[:, None], out=v)
         v += scores[at]
         v -= v.max(1, keepdims=True)
-    labels = np.zeros(n_words, np.int8)
-    now = value.argmax(1).astype(np.int8)
+    labels = np.zeros(n_words, np.int32)
+    now = value.argmax(1).astype(np.int32)
     for t in range(longest - 1, -1, -1):
         at = first[: active[t]] + t
         label = now[: active[t]]
@@ -206,7 +227,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
                 pred, score = np.full(n, n_langs), np.zeros(n)
                 spans = pa.array([[]] * n, _SPANS)
                 if n_langs and len(part.starts):
-                    scores = np.add.reduceat(m.weights[part.buckets], part.starts, axis=0)
+                    scores = word_scores(m.weights, part)
                     scores += bar[part.scripts[part.starts]]
                     labels = viterbi(scores, part.words_to, switch)
                     of_text = np.repeat(np.arange(n), np.diff(part.words_to))
