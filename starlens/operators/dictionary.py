@@ -6,12 +6,12 @@ annotations; types and sample values are read from the tables.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +39,7 @@ DICTIONARY_SCHEMA = T.StructType(
 
 @dataclass(frozen=True)
 class ColumnNote:
-    description: str
+    description: str | None
     is_key: bool = False
     is_measure: bool = False
     related: str | None = None
@@ -54,6 +54,18 @@ class TableNote:
     columns: Mapping[str, ColumnNote] = field(default_factory=dict)
 
 
+#: A table, or a function that reads the named columns of it (all, if none is named) and joins only what they need.
+Table = DataFrame | Callable[..., DataFrame]
+
+
+def schema_of(table: Table) -> T.StructType:
+    return table().schema if callable(table) else table.schema
+
+
+def restricted(table: Table, columns: Sequence[str]) -> DataFrame:
+    return table(*columns) if callable(table) else table.select(*columns)
+
+
 # -- sample values -------------------------------------------------------------------------------
 
 
@@ -67,17 +79,27 @@ def as_text(field_: T.StructField) -> Column:
     return col.cast("string")
 
 
-def sample_values(tables: Mapping[str, DataFrame], k: int = 3) -> DataFrame:
+def sample_values(
+    tables: Mapping[str, Table], k: int = 3, columns: Mapping[str, Sequence[str]] | None = None
+) -> DataFrame:
     """H8: the first ``k`` distinct values of every column in text order, joined by commas.
 
-    One scan per table.  Each task keeps ``k`` values per column, so the shuffle carries at most
-    ``k`` rows per column and task however many distinct values there are.
+    ``columns`` names the columns wanted of each table; nothing else is read.  One scan per table.  Each task
+    keeps ``k`` values per column, and such samples merge, so the shuffle carries at most ``k`` rows per column and
+    task however many distinct values there are.
     """
     parts = []
-    for table, df in tables.items():
-        fields = [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-        texts = spread(df).select(*[as_text(f).alias(f.name) for f in fields])
+    for table, source in tables.items():
+        wanted = None if columns is None else set(columns.get(table, ()))
+        fields = [
+            f
+            for f in schema_of(source).fields
+            if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) and (wanted is None or f.name in wanted)
+        ]
+        if not fields:
+            continue
         names = [f.name for f in fields]
+        texts = spread(restricted(source, names)).select(*[as_text(f).alias(f.name) for f in fields])
 
         def smallest(batches, names=names):
             best = {n: [] for n in names}
@@ -96,6 +118,8 @@ def sample_values(tables: Mapping[str, DataFrame], k: int = 3) -> DataFrame:
 
         found = texts.mapInArrow(smallest, "column_name string, value string").distinct()
         parts.append(found.select(F.lit(table).alias("table_name"), "column_name", "value"))
+    if not parts:
+        return SparkSession.active().createDataFrame([], "table_name string, column_name string, sample_values string")
     values = parts[0]
     for p in parts[1:]:
         values = values.unionByName(p)
@@ -106,15 +130,12 @@ def sample_values(tables: Mapping[str, DataFrame], k: int = 3) -> DataFrame:
     )
 
 
-def table_sizes(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows per table, as the sample text of the table-level dictionary rows."""
+def table_sizes(tables: Mapping[str, Table]) -> DataFrame:
+    """(table_name, row_count), from one column of each table at most."""
     out = None
-    for name, df in tables.items():
-        part = df.agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(name).alias("table_name"),
-            F.lit(None).cast("string").alias("column_name"),
-            F.concat(F.col("n").cast("string"), F.lit(" rows")).alias("sample_values"),
-        )
+    for name, source in tables.items():
+        rows = restricted(source, schema_of(source).names[:1])
+        part = rows.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -122,46 +143,57 @@ def table_sizes(tables: Mapping[str, DataFrame]) -> DataFrame:
 # -- the dictionary ------------------------------------------------------------------------------
 
 
+def entries(
+    tables: Mapping[str, Table], notes: Mapping[str, TableNote], catalog: str = "spark_catalog", schema: str = "default"
+) -> list[Row]:
+    """The dictionary without samples, from notes and schemas only: for each noted table a row for itself and
+    one for each of its columns, then one for each noted column that it doesn't have (without a type)."""
+    names = [f.name for f in DICTIONARY_SCHEMA.fields[:-1]]
+    unknown = ColumnNote(None)
+    rows = []
+    for name, note in notes.items():
+        if name not in tables:
+            continue
+        types = {f.name: f.dataType.simpleString() for f in schema_of(tables[name]).fields}
+        about = (catalog, schema, name, note.kind, note.description)
+        rows.append(about + (None, None, None, False, False, None, note.rules))
+        for column in dict.fromkeys([*types, *note.columns]):
+            c = note.columns.get(column, unknown)
+            rows.append(
+                about + (column, types.get(column), c.description, c.is_key, c.is_measure, c.related, c.rules)
+            )
+    return [Row(*names)(*row) for row in rows]
+
+
 def build_dictionary(
-    tables: Mapping[str, DataFrame],
+    tables: Mapping[str, Table],
     notes: Mapping[str, TableNote],
     catalog: str = "spark_catalog",
     schema: str = "default",
     samples: int | None = 3,
+    asked: Callable[[Row], bool] = lambda row: True,
 ) -> DataFrame:
-    """H1: one row per table and one per annotated column, with types and samples from the data."""
-    rows = []
-    for name, note in notes.items():
-        if name not in tables:
-            continue
-        types = {f.name: f.dataType.simpleString() for f in tables[name].schema.fields}
-        rows.append(
-            (catalog, schema, name, note.kind, note.description, None, None, None, False, False, None, note.rules)
-        )
-        rows.extend(
-            (
-                catalog,
-                schema,
-                name,
-                note.kind,
-                note.description,
-                column,
-                types.get(column),
-                c.description,
-                c.is_key,
-                c.is_measure,
-                c.related,
-                c.rules,
-            )
-            for column, c in note.columns.items()
-        )
-    spark = next(iter(tables.values())).sparkSession
+    """H1: one row per noted table and one per column of it, noted or not, with types and samples from the data.
+
+    Only the rows that are ``asked`` for are made, and only their columns are read: a table row costs a count, a
+    column row a sample of that column.
+    """
+    rows = [row for row in entries(tables, notes, catalog, schema) if asked(row)]
+    spark = SparkSession.active()
     head = T.StructType(DICTIONARY_SCHEMA.fields[:-1])
     written = spark.createDataFrame(rows, head)
     if samples is None:
         return written.withColumn("sample_values", F.lit(None).cast("string"))
-    noted = {t: df for t, df in tables.items() if t in notes}
-    seen = sample_values(noted, samples).unionByName(table_sizes(noted))
+    columns = {t: [r.column_name for r in rows if r.table_name == t and r.column_name] for t in tables}
+    seen = sample_values(tables, samples, columns)
+    counted = {r.table_name: tables[r.table_name] for r in rows if r.column_name is None}
+    if counted:
+        sizes = table_sizes(counted).select(
+            "table_name",
+            F.lit(None).cast("string").alias("column_name"),
+            F.concat(F.col("row_count").cast("string"), F.lit(" rows")).alias("sample_values"),
+        )
+        seen = seen.unionByName(sizes) if any(columns.values()) else sizes
     seen = seen.select(F.col("table_name").alias("t"), F.col("column_name").alias("c"), "sample_values")
     match = (F.col("table_name") == F.col("t")) & F.col("column_name").eqNullSafe(F.col("c"))
     return written.join(seen, match, "left").select(*[f.name for f in DICTIONARY_SCHEMA.fields])
@@ -222,8 +254,8 @@ def dictionary_counts(d: DataFrame) -> DataFrame:
 
 
 def undocumented_columns(columns: DataFrame, d: DataFrame) -> DataFrame:
-    """H7: catalog columns (table_name, col_name, ...) without a dictionary row."""
-    known = d.filter("column_name IS NOT NULL").select("table_name", F.col("column_name").alias("col_name"))
+    """H7: catalog columns (table_name, col_name, ...) without a description in the dictionary."""
+    known = d.filter("column_name IS NOT NULL AND column_description IS NOT NULL").select("table_name", F.col("column_name").alias("col_name"))
     return columns.join(known, ["table_name", "col_name"], "left_anti")
 
 

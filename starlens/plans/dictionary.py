@@ -89,8 +89,13 @@ def star_tables(r):
     }
 
 
-def dictionary(r):
-    return dd.build_dictionary(star_tables(r), NOTES, "main", "retail")
+def sources(r):
+    """The same, but the fact joins orders and suppliers only for columns that come from them."""
+    return {**star_tables(r), "items_sales": r.sales}
+
+
+def dictionary(r, asked=lambda row: True, samples=3):
+    return dd.build_dictionary(sources(r), NOTES, "main", "retail", samples, asked)
 
 
 def _text(column, kind):
@@ -120,13 +125,20 @@ SIZES = "sizes AS (" + " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS n FROM {v}" for t, v in VIEWS.items()
 ) + ")"
 
-_ROWS = [
-    (t, n.kind, n.description, None, None, None, False, False, None, n.rules) for t, n in NOTES.items()
-] + [
-    (t, n.kind, n.description, c, TYPES[t][c], k.description, k.is_key, k.is_measure, k.related, k.rules)
-    for t, n in NOTES.items()
-    for c, k in n.columns.items()
-]
+_ROWS = (
+    [(t, n.kind, n.description, None, None, None, False, False, None, n.rules) for t, n in NOTES.items()]
+    + [
+        (t, n.kind, n.description, c, TYPES[t][c], k.description, k.is_key, k.is_measure, k.related, k.rules)
+        for t, n in NOTES.items()
+        for c, k in n.columns.items()
+    ]
+    + [
+        (t, n.kind, n.description, c, kind, None, False, False, None, None)
+        for t, n in NOTES.items()
+        for c, kind in TYPES[t].items()
+        if c not in n.columns
+    ]
+)
 DICTIONARY = f"""{SAMPLES}, {SIZES},
 written(table_name, table_type, table_description, column_name, column_type, column_description, is_key, is_measure,
         related_table, business_rules) AS (VALUES
@@ -166,16 +178,17 @@ def h1(r):
     FROM dictionary WHERE column_name IS NULL""",
 )
 def h2(r):
-    return _filled(dd.dictionary_tables(dictionary(r)))
+    return _filled(dd.dictionary_tables(dictionary(r, lambda row: row.column_name is None)))
 
 
 @_query(
     "h3_dictionary_columns",
-    f"""SELECT column_name, column_type, column_description, is_key, is_measure, {_blank('related_table')}, sample_values
+    f"""SELECT column_name, column_type, {_blank('column_description', 'related_table')}, is_key, is_measure, sample_values
     FROM dictionary WHERE table_name = 'items_sales' AND column_name IS NOT NULL""",
 )
 def h3(r):
-    return _filled(dd.dictionary_columns(dictionary(r), "items_sales"))
+    of_fact = dictionary(r, lambda row: row.table_name == "items_sales" and row.column_name is not None)
+    return _filled(dd.dictionary_columns(of_fact, "items_sales"))
 
 
 @_query(
@@ -184,7 +197,7 @@ def h3(r):
     FROM dictionary WHERE is_measure""",
 )
 def h4(r):
-    return dd.dictionary_measures(dictionary(r))
+    return dd.dictionary_measures(dictionary(r, lambda row: row.is_measure))
 
 
 @_query(
@@ -194,7 +207,7 @@ def h4(r):
     sample_values FROM dictionary WHERE is_key AND related_table IS NOT NULL""",
 )
 def h5(r):
-    return dd.dictionary_relationships(dictionary(r))
+    return dd.dictionary_relationships(dictionary(r, lambda row: row.is_key and row.related_table is not None))
 
 
 @_query(
@@ -217,7 +230,8 @@ PROFILE = "profile AS (\n" + "\nUNION ALL ".join(
     "h7_undocumented_columns",
     f""", {PROFILE}
     SELECT table_name, col_name, row_count, non_null FROM profile p
-    WHERE NOT EXISTS (SELECT 1 FROM dictionary d WHERE d.table_name = p.table_name AND d.column_name = p.col_name)""",
+    WHERE NOT EXISTS (SELECT 1 FROM dictionary d WHERE d.table_name = p.table_name AND d.column_name = p.col_name
+                      AND d.column_description IS NOT NULL)""",
 )
 def h7(r):
     tables = star_tables(r)
@@ -227,7 +241,7 @@ def h7(r):
 
 @book.query("h8_sample_values", with_star(f", {SAMPLES} SELECT * FROM samples"))
 def h8(r):
-    return dd.sample_values(star_tables(r), 3)
+    return dd.sample_values(sources(r), 3)
 
 
 DOCUMENTS = """lines AS (
@@ -235,7 +249,7 @@ DOCUMENTS = """lines AS (
     || CASE WHEN is_key AND related_table IS NULL THEN ' [PRIMARY KEY]' ELSE '' END
     || CASE WHEN related_table IS NOT NULL THEN ' [FOREIGN KEY → ' || related_table || ']' ELSE '' END
     || CASE WHEN is_measure THEN ' [MEASURE]' ELSE '' END
-    || chr(10) || '  Description: ' || column_description
+    || coalesce(chr(10) || '  Description: ' || column_description, '')
     || CASE WHEN business_rules IS NOT NULL THEN chr(10) || '  Business Rules: ' || business_rules ELSE '' END
     || chr(10) || '  Sample Values: ' || sample_values AS line
   FROM dictionary WHERE column_name IS NOT NULL),
@@ -265,7 +279,7 @@ def h9(r):
     SELECT section, table_name, contains(document, 'Business Rules:') AS rich_context FROM documents_of""",
 )
 def j5(r):
-    return dd.rich_context_used(dd.context_documents(dictionary(r))).drop("document")
+    return dd.rich_context_used(dd.context_documents(dictionary(r, samples=None))).drop("document")
 
 
 @_query(
@@ -281,9 +295,8 @@ def j5(r):
     ),
 )
 def h10(r):
-    tables = star_tables(r)
-    sizes = profile_columns(tables).select("table_name", "row_count").distinct()
-    return dd.basic_schema_documents(describe_tables(tables), "items_sales").join(sizes, "table_name")
+    documents = dd.basic_schema_documents(describe_tables(star_tables(r)), "items_sales")
+    return documents.join(dd.table_sizes(sources(r)), "table_name")
 
 
 def _priced(r):
@@ -375,5 +388,7 @@ def h12(r):
     ORDER BY dictionary.table_name, dictionary.column_name NULLS FIRST LIMIT 10""",
 )
 def h13(r):
-    first = dd.dictionary_preview(dictionary(r), 10)
+    rows = sorted(dd.entries(sources(r), NOTES), key=lambda e: (e.table_name, e.column_name or ""))
+    wanted = {(e.table_name, e.column_name) for e in rows[:10]}
+    first = dd.dictionary_preview(dictionary(r, lambda e: (e.table_name, e.column_name) in wanted), 10)
     return _filled(first.select("table_name", "column_name", "column_type", "sample_values"))

@@ -11,7 +11,7 @@ from starlens.plans.book import Book
 from starlens.plans.graph import edges, nodes
 from starlens.session import checkpoint_dir
 from starlens.sources import graph_store, tables
-from starlens.sources.retail import denormalize
+from starlens.sources.retail import denormalize, generated_facts
 
 book = Book()
 
@@ -65,6 +65,25 @@ def a3(r):
     return r.customers().join(tiers, "customer_segment").groupBy("tier").agg(F.count(F.lit(1)).alias("customers"))
 
 
+@book.query(
+    "a4_generate_star",
+    """
+    WITH d AS (
+      SELECT l_orderkey, l_linenumber, md5('who|7|' || l_orderkey || '|' || l_linenumber) AS who,
+             md5('what|7|' || l_orderkey || '|' || l_linenumber) AS what FROM lineitem),
+    n AS (
+      SELECT l_orderkey, l_linenumber, CAST('0x' || who[1:8] AS BIGINT) AS item, CAST('0x' || who[9:16] AS BIGINT) AS place,
+             CAST('0x' || who[17:24] AS BIGINT) AS buyer, CAST('0x' || who[25:32] AS BIGINT) AS day,
+             CAST('0x' || what[1:8] AS BIGINT) % 20 + 1 AS units,
+             CAST('0x' || what[9:16] AS BIGINT) % 9000001 + 1000000 AS price FROM d)
+    SELECT l_orderkey, l_linenumber, 'p-' || (item % 500 + 1) AS item_id, 'l-' || (place % 50 + 1) AS location_id,
+           'c-' || (buyer % 2000 + 1) AS customer_id, DATE '2024-01-01' + CAST(day % 730 AS INTEGER) AS sale_date,
+           units AS units_sold, CAST((units * price + 5000) // 10000 AS DOUBLE) / 100 AS total_sales_value FROM n""",
+)
+def a4(r):
+    return generated_facts(r.table("lineitem"), ["l_orderkey", "l_linenumber"], 7, n_items=500, n_customers=2000)
+
+
 @book.star(
     "a5_save_table",
     """

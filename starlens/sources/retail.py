@@ -121,36 +121,67 @@ def denormalize(fact: DataFrame, dims: Sequence[tuple[DataFrame, str, str]]) ->
     return wide
 
 
-def generate_star(
-    spark: SparkSession,
-    n_facts: int = 5000,
+def generated_facts(
+    keys: DataFrame,
+    key_columns: Sequence[str],
     seed: int = 42,
     n_items: int = 50,
     n_locations: int = 50,
     n_customers: int = 200,
     start: str = "2024-01-01",
     days: int = 730,
-) -> dict[str, DataFrame]:
-    """A4: synthetic star. Every value is a hash of (row, seed), so any task can be rerun alike."""
+) -> DataFrame:
+    """A4: one synthetic sale for each row of ``keys``, whose key columns are kept.
+
+    Every value is cut from MD5 digests of (seed, key), so any task can be rerun alike, no row depends on its
+    partition, and any engine with that function makes the same rows.  Prices are whole millionths from 1 to 10, and the
+    value of a sale is rounded to cents in whole numbers.  A null key column counts as empty text.
+    """
+    name = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_columns))
 
-    def pick(tag: str, k: int):
-        return F.pmod(F.xxhash64(F.col("id"), F.lit(tag), F.lit(seed)), F.lit(k))
+    def number(digest: str, piece: int):
+        """Eight hexadecimal digits of a digest."""
+        return F.conv(F.substring(F.col(digest), 8 * piece + 1, 8), 16, 10).cast("bigint")
 
-    def member(prefix: str, tag: str, k: int):
-        return F.concat(F.lit(prefix), (pick(tag, k) + 1).cast("string"))
+    def member(prefix: str, piece: int, n: int):
+        return F.concat(F.lit(prefix), (number("__who", piece) % n + 1).cast("string"))
 
-    price = F.lit(1.0) + pick("price", 1_000_000) / F.lit(1_000_000.0) * F.lit(9.0)
-    facts = spark.range(n_facts).select(
-        member("p-", "item", n_items).alias("item_id"),
-        member("l-", "location", n_locations).alias("location_id"),
-        member("c-", "customer", n_customers).alias("customer_id"),
-        F.date_add(F.lit(start).cast("date"), pick("day", days).cast("int")).alias("sale_date"),
-        (pick("units", 20) + 1).alias("units_sold"),
+    digests = keys.select(
+        *key_columns, F.md5(F.concat(F.lit("who|"), name)).alias("__who"), F.md5(F.concat(F.lit("what|"), name)).alias("__what")
+    )
+    price = number("__what", 1) % 9_000_001 + 1_000_000
+    return digests.select(
+        *key_columns,
+        member("p-", 0, n_items).alias("item_id"),
+        member("l-", 1, n_locations).alias("location_id"),
+        member("c-", 2, n_customers).alias("customer_id"),
+        F.date_add(F.lit(start).cast("date"), (number("__who", 3) % days).cast("int")).alias("sale_date"),
+        (number("__what", 0) % 20 + 1).alias("units_sold"),
         price.alias("__price"),
+    ).select(
+        *key_columns,
+        "item_id",
+        "location_id",
+        "customer_id",
+        "sale_date",
+        "units_sold",
+        (F.floor((F.col("units_sold") * F.col("__price") + 5000) / 10_000).cast("double") / 100).alias("total_sales_value"),
     )
-    facts = facts.withColumn(
-        "total_sales_value", F.round(F.col("units_sold") * F.col("__price"), 2)
-    ).drop("__price")
+
+
+def generate_star(
+    spark: SparkSession,
+    n_facts: int = 5000,
+    seed: int = 42,
+    n_items: int = 50,
+    n_locations: int = 50,
+    n_customers: int = 200,
+    start: str = "2024-01-01",
+    days: int = 730,
+) -> dict[str, DataFrame]:
+    """A4: synthetic star of numbered sales (:func:`generated_facts`) and their three dimensions."""
+    numbered = spark.range(n_facts)
+    facts = generated_facts(numbered, ["id"], seed, n_items, n_locations, n_customers, start, days).drop("id")
 
     def dim(n: int, prefix: str, **columns):
         number = (F.col("id") + 1).cast("string")

@@ -54,9 +54,18 @@ def save_table(
     path: str | None = None,
     mode: str = "overwrite",
     partition_by: Sequence[str] = (),
+    max_rows_per_file: int = 20_000_000,
 ) -> None:
-    """A5: write a managed table or a parquet folder; overwriting also replaces the schema."""
-    writer = df.write.mode(mode).format("parquet")
+    """A5: write a managed table or a parquet folder; overwriting also replaces the schema.
+
+    With ``partition_by`` the rows of a value are gathered before they are written, so that a value has few files and
+    not one from every task.  Adaptive execution sizes the writing tasks
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``): small values share a task, a hot value is split
+    over many.  A file has at most ``max_rows_per_file`` rows.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
+    writer = df.write.mode(mode).format("parquet").option("maxRecordsPerFile", max_rows_per_file)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if path is not None:

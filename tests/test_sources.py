@@ -105,3 +105,61 @@ def test_config():
 def test_success_rate(spark):
     answers = spark.createDataFrame([("fine",), ("An Error",), ("we cannot",), (None,)], "answer string")
     assert tuple(success_rate(answers).first()) == (4, 1, 25.0)
+
+
+def test_generated_facts_do_not_depend_on_partitions(spark):
+    from starlens.sources.retail import generated_facts
+
+    keys = spark.range(500).select("id", (F.col("id") % 3).alias("k")).unionAll(spark.sql("SELECT CAST(NULL AS BIGINT), 1L"))
+    one = generated_facts(keys.repartition(1), ["id", "k"], seed=9)
+    assert result_diff(one, generated_facts(keys.repartition(7), ["id", "k"], seed=9)).isEmpty()
+    assert one.count() == 501 and one.filter("total_sales_value IS NULL OR units_sold NOT BETWEEN 1 AND 20").isEmpty()
+    assert one.select("item_id").distinct().count() == 50
+    assert generated_facts(keys.limit(0), ["id", "k"]).isEmpty()
+
+
+def test_a_value_has_few_files(spark, tmp_path):
+    import glob
+
+    rows = spark.range(0, 20_000, 1, 16).withColumn("year", F.when(F.col("id") % 10 < 7, 2000).otherwise(F.col("id") % 9))
+    path = str(tmp_path / "years")
+    tables.save_table(rows, path=path, partition_by=["year"])
+    files = [len(glob.glob(f"{d}/*.parquet")) for d in glob.glob(f"{path}/year=*")]
+    assert len(files) == 10 and max(files) == 1
+    assert spark.read.parquet(path).count() == 20_000
+    tables.save_table(rows, path=path, partition_by=["year"], max_rows_per_file=1000)
+    assert len(glob.glob(f"{path}/year=2000/*.parquet")) == 14
+    tables.save_table(rows.limit(0), path=path, partition_by=["year"])
+    assert not glob.glob(f"{path}/year=*")
+
+
+def _read(df):
+    """What a plan reads: (file, columns) of each scan."""
+    import re
+
+    plan = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    where = re.findall(r"Location: .*?/(\w+)\.parquet\]", plan)
+    return set(zip(where, re.findall(r"ReadSchema: (\S+)", plan)))
+
+
+def test_dictionary_reads_only_what_is_asked_for(spark):
+    from starlens import plans
+
+    queries = plans.all_queries()
+    root = "/root/testdata/sf0.001"
+    measures = _read(queries["h4_dictionary_measures"](spark, root))
+    assert measures == {("lineitem", "struct<l_quantity:double,l_extendedprice:double>")}
+    sizes = _read(queries["h2_dictionary_tables"](spark, root))
+    assert {t for t, _ in sizes} == {"lineitem", "part", "nation", "customer"}
+    assert all(columns.count(":") <= 1 for _, columns in sizes)
+    assert not _read(queries["j5_rich_context_used"](spark, root))
+
+
+def test_dictionary_has_a_row_for_each_column(spark, star):
+    notes = {"item_details": dd.TableNote("dimension", "Items", columns={"item_id": dd.ColumnNote("Id", True), "gone": dd.ColumnNote("Lost")})}
+    rows = dd.build_dictionary(star, notes).collect()
+    assert {r.column_name for r in rows} == {None, "item_id", "item_name", "item_description", "gone"}
+    by_name = {r.column_name: r for r in rows}
+    assert by_name["gone"].column_type is None and by_name["gone"].sample_values is None
+    assert by_name["item_name"].sample_values and by_name["item_name"].column_description is None
+    assert dd.build_dictionary(star, notes, asked=lambda r: False).isEmpty()
