@@ -11,31 +11,46 @@ _ACCURACY = 100_000
 _MARGIN = 5.0 / _ACCURACY
 
 
+_STEPS = 1000
+
+
 def exact_median(df: DataFrame, value: str) -> DataFrame:
     """One row, one column ``median``: the exact median of a numeric column.
 
-    A mergeable quantile sketch brackets the middle within a proven rank error; only the distinct
-    values inside the bracket (about 1/10,000 of the rows) are ranked, after counting copies
-    map-side.  The built-in exact percentile would keep every distinct value in one task.
+    A mergeable quantile sketch brackets the middle within a proven rank error, and a second one, over the rows
+    of that bracket only, cuts it into a thousand steps and keeps those around the middle.  Only the distinct
+    values left (about one in four million rows, copies counted map-side) are ranked.  The built-in exact
+    percentile would keep every distinct value in one task.
     """
     data = df.select(F.col(value).cast("double").alias("v")).filter("v is not null")
-    bounds = data.agg(
+    outer = data.agg(
         F.percentile_approx(
             "v", F.array(F.lit(0.5 - _MARGIN), F.lit(0.5 + _MARGIN)), F.lit(_ACCURACY)
         ).alias("b"),
         F.count(F.lit(1)).alias("n"),
     ).select(F.struct(F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"), "n").alias("s"))
-    marked = data.withColumn("s", bounds.scalar())
-    below = marked.filter(F.col("v") < F.col("s.lo")).agg(F.count(F.lit(1)))
-    middle = (
-        marked.filter((F.col("v") >= F.col("s.lo")) & (F.col("v") <= F.col("s.hi")))
-        .groupBy("v")
-        .agg(F.count(F.lit(1)).alias("copies"), F.max("s.n").alias("n"))
+    held, below = _bracket(data, outer)
+    ranks = held.agg(
+        F.percentile_approx("v", [i / _STEPS for i in range(_STEPS + 1)], F.lit(_ACCURACY)).alias("c"),
+        F.count(F.lit(1)).alias("m"),
+        F.max("s.n").alias("n"),
+    ).withColumn("at", (F.floor((F.col("n") + 1) / 2) - below.scalar()) / F.col("m") * _STEPS)
+    # Two steps to either side cover the sketch's error, a step's width and the second of two middle rows.
+    # With fewer rows than steps that second row may be further away, and all are few enough.
+    few = F.col("m") < _STEPS
+    inner = ranks.select(
+        F.struct(
+            F.when(few, float("-inf")).otherwise(F.get("c", F.greatest(F.floor("at") - 2, F.lit(0)))).alias("lo"),
+            F.when(few, float("nan")).otherwise(F.get("c", F.least(F.ceil("at") + 2, F.lit(_STEPS)))).alias("hi"),
+            "n",
+        ).alias("s")
     )
+    middle, skipped = _bracket(held.select("v"), inner)
+    counted = middle.groupBy("v").agg(F.count(F.lit(1)).alias("copies"), F.max("s.n").alias("n"))
     running = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = middle.withColumn("last", F.sum("copies").over(running) + below.scalar()).withColumn(
-        "first", F.col("last") - F.col("copies") + 1
-    )
+    ranked = counted.withColumn(
+        "last", F.sum("copies").over(running) + below.scalar() + skipped.scalar()
+    ).withColumn("first", F.col("last") - F.col("copies") + 1)
 
     def holds(rank: Column) -> Column:
         return (F.col("first") <= rank) & (rank <= F.col("last"))
@@ -49,6 +64,13 @@ def exact_median(df: DataFrame, value: str) -> DataFrame:
     )
 
 
+def _bracket(data: DataFrame, bounds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``data`` (v) between s.lo and s.hi of the one row of ``bounds``, with s; and how many are below."""
+    marked = data.withColumn("s", bounds.scalar())
+    below = marked.filter(F.col("v") < F.col("s.lo")).agg(F.count(F.lit(1)))
+    return marked.filter((F.col("v") >= F.col("s.lo")) & (F.col("v") <= F.col("s.hi"))), below
+
+
 _CUTS = 255
 
 

@@ -42,6 +42,28 @@ def test_exact_median_random(spark):
     assert exact_median(df, "v").first()["median"] == median(values)
 
 
+def test_median_ranks_few_rows(spark, monkeypatch):
+    """With the first bracket as wide as the table, the second leaves a few steps of it."""
+    from starlens.functions import stats
+
+    monkeypatch.setattr(stats, "_MARGIN", 0.5)
+    rng = random.Random(8)
+    for values in ([rng.expovariate(1) for _ in range(30_000)], [float(rng.randrange(40)) for _ in range(5_001)]):
+        df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+        found = exact_median(df, "v")
+        assert found.first()["median"] == median(values)
+    ranked = []
+    bracket = stats._bracket
+
+    def watched(data, bounds):
+        ranked.append(bracket(data, bounds))
+        return ranked[-1]
+
+    monkeypatch.setattr(stats, "_bracket", watched)
+    exact_median(spark.range(100_000).select(F.col("id").cast("double").alias("v")), "v")
+    assert ranked[0][0].count() >= 99_999 and ranked[1][0].count() <= 700
+
+
 @pytest.mark.parametrize("dense", [False, True])
 def test_global_rank(spark, dense):
     rng = random.Random(3)
