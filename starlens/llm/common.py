@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import sys
 import uuid
 
@@ -18,6 +19,7 @@ from starlens.session import checkpoint_dir
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_BYTES = 1 << 18
+LONG_WORD = 256
 
 
 def by_value(name: str) -> None:
@@ -125,10 +127,15 @@ class Words:
         self.text_at = np.concatenate([[1], np.cumsum(sizes) + 1])
         self.first = np.searchsorted(self.starts, self.text_at)
         self.hashes = span_hashes(self.bytes.astype(np.uint64) + np.uint64(1), self.starts, self.ends)
+        # Sums of powers modulo 2**64 agree for some long words of two letters; those get another hash.
+        for k in np.flatnonzero(self.ends - self.starts >= LONG_WORD):
+            word = self.bytes[self.starts[k] : self.ends[k]].tobytes()
+            self.hashes[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Texts compressed one by one, for the shuffle and the table that follow."""
+    """Texts compressed one by one, for the shuffle and the table that follow; other columns as they are."""
+    others = [c for c in docs.columns if c != "text"]
 
     def kernel(batches):
         import zstandard
@@ -136,12 +143,10 @@ def packed(docs: DataFrame) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             out = [pack(t or b"") for t in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "packed"]
-            )
+            yield batch.select(others).append_column("packed", pa.array(out, pa.binary()))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(kernel, f"doc_id {kind}, packed binary")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in others)
+    return docs.mapInArrow(kernel, f"{kinds}, packed binary")
 
 
 def unpacked(batch: pa.RecordBatch) -> list[bytes]:

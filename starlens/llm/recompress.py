@@ -101,7 +101,7 @@ def _check(window: int) -> None:
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, words_key, whole_sha256) of every row."""
+    """(doc_id, row, n_words, words_key, whole_sha256) of every row."""
 
     def kernel(batches):
         for batch in batches:
@@ -113,20 +113,29 @@ def _measured(docs: DataFrame) -> DataFrame:
                 keys.append(hashlib.blake2b(joined, digest_size=16).digest())
                 shas.append(hashlib.sha256(joined).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(shas)],
-                names=["doc_id", "n_words", "words_key", "whole_sha256"],
-            )
+                [batch.column("doc_id"), batch.column("row"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()),
+                 pa.array(shas)],
+                names=["doc_id", "row", "n_words", "words_key", "whole_sha256"],
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(kernel, f"doc_id {kind}, n_words long, words_key binary, whole_sha256 string")
+    return docs.mapInArrow(kernel, f"doc_id {kind}, row long, n_words long, words_key binary, whole_sha256 string")
+
+
+def _sequence_keys(w: Words) -> np.ndarray:
+    """64 bits of each text's words: a sum in which every word is mixed with its place, so that no order is alike."""
+    sizes = np.diff(w.first)
+    place = np.arange(len(w.hashes), dtype=np.uint64) - np.repeat(w.first[:-1], sizes).astype(np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w.hashes + mix(place + np.uint64(1))))])
+    return mix(sums[w.first[1:]] - sums[w.first[:-1]] + sizes.astype(np.uint64))
 
 
 def _phrases(docs: DataFrame, window: int) -> DataFrame:
-    """(phrase, doc_id, words_key): the phrases of a row's windows, each once; the key is 64 bits of the words'."""
+    """(phrase, doc_id, row, words_key): the phrases of a row's windows, each once; the key is 64 bits of the words'."""
 
     def kernel(batches):
         for batch in batches:
-            texts, ids = as_bytes(batch.column("text")), batch.column("doc_id")
+            texts, ids, rows = as_bytes(batch.column("text")), batch.column("doc_id"), batch.column("row")
             for lo, hi in chunks(texts):
                 w = Words(texts[lo:hi])
                 at, name = window_phrases(w, window)
@@ -134,14 +143,14 @@ def _phrases(docs: DataFrame, window: int) -> DataFrame:
                 new[1:] = (name[1:] != name[:-1]) | (at[1:] != at[:-1] + 1)
                 at, name = at[new], name[new]
                 of = np.searchsorted(w.first, at, "right") - 1
-                keys = span_hashes(w.hashes, w.first[:-1], w.first[1:])[of]
+                keys, own = _sequence_keys(w)[of], pa.array(of + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name.view(np.int64)), ids.take(pa.array(of + lo)), pa.array(keys.view(np.int64))],
-                    names=["phrase", "doc_id", "words_key"],
+                    [pa.array(name.view(np.int64)), ids.take(own), rows.take(own), pa.array(keys.view(np.int64))],
+                    names=["phrase", "doc_id", "row", "words_key"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(kernel, f"phrase long, doc_id {kind}, words_key long")
+    return docs.mapInArrow(kernel, f"phrase long, doc_id {kind}, row long, words_key long")
 
 
 # bytes.split() splits at the six white-space characters, and at 0x1C-0x1F not: exactly the words asked for.
@@ -150,12 +159,12 @@ def _split(text: bytes | None) -> list[bytes]:
 
 
 def _windows(shared: DataFrame, window: int) -> DataFrame:
-    """(h1, h2, doc_id, at) of every window whose phrase is among the row's ``phrases``."""
+    """(h1, h2, doc_id, row, at) of every window whose phrase is among the row's ``phrases``."""
 
     def kernel(batches):
         for batch in batches:
             texts = unpacked(batch)
-            ids, lists = batch.column("doc_id"), batch.column("phrases").to_pylist()
+            ids, rows, lists = batch.column("doc_id"), batch.column("row"), batch.column("phrases").to_pylist()
             for lo, hi in chunks(texts):
                 w = Words(texts[lo:hi])
                 at, name = window_phrases(w, window)
@@ -168,18 +177,19 @@ def _windows(shared: DataFrame, window: int) -> DataFrame:
                 h1 = span_hashes(w.hashes, at, at + window)
                 h2 = span_hashes(mix(w.hashes + np.uint64(0x5851F42D4C957F2D)), at, at + window)
                 of = np.searchsorted(w.first, at, "right") - 1
+                own = pa.array(of + lo)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h1.view(np.int64)), pa.array(h2.astype(np.uint32).view(np.int32)),
-                     ids.take(pa.array(of + lo)), pa.array((at - w.first[of]).astype(np.int32))],
-                    names=["h1", "h2", "doc_id", "at"],
+                     ids.take(own), rows.take(own), pa.array((at - w.first[of]).astype(np.int32))],
+                    names=["h1", "h2", "doc_id", "row", "at"],
                 )
 
     kind = shared.schema["doc_id"].dataType.simpleString()
-    return shared.mapInArrow(kernel, f"h1 long, h2 int, doc_id {kind}, at int")
+    return shared.mapInArrow(kernel, f"h1 long, h2 int, doc_id {kind}, row long, at int")
 
 
 def _removed(rows: DataFrame, window: int) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept_text) of rows with text and the starts of copied windows."""
+    """(doc_id, row, n_words, n_removed, kept_sha256, kept_text) of rows with text and the starts of copied windows."""
 
     def kernel(batches):
         for batch in batches:
@@ -197,14 +207,14 @@ def _removed(rows: DataFrame, window: int) -> DataFrame:
                 shas.append(hashlib.sha256(left).hexdigest())
                 kept.append(left.decode())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas),
-                 pa.array(kept, pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
+                [batch.column("doc_id"), batch.column("row"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()),
+                 pa.array(shas), pa.array(kept, pa.string())],
+                names=["doc_id", "row", "n_words", "n_removed", "kept_sha256", "kept_text"],
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
-        kernel, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string"
+        kernel, f"doc_id {kind}, row long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
 
 
@@ -221,14 +231,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Rows that repeat a doc_id are judged one by one, and never against each other.  An empty table gives none.
     """
     _check(window)
-    docs = texts_of(docs)
+    # A row is known by its id and its text: rows that agree in both have the same result.
+    docs = texts_of(docs).withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
+    one = ["doc_id", "row"]
     base = stored(_measured(docs))
     # A document with the words of an earlier one is gone as a whole; the earliest stands for all.
     whole = F.when(F.col("n_words") >= window, F.col("words_key"))
     firsts = base.filter("doc_id is not null").groupBy("words_key").agg(F.min("doc_id").alias("first_id"))
     judged = base.withColumn("words_key", whole).join(firsts, "words_key", "left")
-    copies = judged.filter("doc_id > first_id").select("doc_id", "n_words")
-    alone = stored(judged.filter("not coalesce(doc_id > first_id, false)").select("doc_id", "n_words", "whole_sha256"))
+    copies = judged.filter("doc_id > first_id").select(*one, "n_words")
+    alone = stored(judged.filter("not coalesce(doc_id > first_id, false)").select(*one, "n_words", "whole_sha256"))
 
     found = _phrases(docs.filter("doc_id is not null"), window)
     shared = (
@@ -237,11 +249,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         .filter("lo <> hi")
         .select("phrase")
     )
-    wanted = found.select("phrase", "doc_id").join(shared, "phrase").groupBy("doc_id").agg(
+    wanted = found.select("phrase", *one).join(shared, "phrase").groupBy(*one).agg(
         F.collect_set("phrase").alias("phrases")
     )
-    wanted = wanted.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
-    open_docs = stored(packed(docs).join(wanted, "doc_id"))
+    wanted = wanted.join(copies.select(*one).distinct(), one, "left_anti")
+    open_docs = stored(packed(docs).join(wanted, one))
     windows = _windows(open_docs, window)
     # Stored, so that both sides of the join are plain shuffles and a hot window's rows can be split.
     earliest = stored(
@@ -251,10 +263,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         .select("h1", "h2", "lo")
     )
     repeated = windows.join(earliest, ["h1", "h2"]).filter("doc_id > lo")
-    starts = repeated.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
-    cut = stored(_removed(open_docs.select("doc_id", "packed").join(starts, "doc_id"), window))
+    starts = repeated.groupBy(*one).agg(F.collect_set("at").alias("starts"))
+    cut = stored(_removed(open_docs.select(*one, "packed").join(starts, one), window))
 
-    untouched = alone.join(cut.select("doc_id").distinct(), "doc_id", "left_anti").select(
+    untouched = alone.join(cut.select(*one).distinct(), one, "left_anti").select(
         "doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256"),
         F.lit(None).cast("string").alias("kept_text"),
     )
@@ -262,5 +274,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         "doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(_EMPTY).alias("kept_sha256"),
         F.lit(None).cast("string").alias("kept_text"),
     )
-    partly = cut.join(alone.select("doc_id").distinct(), "doc_id", "left_semi")
+    partly = cut.join(alone.select(*one).distinct(), one, "left_semi")
     return untouched.unionByName(emptied).unionByName(partly.select(*untouched.columns))
