@@ -2,8 +2,39 @@
 
 from __future__ import annotations
 
-from starlens.llm.quality_rules import BOILERPLATE, NAVIGATION, SENTENCE_END
-from starlens.llm.secret_scan import RULES
+from typing import NamedTuple
+
+# The patterns and phrases of the definitions, written out here and not taken from the operators.
+
+
+class _Rule(NamedTuple):
+    kind: str
+    pattern: str
+    at_least: int
+    group: int
+
+
+RULES = (
+    _Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
+    _Rule("access", r"AKIA[A-Z0-9]+", 20, 0),
+    _Rule("hex", r"[0-9a-f]+", 24, 0),
+    _Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 1, 0),
+    _Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 1, 0),
+    _Rule("maps", r"AIza[A-Za-z0-9_-]{35}", 1, 0),
+    _Rule("payment", r"sk_live_[A-Za-z0-9]{16,}", 1, 0),
+    _Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 1, 0),
+    _Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, 0),
+)
+BOILERPLATE = (
+    "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "we use cookies",
+    "accept cookies", "enable javascript", "javascript is disabled", "lorem ipsum", "sign up for our newsletter",
+    "is licensed under the",
+)
+NAVIGATION = (
+    r"^(home|menu|login|log in|sign in|sign up|search|next|previous|back to top|skip to content|share|read more|click here)"
+    r"([^a-z]|\z)"
+)
+SENTENCE_END = r"""[.!?:;…。！？؟।]([\x20\x09-\x0D"'”’»)\]]|\z)"""
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
