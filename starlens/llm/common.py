@@ -30,13 +30,21 @@ def by_value(name: str) -> None:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared checkpoint folder and read again.
 
-    Cuts lineage: the result survives lost executors.  The folder is deleted when the driver ends.
+    Cuts lineage: the result survives lost executors.  The folder is deleted by ``release``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/starlens-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` once everything that reads them has been stored itself."""
+    for table in tables:
+        _delete(table.sparkSession, table._scratch)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

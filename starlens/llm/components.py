@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starlens.llm.common import stored
+from starlens.llm.common import release, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.select("a", "b").filter("a <> b").distinct()
     both = stored(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "id"))
+    latest = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "id"))
+    labels = latest
     while True:
         told = (
             both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("told"))
@@ -37,6 +38,9 @@ def components(edges: DataFrame) -> DataFrame:
                 "id", F.least("new", "above").alias("next"), F.col("label").alias("old")
             )
         )
+        release(latest, hooked)
+        latest = jumped
         labels = jumped.select("id", F.col("next").alias("label"))
         if not jumped.filter("next <> old").limit(1).count():
+            release(both)
             return labels

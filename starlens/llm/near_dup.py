@@ -6,26 +6,25 @@ of parts merge by the larger register, and similar sets agree in most registers.
 pairs, the joint likelihood of both sketches discards those that cannot be similar enough, and every
 remaining pair is confirmed on the full sets.
 
-Equal sets are one class from the start.  In a bucket of a band all classes are first compared with its
-smallest one, the centre; those that are far from it regroup around further centres, in rounds, until any two
-members that can be similar have met at one centre.  The links found are closed to components.  Two members of a centre that
-these don't join can only be similar if they share differences from the centre: with no shared difference, each is
+Equal sets are one class from the start.  In a bucket of a band all classes are compared with its smallest
+one, the centre, and the links found are closed to components.  Two members of a centre that these don't join
+can only be similar if they share differences from the centre: with no shared difference, each is
 at most as similar to the other as to the centre.  How many they must share follows from the sizes, so a prefix
-of the rarest differences finds every such pair.  No link between different texts is lost, and a large
-group of copies never costs all of its pairs.
+of the rarest differences finds every such pair.  Members that are far from a centre propose pairs among the members of
+its bucket by their own rarest shingles, of which similar sets share one.  No link between different texts is lost, and a
+large group of copies never costs all of its pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starlens.llm.common import Words, as_bytes, by_value, chunks, mix, packed, stored, texts_of, unpacked
+from starlens.llm.common import Words, as_bytes, by_value, chunks, mix, packed, release, stored, texts_of, unpacked
 from starlens.llm.components import components
 
 by_value(__name__)
@@ -167,71 +166,93 @@ def _judged(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(kernel, f"a {kind}, b {kind}, n_a long, n_b long, estimate double")
 
 
-def _near_pairs(members: DataFrame, classes: DataFrame, near: float, sure: float) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) of a centre and a member of its bucket whose estimate is at least ``near``.
+def _bucket_pairs(members: DataFrame) -> DataFrame:
+    """(key, centre, rep): each member of a bucket beside its centre, the smallest member.  ``members``: key, rep."""
+    first = members.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("held"))
+    return members.join(first.filter("held > 1"), "key").filter("rep <> centre").select("key", "centre", "rep")
+
 
-    ``members``: key, rep.  Each round a bucket compares its open members with its centres: first with the smallest
-    member, then with the smallest of each of 2, 4, ... parts of those that no centre is near to (of all, if there
-    are none).  A centre leaves the bucket, and so does a member whose estimate is at least ``sure``: whatever is
-    similar to it is near to that centre too.  A bucket is done when all that are left are near to the same centre.
-    So two similar members of a bucket always meet, as centre and member or as members of one centre.
+def _open_members(tried: DataFrame, judged: DataFrame, labels: DataFrame, near: float, sure: float) -> DataFrame:
+    """(key, rep, label) of members that may be similar to one of their bucket whom their centre does not join to them.
+
+    That needs a member far from the centre (estimate under ``near``), and both must be under ``sure``: whatever is
+    similar to a member above is near to the centre too, and then both are in its star.  Buckets whose open members
+    are of one component already have nothing to add.
     """
-    found, homes, turn = [], None, 0
-    first = members.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("held"))
-    tried = members.join(first.filter("held > 1"), "key")
-    while True:
-        tried = stored(tried.filter("rep <> centre").select("key", "centre", "rep"))
-        asked = tried.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-        judged = stored(_judged(asked, classes))
-        found.append(judged.filter(F.col("estimate") >= near).drop("estimate"))
-        known = judged.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "estimate")
-        far = known.filter(F.col("estimate") < near)
-        if not far.limit(1).count():
-            break
-        missed = tried.join(far, ["centre", "rep"], "left_semi").select("key").distinct()
-        seen = stored(tried.join(missed, "key", "left_semi").join(known, ["centre", "rep"]))
-        left = stored(
-            seen.groupBy("key", "rep")
-            .agg(F.max("estimate").alias("best"))
-            .filter(F.col("best") < sure)
-            .join(seen.select("key", F.col("centre").alias("rep")).distinct(), ["key", "rep"], "left_anti")
-            .select("key", "rep")
-        )
-        joined = seen.filter(F.col("estimate") >= near).select("key", "rep", "centre")
-        homes = joined if homes is None else homes.union(joined)
-        homes = stored(homes.join(left, ["key", "rep"], "left_semi").select("key", "rep", "centre"))
-        held = left.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
-        of_one = homes.groupBy("key", "centre").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max("n").alias("most"))
-        waiting = held.join(of_one, "key", "left").filter("held > 1 and held > coalesce(most, 0)").select("key")
-        housed = homes.select("key", "rep", F.lit(True).alias("housed")).distinct()
-        open_ones = stored(
-            left.join(waiting, "key", "left_semi")
-            .join(housed, ["key", "rep"], "left")
-            .select("key", "rep", F.col("housed").isNull().alias("lone"))
-        )
-        if not open_ones.limit(1).count():
-            break
-        turn += 1
-        part = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << min(turn, 30)))
-        centres = (
-            open_ones.join(open_ones.groupBy("key").agg(F.max("lone").alias("any_lone")), "key")
-            .filter("lone = any_lone")
-            .groupBy("key", part.alias("part"))
-            .agg(F.min("rep").alias("centre"))
+    known = judged.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "estimate").filter(F.col("estimate") < sure)
+    seen = (
+        tried.join(known, ["centre", "rep"])
+        .join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+        .select("key", "rep", F.coalesce("label", "rep").alias("label"), "estimate")
+    )
+    mixed = (
+        seen.groupBy("key")
+        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("estimate").alias("least"))
+        .filter((F.col("lo") < F.col("hi")) & (F.col("least") < near))
+    )
+    return seen.join(mixed.select("key"), "key", "left_semi").select("key", "rep", "label")
+
+
+def _by_rare_shingles(open_ones: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of open members of a bucket, in different components, that may be similar enough.
+
+    Similar sets share one of their n - ceil(num / den n) + 1 rarest shingles, so only these propose pairs, inside a
+    bucket.  Shingles of a bucket that stand in the same members propose the same pairs: one of them is enough, and
+    none if all its members are of one component.  What is shared before and after a shingle bounds the rest.
+    """
+    t = num / (num + den)
+    wanted = open_ones.select("rep").distinct()
+    each = sets.join(wanted, sets.doc_id == wanted.rep).select("rep", F.size("members").alias("n"), F.explode("members").alias("token"))
+    held = each.groupBy("token").agg(F.count(F.lit(1)).alias("times"))
+    order = Window.partitionBy("rep").orderBy("times", "token")
+    rare = (
+        each.join(held, "token")
+        .withColumn("place", F.row_number().over(order))
+        .filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * (num / den) - 1e-6) + 1) & (F.col("times") > 1))
+        .drop("times")
+    )
+    rows = stored(rare.join(open_ones, "rep"))
+    told = rows.groupBy("key", "token").agg(
+        F.min("label").alias("lo"),
+        F.max("label").alias("hi"),
+        F.count(F.lit(1)).alias("held"),
+        F.bit_xor(F.xxhash64("rep")).alias("h"),
+        F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("g"),
+    )
+    one = told.filter("lo < hi").groupBy("key", "held", "h", "g").agg(F.min("token").alias("token"))
+    chosen = stored(rows.join(one.select("key", "token"), ["key", "token"], "left_semi"))
+    x, y = chosen.alias("x"), chosen.alias("y")
+    most = F.least("x.place", "y.place") + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    pairs = stored(
+        x.join(
+            y,
+            (F.col("x.key") == F.col("y.key"))
+            & (F.col("x.token") == F.col("y.token"))
+            & (F.col("x.rep") < F.col("y.rep"))
+            & (F.col("x.label") != F.col("y.label"))
+            & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
+            & (most + 1e-6 >= (F.col("x.n") + F.col("y.n")) * t),
         )
-        tried = open_ones.join(centres, "key")
-    return reduce(DataFrame.union, found).distinct() if turn else found[0]
+        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        .distinct()
+    )
+    release(rows, chosen)
+    return pairs
 
 
-def _with_sets(near: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Pairs (a, b, n_a, n_b, m_a, m_b): those of ``near`` with their full sets."""
-    wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
+def _sets_of(reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, members) of the documents in ``reps`` (doc_id)."""
     # One row of a class is enough, whichever of repeated rows it is.
-    texts = packed(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stored(_sets(texts, size))
+    texts = packed(docs).join(reps.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return stored(_sets(texts, size))
+
+
+def _with_sets(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b, n_a, n_b, common, m_a, m_b): those of ``near`` with their full sets."""
     first = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("m_a"))
     second = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("m_b"))
-    return near.join(first, "a").join(second, "b")
+    both = near.join(first, "a").join(second, "b")
+    return both.withColumn("common", F.size(F.array_intersect("m_a", "m_b")))
 
 
 def _linked(num: int, den: int) -> Column:
@@ -347,11 +368,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     )
     keyed = classes.select("rep", "registers", "n").dropDuplicates(["rep"])
     members = keyed.select("rep", F.posexplode(_band_keys("registers")).alias("band", "key")).select("key", "rep")
-    near = _near_pairs(members, keyed, num / den - 2 * SLACK, 1 - SLACK)
+    near, sure = num / den - 2 * SLACK, 1 - SLACK
+    tried = stored(_bucket_pairs(members))
+    judged = stored(_judged(tried.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), keyed))
+    close = judged.filter(F.col("estimate") >= near)
+    sets = _sets_of(close.select(F.col("a").alias("doc_id")).union(close.select("b")), docs, size)
     stars = stored(
-        _with_sets(near, docs, size)
-        .withColumn("common", F.size(F.array_intersect("m_a", "m_b")))
-        .select(
+        _with_sets(close, sets).select(
             F.col("a").alias("centre"),
             F.col("b").alias("rep"),
             F.col("n_a").alias("n_c"),
@@ -361,12 +384,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
             F.concat(F.array_except("m_b", "m_a"), F.array_except("m_a", "m_b")).alias("differences"),
         )
     )
+    release(sets)
     # Two centres of a bucket are members of each other.
     links = stars.filter("linked").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
-    links = links.distinct()
+    links = stored(links.distinct())
     labels = components(links)
     more = stored(_confirmed(_across(stars, labels, num, den), stars, num, den))
-    every = links.union(more)
+    open_ones = stored(_open_members(tried, judged, labels, near, sure))
+    release(tried, judged, stars)
+    sets = _sets_of(open_ones.select(F.col("rep").alias("doc_id")), docs, size)
+    asked = _by_rare_shingles(open_ones, sets, num, den)
+    likely = _judged(asked, keyed).filter(F.col("estimate") >= num / den - SLACK)
+    rest = stored(_with_sets(likely, sets).filter(_linked(num, den)).select("a", "b"))
+    release(open_ones, sets, asked)
+    every = links.union(more).union(rest).distinct()
     labels = components(every)
     degree = every.select(F.col("a").alias("rep")).union(every.select("b")).groupBy("rep").agg(
         F.count(F.lit(1)).alias("n_links")
