@@ -24,10 +24,10 @@ from starlens.llm.common import by_value, texts_of
 
 by_value(__name__)
 
-#: What a Python worker holds at most: pieces in each of two generations of the memo (about 300 bytes each),
-#: and states of the transducer, which begins anew beyond them.
-MEMO = 200_000
-STATES = 160_000
+#: What a Python worker holds at most: pieces in each of two generations of the memo (about 200 bytes each),
+#: and states of the transducer with their steps (about 600 bytes each), which begins anew beyond them.
+MEMO = 150_000
+STATES = 80_000
 #: Bytes read before settled tokens are written out.
 AHEAD = 4096
 #: Bits of a token's id, where a number holds it beside another one.
@@ -262,23 +262,28 @@ class Decoder:
 
 
 class Memo(dict):
-    """Piece -> (number of ids, ids as text, decoded text), by the transducer and the decoder when first met.
+    """Piece -> its ids as text, by the transducer when first met; the decoder's answer is compared with the piece.
 
     Two generations of at most ``MEMO`` pieces: the older one is dropped when the younger is full, and what
     is still in use moves on.  A piece is whole characters, so the decoder's state is empty on either side of it.
+    ``changed`` holds what the decoder gave for pieces that it didn't give back as they were.
     """
 
     def __init__(self, tokens: list[bytes]) -> None:
         super().__init__()
         self.transducer, self.decoder = Transducer(tokens), Decoder(tokens)
-        self.older: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, str] = {}
+        self.changed: dict[str, str] = {}
+        self.digits = [str(i) for i in range(len(tokens))]
 
-    def __missing__(self, piece: str) -> tuple[int, str, str]:
+    def __missing__(self, piece: str) -> str:
         known = self.older.get(piece)
         if known is None:
             ids = self.transducer.encode(piece.encode())
             back = self.decoder.feed(ids) + self.decoder.finish()
-            known = len(ids), " ".join(map(str, ids)), piece if back == piece else back
+            if back != piece:
+                self.changed[piece] = back
+            known = " ".join([self.digits[i] for i in ids])
         if len(piece) < 64:
             if len(self) >= MEMO:
                 self.older = dict(self)
@@ -299,24 +304,22 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: b
     shared = docs.sparkSession.sparkContext.broadcast({"tokens": read_ranks(vocabulary)})
 
     def kernel(batches):
-        from operator import itemgetter
-
         import regex
 
         # A worker keeps its copy of a broadcast value from task to task, and with it what the coder has learnt.
         held = shared.value
         if "memo" not in held:
             held["memo"] = Memo(held["tokens"])
-        known, find = held["memo"].__getitem__, regex.compile(pattern).findall
-        count, spelled, decoded = itemgetter(0), itemgetter(1), itemgetter(2)
+        memo, find = held["memo"], regex.compile(pattern).findall
         for batch in batches:
             counts, ids_sha, text_sha, lists = [], [], [], []
             for text in batch.column("text"):
-                pieces = list(map(known, find(text.as_py() or "")))
-                digits = " ".join(map(spelled, pieces))
-                counts.append(sum(map(count, pieces)))
+                pieces = find(text.as_py() or "")
+                digits = " ".join(map(memo.__getitem__, pieces))
+                decoded = "".join([memo.changed.get(p, p) for p in pieces] if memo.changed else pieces)
+                counts.append(digits.count(" ") + 1 if pieces else 0)
                 ids_sha.append(hashlib.sha256(digits.encode()).hexdigest())
-                text_sha.append(hashlib.sha256("".join(map(decoded, pieces)).encode()).hexdigest())
+                text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                 lists.append([int(i) for i in digits.split()] if with_ids else None)
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -293,7 +293,7 @@ def test_a_full_memo_changes_nothing(monkeypatch):
     for piece in [" thndor", " ndor", "x" * 100, " thndor" * 30, " thndor", "ab" * 5000, "é", " 日本語", "\x00\n", " ndor", " untherapeutic"] * 2:
         ids = library.encode_ordinary(piece)
         if len(regex.findall(public_tokenizers.PATTERN, piece)) == 1:
-            assert memo[piece] == (len(ids), " ".join(map(str, ids)), piece)
+            assert memo[piece] == " ".join(map(str, ids)) and piece not in memo.changed
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
