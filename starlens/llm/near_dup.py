@@ -101,8 +101,13 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.take_along_axis(j, score.argmax(1)[:, None], 1)[:, 0]
 
 
+def text_key(column: str) -> Column:
+    """What tells rows of one doc_id apart by their texts."""
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
 def _sketched(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, registers) for every row."""
+    """(doc_id, n_shingles, set_key, registers, text_key) for every row."""
 
     def kernel(batches):
         for batch in batches:
@@ -115,12 +120,13 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
                 registers += [row.tobytes() for row in sketches(sets)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(registers, pa.binary())],
-                names=["doc_id", "n_shingles", "set_key", "registers"],
+                 pa.array(registers, pa.binary()), batch.column("text_key")],
+                names=["doc_id", "n_shingles", "set_key", "registers", "text_key"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(kernel, f"doc_id {kind}, n_shingles long, set_key binary, registers binary")
+    schema = f"doc_id {kind}, n_shingles long, set_key binary, registers binary, text_key long"
+    return docs.withColumn("text_key", text_key("text")).mapInArrow(kernel, schema)
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -349,7 +355,7 @@ def _confirmed(pairs: DataFrame, stars: DataFrame, num: int, den: int) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept, set_key, n_links.
+    """Per row: doc_id, n_shingles, component_id, kept, set_key, n_links, text_key.
 
     Sets of ``size``-word shingles (fewer words: the whole sequence) are linked if their similarity is at least
     num / den.  ``component_id`` is the smallest doc_id reachable, ``kept`` marks that document.  ``n_links``
@@ -419,5 +425,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
             F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
             F.hex("set_key").alias("set_key"),
             F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            "text_key",
         )
     )

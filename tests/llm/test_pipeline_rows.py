@@ -70,3 +70,11 @@ def test_near_duplicates_stage_keeps_one_of_each_text(spark):
     text = " ".join(f"w{k}" for k in range(60))
     docs = spark.createDataFrame([(1, text), (2, text), (3, text + " x"), (4, "another text altogether")], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()) == [1, 4]
+
+
+def test_near_duplicates_stage_goes_by_id_and_text(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
+    rows = [(1, one, "a"), (1, one, "a"), (2, one, "b"), (3, two, "c"), (3, one, "d"), (4, two, "e"), (None, three, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key string")
+    got = sorted(((r.doc_id or 0, r.text[0], r.text_key) for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()))
+    assert got == [(0, "z", "f"), (1, "x", "a"), (3, "y", "c")]
