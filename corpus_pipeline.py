@@ -21,11 +21,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more).
 
-    Documents without an id can't be named by a group, so they stay.  Rows are dropped by doc_id, so repeated rows of
-    a document that stays all stay.
+    A row goes by its doc_id and its text, so another text under the same id is judged by itself; of rows that repeat both,
+    one stays.  Documents without an id can't be named by a group, so all of them stay.
     """
-    gone = near_dup.near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = stored(near_dup.near_duplicates(docs).filter("doc_id is not null").select("doc_id", "text_key", "kept"))
+    gone = found.filter("not kept").select("doc_id", "text_key").distinct()
+    again = found.filter("kept").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    again = again.select("doc_id", "text_key")
+    rows = docs.alias("row")
+    same = (F.col("row.doc_id") == F.col("named.doc_id")) & (near_dup.text_key("row.text") == F.col("named.text_key"))
+    single = rows.join(gone.union(again).alias("named"), same, "left_anti")
+    repeated = rows.join(again.alias("named"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.select(*docs.columns).union(repeated.select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
