@@ -35,6 +35,8 @@ BASE = 1.15
 OFFSET = 30
 #: How far under the wanted similarity the estimate may be (over four standard errors) before a pair is dropped.
 SLACK = 0.17
+#: Rarest shingles of a member of a bucket that its rows carry.
+EARLY = 32
 
 _rng = np.random.default_rng(20_240_501)
 _FACTORS = _rng.integers(1, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -204,7 +206,9 @@ def _by_rare_shingles(open_ones: DataFrame, sets: DataFrame, num: int, den: int)
 
     Similar sets share one of their n - ceil(num / den n) + 1 rarest shingles, so only these propose pairs, inside a
     bucket.  Shingles of a bucket that stand in the same members propose the same pairs: one of them is enough, and
-    none if all its members are of one component.  What is shared before and after a shingle bounds the rest.
+    none if all its members are of one component.  What is shared before and after a shingle bounds the rest.  A pair is
+    proposed in the first bucket of both, and there by its first shared shingle if both have it among their ``EARLY``
+    rarest; by every shared one otherwise.
     """
     t = num / (num + den)
     wanted = open_ones.select("rep").distinct()
@@ -227,7 +231,12 @@ def _by_rare_shingles(open_ones: DataFrame, sets: DataFrame, num: int, den: int)
     )
     one = told.filter("lo < hi").groupBy("key", "held", "h", "g").agg(F.min("token").alias("token"))
     chosen = stored(rows.join(one.select("key", "token"), ["key", "token"], "left_semi"))
-    x, y = chosen.alias("x"), chosen.alias("y")
+    keys = open_ones.groupBy("rep").agg(F.collect_set("key").alias("keys"))  # one for each band at most
+    rarest = F.slice(F.sort_array(F.collect_list(F.struct("place", "token"))), 1, EARLY)
+    early = chosen.groupBy("key", "rep").agg(F.transform(rarest, lambda e: e["token"]).alias("early"))
+    proposing = chosen.join(early, ["key", "rep"]).join(keys, "rep")
+    x, y = proposing.alias("x"), proposing.alias("y")
+    shared = F.array_intersect("x.early", "y.early")
     most = F.least("x.place", "y.place") + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     pairs = stored(
         x.join(
@@ -237,7 +246,9 @@ def _by_rare_shingles(open_ones: DataFrame, sets: DataFrame, num: int, den: int)
             & (F.col("x.rep") < F.col("y.rep"))
             & (F.col("x.label") != F.col("y.label"))
             & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
-            & (most + 1e-6 >= (F.col("x.n") + F.col("y.n")) * t),
+            & (most + 1e-6 >= (F.col("x.n") + F.col("y.n")) * t)
+            & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
+            & (F.coalesce(F.get(shared, F.lit(0)), F.col("x.token")) == F.col("x.token")),
         )
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         .distinct()
