@@ -65,7 +65,7 @@ STAGES = [
 ]
 
 #: No stage but the third can be said in SQL; tests hold each stage to its columns, on whole and on awkward rows, and
-#: tokens and near duplicates to plain results.
+#: near duplicates, decontamination and tokens to plain Python.
 ORACLE_SQL = None
 
 
