@@ -204,40 +204,58 @@ def _open_members(tried: DataFrame, judged: DataFrame, labels: DataFrame, near:
 def _by_rare_shingles(open_ones: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of open members of a bucket, in different components, that may be similar enough.
 
-    Similar sets share one of their n - ceil(num / den n) + 1 rarest shingles, so only these propose pairs, inside a
-    bucket.  Shingles of a bucket that stand in the same members propose the same pairs: one of them is enough, and
-    none if all its members are of one component.  What is shared before and after a shingle bounds the rest.  A pair is
-    proposed in the first bucket of both, and there by its first shared shingle if both have it among their ``EARLY``
-    rarest; by every shared one otherwise.
+    With t = num / (num + den), sets of n and m shingles that are similar share t (n + m), so the first of those, by
+    rarity, is no later than place n + 1 - t (n + m) of either.  Up to there, for the smallest m that the bucket holds and that
+    is not too small, shingles propose pairs inside the bucket.  Shingles that stand in the same members propose the same pairs: the rarest is enough, and none if all its
+    members are of one component; that is so in the whole table, and once more in each bucket.  The first shingle that two
+    members share is never left out that way, nothing before it is shared, and what is left from there on bounds what they
+    share.  A pair is proposed in the first bucket of both, and there by its first shared shingle if both have it among
+    their ``EARLY`` rarest; by every shared one otherwise.
     """
     t = num / (num + den)
-    wanted = open_ones.select("rep").distinct()
-    each = sets.join(wanted, sets.doc_id == wanted.rep).select("rep", F.size("members").alias("n"), F.explode("members").alias("token"))
+    sizes = sets.select(F.col("doc_id").alias("rep"), F.size("members").alias("n"))
+    sized = open_ones.join(sizes, "rep")
+    least = sized.groupBy("key").agg(F.min("n").alias("least"))
+    last = F.floor(F.col("n") + 1 - (F.col("n") + F.greatest("least", F.col("n") * (num / den))) * t + 1e-6)
+    sized = stored(sized.join(least, "key").select("key", "rep", "label", last.alias("last")))
+    wanted = sized.groupBy("rep", "label").agg(F.max("last").alias("last"))
+    each = sets.join(wanted, sets.doc_id == wanted.rep).select(
+        "rep", "label", "last", F.size("members").alias("n"), F.explode("members").alias("token")
+    )
     held = each.groupBy("token").agg(F.count(F.lit(1)).alias("times"))
     order = Window.partitionBy("rep").orderBy("times", "token")
     rare = (
         each.join(held, "token")
         .withColumn("place", F.row_number().over(order))
-        .filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * (num / den) - 1e-6) + 1) & (F.col("times") > 1))
-        .drop("times")
-    )
-    rows = stored(rare.join(open_ones, "rep"))
-    told = rows.groupBy("key", "token").agg(
-        F.min("label").alias("lo"),
-        F.max("label").alias("hi"),
-        F.count(F.lit(1)).alias("held"),
-        F.bit_xor(F.xxhash64("rep")).alias("h"),
-        F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("g"),
+        .filter("place <= last and times > 1")
+        .drop("last")
     )
-    one = told.filter("lo < hi").groupBy("key", "held", "h", "g").agg(F.min("token").alias("token"))
-    chosen = stored(rows.join(one.select("key", "token"), ["key", "token"], "left_semi"))
+
+    def proposers(rows: DataFrame, *bucket: str) -> DataFrame:
+        """Rows of ``rows`` (rep, label, token, times) by the rarest shingle of those in the same, mixed members."""
+        told = rows.groupBy(*bucket, "token").agg(
+            F.min("times").alias("times"),
+            F.min("label").alias("lo"),
+            F.max("label").alias("hi"),
+            F.count(F.lit(1)).alias("held"),
+            F.bit_xor(F.xxhash64("rep")).alias("h"),
+            F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("g"),
+        )
+        first = F.min(F.struct("times", "token")).getField("token").alias("token")
+        one = told.filter("lo < hi").groupBy(*bucket, "held", "h", "g").agg(first)
+        return rows.join(one.select(*bucket, "token"), [*bucket, "token"], "left_semi")
+
+    rare = stored(rare)
+    rows = proposers(rare).join(sized.select("key", "rep", "last"), "rep").filter("place <= last").drop("last")
+    rows = stored(rows)
+    chosen = stored(proposers(rows, "key"))
     keys = open_ones.groupBy("rep").agg(F.collect_set("key").alias("keys"))  # one for each band at most
     rarest = F.slice(F.sort_array(F.collect_list(F.struct("place", "token"))), 1, EARLY)
     early = chosen.groupBy("key", "rep").agg(F.transform(rarest, lambda e: e["token"]).alias("early"))
-    proposing = chosen.join(early, ["key", "rep"]).join(keys, "rep")
+    proposing = chosen.join(early.join(keys, "rep"), ["key", "rep"])
     x, y = proposing.alias("x"), proposing.alias("y")
     shared = F.array_intersect("x.early", "y.early")
-    most = F.least("x.place", "y.place") + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1
     pairs = stored(
         x.join(
             y,
@@ -253,7 +271,7 @@ def _by_rare_shingles(open_ones: DataFrame, sets: DataFrame, num: int, den: int)
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         .distinct()
     )
-    release(rows, chosen)
+    release(sized, rare, rows, chosen)
     return pairs
 
 
