@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starlens.functions.text import describe_row
-from starlens.joins import SALTS, lookup_join
+from starlens.joins import SALTS, dealt, lookup_join
 from starlens.session import cut_lineage
 
 HIDDEN = ("node_id", "node_table", "node_key", "node_text")
@@ -93,8 +93,7 @@ def linked_pairs(
 ) -> DataFrame:
     """The edges of :func:`build_edges` counted per (src_id, dst_id), without writing them out.
 
-    Sales are counted per pair of raw keys, map-side first; ids are spelled out afterwards, once
-    per pair.  Neighbourhood and degree questions need no more than this.
+    Sales are counted per pair of raw keys; ids are spelled out afterwards, once per pair.  Neighbourhood and degree questions need no more than this.
     """
     rows, used, exists = _endpoints(fact, mapping, dims)
     kinds = {fact.schema[fk].dataType.simpleString() for fk in used}
@@ -107,8 +106,11 @@ def linked_pairs(
         )
         for i, (a, b) in enumerate(combos)
     ]
+    # Most pairs are few sales: they are counted after the shuffle only, in pieces that no task needs much memory for.
     counted = (
-        rows.select(F.inline(F.array_compact(F.array(*ends)))).groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("edges"))
+        dealt(rows.select(F.inline(F.array_compact(F.array(*ends)))), "pair", "a", "b")
+        .groupBy("pair", "a", "b")
+        .agg(F.count(F.lit(1)).alias("edges"))
     )
 
     def named(side: int) -> Column:
@@ -141,9 +143,27 @@ def _both_ways(pairs: DataFrame, *extra: str) -> DataFrame:
     return pairs.select(F.inline(ends))
 
 
+def _undirected(edges: DataFrame, *extra: str) -> DataFrame:
+    """(lo, hi, extra) of ``edges``, dealt out by both ends; a null end is ``lo``."""
+    ordered = F.col("src_id").isNull() | (F.col("src_id") <= F.col("dst_id"))
+    lo, hi = (F.when(ordered, F.col(x)).otherwise(F.col(y)) for x, y in (("src_id", "dst_id"), ("dst_id", "src_id")))
+    return dealt(edges.select(lo.alias("lo"), hi.alias("hi"), *extra), "lo", "hi")
+
+
+def _either_end(pairs: DataFrame, *extra: str) -> DataFrame:
+    """(node_id, neighbor_id, extra) for both ends of distinct (lo, hi, extra); a node linked to itself once."""
+    one = F.struct(F.col("lo").alias("node_id"), F.col("hi").alias("neighbor_id"), *extra)
+    other = F.struct(F.col("hi").alias("node_id"), F.col("lo").alias("neighbor_id"), *extra)
+    same = F.col("lo").eqNullSafe(F.col("hi"))
+    return pairs.select(F.inline(F.when(same, F.array(one)).otherwise(F.array(one, other))))
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
-    """Distinct undirected neighbour pairs (node_id, neighbor_id) of any edge table."""
-    return _both_ways(edges).distinct()
+    """Distinct undirected neighbour pairs (node_id, neighbor_id) of any edge table.
+
+    An edge is shuffled and made distinct once, not once for each direction.
+    """
+    return _either_end(_undirected(edges).distinct())
 
 
 def adjacency_of(
@@ -346,5 +366,6 @@ def degree(pairs: DataFrame) -> DataFrame:
 
     Parallel edges were counted per pair, so a hub adds one row per neighbour, not per sale.
     """
-    both = _both_ways(pairs, "edges").groupBy("node_id", "neighbor_id").agg(F.sum("edges").alias("edges"))
+    twice = F.when(F.col("lo").eqNullSafe(F.col("hi")), F.sum("edges") * 2).otherwise(F.sum("edges"))
+    both = _either_end(_undirected(pairs, "edges").groupBy("lo", "hi").agg(twice.alias("edges")), "edges")
     return both.groupBy("node_id").agg(F.sum("edges").alias("degree"), F.count(F.lit(1)).alias("neighbors"))
