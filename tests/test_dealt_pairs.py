@@ -12,6 +12,8 @@ def test_pieces_follow_the_bytes_read(spark, tmp_path):
     few, many = (dealt(rows, "a", piece=piece).rdd.getNumPartitions() for piece in (1 << 40, 1 << 10))
     assert few == spark.sparkContext.defaultParallelism < many
     assert dealt(rows, "a", piece=1 << 10).count() == 20_000
+    unsized = spark.createDataFrame(spark.sparkContext.parallelize([(1, 2)]), "a long, b long")
+    assert dealt(unsized, "a").count() == 1
 
 
 def test_degree_and_adjacency_of_awkward_ends(spark):
