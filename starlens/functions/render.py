@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from starlens.functions.questions import MONTH_NAMES
 from starlens.joins import lookup_join
+from starlens.session import cut_lineage
 
 # Column names shown as money, and the texts of empty answers.
 MONEY_NAMES = ("revenue", "sales", "total", "amount", "value")
@@ -67,8 +68,10 @@ def result_answer(df: DataFrame, description: str = "", position: str = "positio
 def semantic_lines(ranked: DataFrame, nodes: DataFrame, key: str = "node_id", text: str = "node_text") -> DataFrame:
     """(query_id, rank, line) for each hit: ``- k: v, k: v (relevance: 0.123)``.
 
-    Only nodes that were hit take part in the join, each once, so a popular node costs one row.
+    Only nodes that were hit take part in the join, each once, so a popular node costs one row.  The hits are read twice,
+    so the search is written once and not run twice.
     """
+    ranked = cut_lineage(ranked)
     hit = nodes.select(key, text).join(ranked.select(key).distinct(), key, "left_semi")
     shown = lookup_join(ranked.select("query_id", key, "score", "rank"), hit, key, salts=4)
     score = F.format_number(F.col("score").cast("double"), 3)

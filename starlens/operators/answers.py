@@ -142,9 +142,8 @@ def answer_batch(
     asked = questions.select("question_id", F.coalesce("question", F.lit("")).alias("question"))
     log = asked.withColumn("query_id", F.sha2("question", 256))
     # Every branch below starts from the distinct texts: they are worked out and written once.
-    texts = cut_lineage(
-        log.groupBy("query_id").agg(F.min("question").alias("question")).withColumn("route", deployed_route("question"))
-    )
+    texts = asked.select("question").distinct().withColumn("query_id", F.sha2("question", 256))
+    texts = cut_lineage(texts.select("query_id", "question", deployed_route("question").alias("route")))
     searched = texts.filter("route <> 'pattern'")
     queries = cut_lineage(embed_queries(searched, "question", encoder, element=element))
     ranked = batch_semantic_search(nodes, queries, top_k)
