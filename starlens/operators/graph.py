@@ -271,15 +271,22 @@ def expand_facts(
 
 
 def induced_facts(
-    fact: DataFrame, mapping: Mapping[str, str], node_set: DataFrame, pushed: int = PUSHED_KEYS
+    fact: DataFrame,
+    mapping: Mapping[str, str],
+    node_set: DataFrame,
+    pushed: int = PUSHED_KEYS,
+    links: Sequence[tuple[str, str]] | None = None,
 ) -> DataFrame:
     """B9 straight from the fact: :func:`build_edges` restricted to edges with both ends in ``node_set``.
 
     Each pair of foreign keys is a scan restricted to the members' raw keys of both, as in :func:`expand_facts`.
+    ``links`` names the (source, destination) tables whose edges are wanted; other pairs are not read.
     """
     members = _Members(node_set.select("node_id").distinct(), mapping, fact, pushed)
     out = None
     for a, b in combinations(members.fks, 2):
+        if links is not None and (mapping[a], mapping[b]) not in links:
+            continue
         rows = members.rows_with(fact, a)
         rows = None if rows is None else members.rows_with(rows, b)
         if rows is not None:

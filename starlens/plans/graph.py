@@ -217,10 +217,10 @@ def b9_texts(r):
 )
 def b10(r):
     sold = ("units_sold", "total_sales_value")
+    link = ("item_details", "customer_details")
     facts = gr.subgraph_facts(
-        gr.induced_facts(r.sales(*MAPPING, *sold), MAPPING, context(r, 2)),
-        "item_details",
-        "customer_details",
+        gr.induced_facts(r.sales(*MAPPING, *sold), MAPPING, context(r, 2), links=[link]),
+        *link,
         "total_sales_value",
         "units_sold",
     )
