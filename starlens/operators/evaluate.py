@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def route_summary(routed: DataFrame, route: str = "route") -> DataFrame:
@@ -30,13 +31,37 @@ def success_rate(answers: DataFrame, answer: str = "answer") -> DataFrame:
     ).withColumn("success_pct", F.try_divide(F.lit(100.0) * F.col("successes"), F.col("answers")))
 
 
+_FLAT = (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+_BUCKETS = 4096
+
+
+def _differing(signed: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of ``signed`` in buckets of rows whose two sides differ; tables that are equal shuffle sums only.
+
+    A bucket's sides are compared by their numbers of rows and sums of two 64-bit hashes, in halves that cannot overflow.
+    """
+    parts = [part for c in columns for part in (F.col(c), F.col(c).isNull())]
+
+    def halves(h: Column) -> list[Column]:
+        return [F.shiftright(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF))]
+
+    hashed = signed.withColumn("__h", F.xxhash64(F.lit(1), *parts)).withColumn("__bucket", F.pmod("__h", F.lit(_BUCKETS)))
+    summed = [F.lit(1), *halves(F.col("__h")), *halves(F.xxhash64(F.lit(2), *parts))]
+    sums = hashed.groupBy("__bucket").agg(*[F.sum(F.col("__n") * x).alias(f"__s{i}") for i, x in enumerate(summed)])
+    unequal = sums.filter(" OR ".join(f"__s{i} <> 0" for i in range(len(summed)))).select("__bucket")
+    return hashed.join(F.broadcast(unequal), "__bucket", "left_semi").select(*signed.columns)
+
+
 def result_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows whose number of copies differs between two results; empty when they are equal.
 
-    Copies are counted with opposite signs in one aggregate, so equal rows meet map-side.
+    Copies are counted with opposite signs in one aggregate, so equal rows meet map-side.  Rows without nested columns are first
+    compared by bucket, and only buckets that differ are shuffled as rows.
     """
     columns = a.columns
     signed = a.select(*columns, F.lit(1).alias("__n")).unionAll(b.select(*columns, F.lit(-1).alias("__n")))
+    if all(isinstance(f.dataType, _FLAT) for f in signed.schema.fields):
+        signed = _differing(signed, columns)
     return (
         signed.groupBy(*columns)
         .agg(F.sum("__n").alias("__n"))
