@@ -21,7 +21,7 @@ from starlens.functions.questions import (
 )
 from starlens.functions.render import buyer_line, date_phrase, semantic_answers, semantic_lines
 from starlens.functions.vectors import TermModel, embed_queries
-from starlens.joins import SALTS, lookup_join
+from starlens.joins import SALTS, dealt, lookup_join
 from starlens.operators.search import batch_semantic_search
 from starlens.session import cut_lineage
 
@@ -259,21 +259,21 @@ _DEALT = 64
 
 
 def monthly_totals(fact: DataFrame, config: StarConfig = RETAIL) -> DataFrame:
-    """(entity_type, key, y, m, one sum per measure, transactions) of all dimensions in one pass over the fact."""
+    """(entity_type, key, y, m, one sum per measure, transactions) of all dimensions in one pass over the fact.
+
+    Most months of a key hold few sales: sales are added up after the shuffle only, in pieces that no task needs much memory for.
+    """
     keys = [e.fact_key for e in config.entities]
     kinds = {fact.schema[k].dataType.simpleString() for k in keys}
     kind = kinds.pop() if len(kinds) == 1 else "string"
     day = F.col(config.date_column)
     rows = fact.select(*keys, *config.measures, F.year(day).cast("bigint").alias("y"), F.month(day).cast("bigint").alias("m"))
     sums = [F.sum(x).alias(x) for x in config.measures]
-    cube = rows.groupingSets([[k, "y", "m"] for k in keys], *keys, "y", "m").agg(
-        *sums, F.count(F.lit(1)).alias("transactions"), *[F.grouping(k).alias(f"without_{k}") for k in keys]
-    )
-    entity = F.coalesce(*[F.when(F.col(f"without_{e.fact_key}") == 0, F.lit(e.table)) for e in config.entities])
-    key = F.coalesce(*[F.col(k).cast(kind) for k in keys])
-    return cube.select(entity.alias("entity_type"), key.alias("key"), "y", "m", *config.measures, "transactions").filter(
-        "key IS NOT NULL AND m IS NOT NULL"
-    )
+    ends = [F.struct(F.lit(i).alias("entity"), F.col(k).cast(kind).alias("key")) for i, k in enumerate(keys)]
+    sold = rows.filter("m IS NOT NULL").select(F.inline(F.array(*ends)), "y", "m", *config.measures).filter("key IS NOT NULL")
+    months = dealt(sold, "entity", "key", "y", "m").groupBy("entity", "key", "y", "m").agg(*sums, F.count(F.lit(1)).alias("transactions"))
+    named = F.get(F.array(*[F.lit(e.table) for e in config.entities]), F.col("entity"))
+    return months.select(named.alias("entity_type"), "key", "y", "m", *config.measures, "transactions")
 
 
 def _same(a: str, b: str, columns: Sequence[str]) -> Column:
@@ -326,14 +326,16 @@ def answer_simple(
     periods = _month_rows(wanted.select("entity_type", *PERIOD).distinct())
     months = monthly_totals(fact, config)
     sums = [F.sum(x).alias(x) for x in (*config.measures, "transactions")]
-    every_year = months.groupBy("entity_type", "key", "m").agg(*sums).withColumn("y", F.lit(0).cast("bigint"))
-    months = months.unionByName(every_year)
-    totals = months.join(F.broadcast(periods), ["entity_type", "y", "m"]).groupBy("entity_type", *PERIOD, "key").agg(*sums)
+    # A month counts for the periods of its year and for those of every year.
+    years = months.withColumn("y", F.explode(F.array("y", F.lit(0).cast("bigint"))))
+    covered = years.join(F.broadcast(periods), ["entity_type", "y", "m"])
+    totals = dealt(covered, "entity_type", "key").groupBy("entity_type", *PERIOD, "key").agg(*sums)
     labels = None
     for e in config.entities:
         part = dims[e.table].select(F.lit(e.table).alias("entity_type"), F.col(e.key).alias("key"), F.col(e.label).alias("label"))
         labels = part if labels is None else labels.unionByName(part)
-    totals = lookup_join(totals, labels, ["entity_type", "key"], salts=SALTS)
+    # A key has a row for each period, so none is hot.
+    totals = lookup_join(totals, labels, ["entity_type", "key"], salts=1)
 
     best = _best_keys(totals, wanted, config.measures, most)
     text = (
